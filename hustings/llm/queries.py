@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hustings.llm import packing
+from hustings.llm import encoding, packing, simhash
 from hustings.llm.common import table
 
 
@@ -17,12 +17,20 @@ def word_vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode_digests(table(spark, sf_dir, "documents"), word_vocabulary())
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_best_fit_packing,)}
+    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op7_best_fit_packing, op9_simhash_pivots)}
 
 
 def oracle_sql() -> dict[str, str]:

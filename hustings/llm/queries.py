@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hustings.llm import encoding, packing, simhash
+from hustings.llm import encoding, imatch, licences, packing, simhash
 from hustings.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_digests(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -29,9 +33,13 @@ def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op7_best_fit_packing, op9_simhash_pivots)}
+    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op3_imatch, op7_best_fit_packing, op9_simhash_pivots, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_licence_scan": licences.scan_sql()}

@@ -131,7 +131,7 @@ def scan_sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
         found.append(f"SELECT rid, '{t.label}' AS label, {str(t.base).lower()} AS base, s - 1 AS start, CAST({share} AS DOUBLE) / {len(words)} AS score FROM starts WHERE {whole}")
     first = ", ".join(f"'{w}'" for w in sorted({t.key.split()[0] for t in templates}))
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-starts AS (SELECT rid, w, unnest(list_filter(range(1, len(w) + 1), i -> w[i] IN ({first}))) AS s FROM d),
+starts AS (SELECT rid, w, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] IN ({first}))) AS s FROM d),
 found AS ({" UNION ALL ".join(found)}),
 folded AS (SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM found GROUP BY rid)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(f.n_base, 0) AS n_base, f.first_word, f.last_word, coalesce(f.base_labels, '') AS base_labels, coalesce(f.labels, '') AS labels, coalesce(f.score, 0.0) AS score FROM d LEFT JOIN folded f USING (rid)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hustings.llm import encoding, imatch, licences, packing, simhash
+from hustings.llm import encoding, imatch, licences, packing, sharding, simhash
 from hustings.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op8_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op3_imatch, op7_best_fit_packing, op9_simhash_pivots, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op3_imatch, op7_best_fit_packing, op8_balanced_label_propagation, op9_simhash_pivots, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hustings.llm import encoding, imatch, licences, packing, sharding, simhash
+from hustings.llm import encoding, imatch, language, licences, packing, sharding, simhash
 from hustings.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_digests(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op2_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op3_imatch, op7_best_fit_packing, op8_balanced_label_propagation, op9_simhash_pivots, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_language_backoff, op3_imatch, op7_best_fit_packing, op8_balanced_label_propagation, op9_simhash_pivots, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

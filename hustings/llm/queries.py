@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hustings.llm import encoding, imatch, language, licences, packing, sharding, simhash, toxicity
+from hustings.llm import encoding, imatch, language, licences, neighbours, packing, sharding, simhash, suffixes, toxicity
 from hustings.llm.common import table
 
 
@@ -29,6 +29,14 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +58,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_language_backoff, op3_imatch, op6_toxicity_noisy_channel, op7_best_fit_packing, op8_balanced_label_propagation, op9_simhash_pivots, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_language_backoff, op3_imatch, op4_suffix_array_dedup, op5_adaptive_dimension_scan, op6_toxicity_noisy_channel, op7_best_fit_packing, op8_balanced_label_propagation, op9_simhash_pivots, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

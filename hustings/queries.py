@@ -1,8 +1,228 @@
-"""The registered queries on contests."""
+"""The registered queries on contests, each with the DuckDB SQL of its rows.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Shares and margins are rounded to six places at this edge only, so that two engines' sums can be compared.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hustings.functions import canon
+from hustings.operators import merge, project, resolve, rollup, signals
+from hustings.sources import contests as source
+
+YEAR = 2000
+BEFORE = 1999
+BLOC = ["STANDARD", "ECONOMY"]
+
+
+class Contests:
+    """The derived tables of one folder; each is a lazy plan."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def cand(self) -> DataFrame:
+        return source.candidates(self.spark, self.sf_dir)
+
+    @cached_property
+    def seats(self) -> DataFrame:
+        return source.labelled(resolve.contests(self.cand))
+
+    @cached_property
+    def active(self) -> DataFrame:
+        return resolve.active(self.seats, YEAR)
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return resolve.with_previous(self.seats)
+
+    @cached_property
+    def changed(self) -> DataFrame:
+        return resolve.changes(self.seats, YEAR)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return rollup.party_summary(self.cand)
+
+    @cached_property
+    def national(self) -> DataFrame:
+        return rollup.national_summary(self.summary)
+
+    @cached_property
+    def bypolls(self) -> DataFrame:
+        """By-elections with the seat's recorded winner of the same year as previous holder."""
+        by = source.labelled(resolve.contests(source.bypoll_candidates(self.spark, self.sf_dir)))
+        held = self.seats.select("arena", "s", "y", "n", F.col("p").alias("prev"))
+        kept = F.when(F.col("prev").isNotNull(), F.when(F.col("prev") == F.col("p"), "Y").otherwise("N"))
+        return by.join(held, ["arena", "s", "y", "n"], "left").withColumn("ret", kept).withColumn("mo", 1 + F.col("n") % 12)
+
+    @cached_property
+    def parents(self) -> DataFrame:
+        return source.parents(self.spark, self.sf_dir)
+
+    @cached_property
+    def electors(self) -> DataFrame:
+        """Electors and voters of every contest, with counts by gender that don't always add up."""
+        e = F.col("total") * 2 + F.when(F.col("n") == 6, 0).otherwise(F.col("n") * 10)
+        rows = self.seats.select("arena", "s", "y", "n", "j", e.alias("e"), (F.col("total") * F.when(F.col("n") == 5, 3).otherwise(1)).alias("voters"))
+        return rows.withColumn("men", F.floor(F.col("e") * 0.52).cast("long")).withColumn("women", F.col("e") - F.floor(F.col("e") * 0.52).cast("long") - F.when(F.col("n") == 4, 200).otherwise(0))
+
+
+#: What the SQL of all queries begins with: the same tables, told anew.
+PREFIX = """WITH lines AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'AE' ELSE 'GE' END AS arena, n_name AS s, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(1 + c_custkey % 6 AS INTEGER) AS n, p_type AS p, o_orderpriority = '1-URGENT' AS urgent, l_quantity AS quantity
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
+cand AS (SELECT arena, s, y, n, p, CAST(sum(quantity) AS BIGINT) AS votes FROM lines GROUP BY ALL),
+bycand AS (SELECT arena, s, y, n, p, CAST(sum(quantity) AS BIGINT) AS votes FROM lines WHERE urgent AND n <= 3 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER w AS rank, lead(p) OVER w AS q, lead(votes) OVER w AS qv, first_value(votes) OVER w AS top, CAST(sum(votes) OVER (PARTITION BY arena, s, y, n) AS BIGINT) AS total, CAST(votes AS DOUBLE) * 100 / sum(votes) OVER (PARTITION BY arena, s, y, n) AS share FROM cand WINDOW w AS (PARTITION BY arena, s, y, n ORDER BY votes DESC, p)),
+bysums AS (SELECT *, row_number() OVER w AS rank, lead(p) OVER w AS q, lead(votes) OVER w AS qv, CAST(sum(votes) OVER (PARTITION BY arena, s, y, n) AS BIGINT) AS total FROM bycand WINDOW w AS (PARTITION BY arena, s, y, n ORDER BY votes DESC, p)),
+seats AS (SELECT arena, s, y, n, p, share AS v, q, CAST(votes - qv AS DOUBLE) * 100 / total AS m, total, votes AS wv,
+  CASE WHEN arena = 'AE' AND s IN ('NATION_3', 'NATION_7') AND y >= 1998 THEN n + 119 ELSE n END AS j, s || '-' || n AS c, CASE WHEN n <= 2 THEN 'SC' WHEN n = 3 THEN 'ST' ELSE 'GEN' END AS r,
+  CASE WHEN p IN ('STANDARD', 'ECONOMY') THEN 'A Alliance (X)' WHEN p IN ('MEDIUM', 'PROMO') THEN 'B Alliance (Y)' ELSE 'Unaligned' END AS a, CAST(50 + total % 40 AS DOUBLE) AS t FROM ranked WHERE rank = 1),
+prev AS (SELECT *, CASE WHEN prev_y IS NULL THEN 'no-previous' WHEN arena = 'AE' AND s IN ('NATION_5', 'NATION_9') AND (prev_y < 1998) <> (y < 1998) THEN 'not-comparable' WHEN prev_p = p THEN 'held' ELSE 'flipped' END AS status
+  FROM (SELECT *, lag(y) OVER w AS prev_y, lag(p) OVER w AS prev_p, lag(m) OVER w AS prev_m FROM seats WINDOW w AS (PARTITION BY arena, s, j ORDER BY y))),
+act AS (SELECT * FROM seats WHERE y <= 2000 QUALIFY y = max(y) OVER (PARTITION BY arena, s)),
+chg AS (SELECT * FROM prev WHERE y <= 2000 QUALIFY y = max(y) OVER (PARTITION BY arena, s)),
+comp AS (SELECT * FROM chg WHERE status IN ('held', 'flipped')),
+summ AS (SELECT arena, s, y, p, count(DISTINCT n) AS f, count(*) FILTER (rank = 1) AS wo, CAST(sum(votes) AS BIGINT) AS votes, CAST(sum(votes) AS DOUBLE) * 100 / sum(sum(votes)) OVER (PARTITION BY arena, s, y) AS v FROM ranked GROUP BY arena, s, y, p),
+nat AS (SELECT arena, y, p, CAST(sum(f) AS BIGINT) AS f, CAST(sum(wo) AS BIGINT) AS wo, CAST(sum(votes) AS BIGINT) AS votes, CAST(sum(votes) AS DOUBLE) * 100 / sum(sum(votes)) OVER (PARTITION BY arena, y) AS v FROM summ GROUP BY arena, y, p),
+byp AS (SELECT b.arena, b.s, b.y, b.n, b.p, x.p AS prev, CASE WHEN x.p IS NULL THEN NULL WHEN x.p = b.p THEN 'Y' ELSE 'N' END AS ret, 1 + b.n % 12 AS mo FROM bysums b LEFT JOIN seats x ON b.arena = x.arena AND b.s = x.s AND b.y = x.y AND b.n = x.n WHERE b.rank = 1),
+roles AS (SELECT arena, s, j, m, p, 'won' AS role FROM act UNION ALL SELECT arena, s, j, m, q, 'second' FROM act WHERE q IS NOT NULL),
+house AS (SELECT arena, CAST(floor(count(*) / 2) AS BIGINT) + 1 AS majority FROM act GROUP BY ALL),
+par AS (SELECT n_name AS s, r_name AS pc FROM nation JOIN region ON n_regionkey = r_regionkey),
+el AS (SELECT *, CAST(floor(e * 0.52) AS BIGINT) AS men, e - CAST(floor(e * 0.52) AS BIGINT) - CASE WHEN n = 4 THEN 200 ELSE 0 END AS women FROM (SELECT arena, s, y, n, j, total * 2 + CASE WHEN n = 6 THEN 0 ELSE n * 10 END AS e, total * CASE WHEN n = 5 THEN 3 ELSE 1 END AS voters FROM seats)),
+wins AS (SELECT arena, s, p, count(*) AS won, row_number() OVER (PARTITION BY arena, s ORDER BY count(*) DESC, p) AS rn FROM act GROUP BY arena, s, p)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[canon.r6(F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def register(name: str, build: Callable[[Contests], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: rounded(build(Contests(spark, sf_dir)))
+    if sql:
+        ORACLE[name] = PREFIX + sql
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["tally_active"](spark, sf_dir)
+
+
+SEAT = ["arena", "s", "y", "n"]
+PLACE = ["arena", "s", "j"]
+
+# Contests, candidates and history.
+register("contest_resolution", lambda c: c.seats.select(*SEAT, "j", "c", "r", "p", "a", "v", "q", "m", "t", "total", "wv"), "SELECT arena, s, y, n, j, c, r, p, a, round(v, 6) AS v, q, round(m, 6) AS m, t, total, wv FROM seats")
+register("top_candidates", lambda c: resolve.top_candidates(c.cand), "SELECT arena, s, y, n, p, votes, rank, round(share, 6) AS share FROM ranked WHERE rank <= 5")
+register("candidate_gaps", lambda c: resolve.candidate_gaps(c.cand), "SELECT arena, s, y, n, p, rank, top - votes AS behind, votes - qv AS ahead, round(CAST(votes - qv AS DOUBLE) * 100 / total, 6) AS ahead_pct FROM ranked")
+register("active_snapshot", lambda c: c.active.select(*SEAT, "p", "m"), "SELECT arena, s, y, n, p, round(m, 6) AS m FROM act")
+register("seat_history", lambda c: c.history.select(*PLACE, "y", "p", "prev_y", "prev_p", "status"), "SELECT arena, s, j, y, p, prev_y, prev_p, status FROM prev")
+register("seat_changes", lambda c: c.changed.select(*PLACE, "y", "p", "prev_p", "status", "prev_m"), "SELECT arena, s, j, y, p, prev_p, status, round(prev_m, 6) AS prev_m FROM chg")
+register("fortress_streaks", lambda c: resolve.streaks(c.seats), "SELECT arena, s, j, max(p) AS p, count(*) AS wins, min(y) AS since FROM (SELECT *, max(island) OVER (PARTITION BY arena, s, j) AS last FROM (SELECT *, sum(CASE WHEN status = 'held' THEN 0 ELSE 1 END) OVER (PARTITION BY arena, s, j ORDER BY y) AS island FROM prev)) WHERE island = last GROUP BY arena, s, j HAVING count(*) >= 3")
+register("churn_seats", lambda c: resolve.churn(c.seats), "SELECT arena, s, j, count(*) FILTER (status IN ('held', 'flipped')) AS pairs, count(*) FILTER (status = 'flipped') AS flips FROM prev GROUP BY ALL HAVING pairs >= 2 AND flips >= 2")
+register("stronghold_classes", lambda c: resolve.stronghold_classes(c.seats), """, recent AS (SELECT * FROM (SELECT *, max(y) OVER (PARTITION BY arena, s) AS last FROM seats) WHERE NOT (arena = 'AE' AND s IN ('NATION_5', 'NATION_9') AND (y < 1998) <> (last < 1998))),
+best AS (SELECT arena, s, j, p, count(*) AS wins, CAST(sum(count(*)) OVER (PARTITION BY arena, s, j) AS BIGINT) AS total FROM recent GROUP BY arena, s, j, p QUALIFY row_number() OVER (PARTITION BY arena, s, j ORDER BY count(*) DESC, p) = 1)
+SELECT arena, s, j, CASE WHEN class <> 'swing' THEN p END AS p, wins, total, class FROM (SELECT *, CASE WHEN total >= 2 AND wins = total THEN 'safe' WHEN wins >= 0.6 * total THEN 'lean' ELSE 'swing' END AS class FROM best)""")
+register("eroding_seats", lambda c: resolve.eroding(c.seats), "SELECT arena, s, j, y, p, round(m1 - m, 6) AS lost FROM (SELECT *, lag(p, 1) OVER w AS p1, lag(p, 2) OVER w AS p2, lag(m, 1) OVER w AS m1, lead(y) OVER w AS later FROM seats WINDOW w AS (PARTITION BY arena, s, j ORDER BY y)) WHERE later IS NULL AND p = p1 AND p = p2 AND m1 - m > 5")
+register("seat_biographies", lambda c: resolve.biographies(c.seats), "SELECT arena, s, j, count(*) AS elections, count(DISTINCT p) AS winners, count(*) FILTER (status = 'flipped') AS flips, count(*) FILTER (status = 'held') AS holds, round(min(m), 6) AS closest, round(max(m), 6) AS safest, round(avg(m), 6) AS mean_margin, round(avg(t), 6) AS mean_turnout, round(avg(v + (v - m)), 6) AS bipolarity FROM prev GROUP BY ALL")
+
+# Roll-ups.
+register("tally_active", lambda c: rollup.tally(c.active, "arena", "p"), "SELECT arena, p, count(*) AS seats FROM act GROUP BY ALL")
+register("tally_by_state", lambda c: rollup.tally(c.active, "arena", "s", "p"), "SELECT arena, s, p, count(*) AS seats FROM act GROUP BY ALL")
+register("tally_by_alliance", lambda c: rollup.tally(c.active.withColumn("base", canon.alliance_base(F.col("a"))), "arena", "base"), "SELECT arena, regexp_replace(a, ' \\(.*\\)$', '') AS base, count(*) AS seats FROM act GROUP BY ALL")
+register("presence_ranking", lambda c: rollup.presence(c.active), "SELECT arena, p, weight, row_number() OVER (PARTITION BY arena ORDER BY weight DESC, p) AS rank FROM (SELECT arena, p, round(sum(CASE WHEN role = 'won' THEN 1.0 ELSE 0.4 END), 6)::DOUBLE AS weight FROM roles GROUP BY ALL)")
+register("party_summary", lambda c: c.summary, "SELECT arena, s, y, p, f, wo, votes, round(v, 6) AS v FROM summ")
+register("national_summary", lambda c: c.national, "SELECT arena, y, p, f, wo, votes, round(v, 6) AS v FROM nat")
+register("alliance_summary", lambda c: rollup.alliance_summary(c.national.withColumn("a", canon.alliance_of(F.col("p")))), "SELECT arena, y, CASE WHEN p IN ('STANDARD', 'ECONOMY') THEN 'A Alliance' WHEN p IN ('MEDIUM', 'PROMO') THEN 'B Alliance' ELSE 'Unaligned' END AS a, CAST(sum(f) AS BIGINT) AS f, CAST(sum(wo) AS BIGINT) AS wo, round(sum(v), 6) AS v FROM nat GROUP BY ALL")
+register("turnout_series", lambda c: rollup.turnout_series(c.seats), "SELECT arena, y, round(avg(t), 6) AS t, round(avg(t) - lag(avg(t)) OVER (PARTITION BY arena ORDER BY y), 6) AS delta FROM seats GROUP BY arena, y")
+register("weighted_turnout", lambda c: rollup.weighted_turnout(c.seats), "SELECT arena, y, round(sum(t * w) / sum(w), 6) AS t FROM (SELECT arena, y, s, avg(t) AS t, count(*) AS w FROM seats GROUP BY ALL) GROUP BY ALL")
+register("retention_matrix", lambda c: rollup.retention(c.changed), ", kept AS (SELECT arena, prev_p FROM comp GROUP BY arena, prev_p QUALIFY row_number() OVER (PARTITION BY arena ORDER BY count(*) DESC, prev_p) <= 4) SELECT c.arena, coalesce(k.prev_p, 'Other') AS was, c.p AS now, count(*) AS seats FROM comp c LEFT JOIN kept k ON c.arena = k.arena AND c.prev_p = k.prev_p GROUP BY ALL")
+NET = ", net AS (SELECT arena{0}, p, CAST(sum(now) AS BIGINT) AS now, CAST(sum(before) AS BIGINT) AS before, CAST(sum(now - before) AS BIGINT) AS net FROM (SELECT arena, s, p, 1 AS now, 0 AS before FROM comp UNION ALL SELECT arena, s, prev_p, 0, 1 FROM comp) GROUP BY ALL)"
+register("net_change", lambda c: rollup.net_change(c.changed, "arena"), NET.format("") + " SELECT * FROM net")
+register("net_change_by_state", lambda c: rollup.net_change(c.changed, "arena", "s"), NET.format(", s") + " SELECT * FROM net")
+register("net_extremes", lambda c: rollup.extremes(rollup.net_change(c.changed, "arena")), NET.format("") + " SELECT * FROM net QUALIFY row_number() OVER (PARTITION BY arena ORDER BY net DESC, p) <= 2 OR row_number() OVER (PARTITION BY arena ORDER BY net, p) <= 2")
+register("flow_drill", lambda c: rollup.flows(c.changed), "SELECT arena, s, prev_p AS was, p AS now, count(*) AS seats FROM chg WHERE status = 'flipped' GROUP BY ALL")
+register("status_counts", lambda c: rollup.tally(c.changed, "arena", "status"), "SELECT arena, status, count(*) AS seats FROM chg GROUP BY ALL")
+RIVALS = "SELECT arena, least(p, q) AS p1, greatest(p, q) AS p2, count(*) AS met, count(*) FILTER (p <= q) AS wins1, count(*) FILTER (p > q) AS wins2 FROM act WHERE q IS NOT NULL{} GROUP BY ALL"
+register("rivalry_matrix", lambda c: rollup.rivalries(c.active), RIVALS.format(""))
+register("close_battlegrounds", lambda c: rollup.rivalries(c.active, F.col("m") < 5), RIVALS.format(" AND m < 5"))
+register("reservation_breakdown", lambda c: rollup.by_reservation(c.seats), "SELECT arena, y, p, count(*) FILTER (r = 'GEN') AS \"GEN\", count(*) FILTER (r = 'SC') AS \"SC\", count(*) FILTER (r = 'ST') AS \"ST\" FROM seats GROUP BY ALL")
+register("vote_seat_gap", lambda c: rollup.efficiency(c.national), "SELECT arena, p, round(avg(ss - v), 6) AS gap, count(*) AS elections FROM (SELECT *, CAST(wo AS DOUBLE) * 100 / sum(wo) OVER (PARTITION BY arena, y) AS ss FROM nat) WHERE v >= 4 GROUP BY ALL HAVING count(*) >= 2")
+register("strike_rates", lambda c: rollup.strike_rates(c.national), "SELECT arena, y, p, CAST(floor(CAST(wo AS DOUBLE) * 100 / f + 0.5) AS BIGINT) AS strike FROM nat")
+register("states_at_a_glance", lambda c: rollup.glance(c.active), """, led AS (SELECT arena, s, max(p) FILTER (rn = 1) AS leader, max(won) FILTER (rn = 1) AS won, max(p) FILTER (rn = 2) AS second, coalesce(max(won) FILTER (rn = 2), 0) AS second_won, count(*) AS parties FROM wins GROUP BY ALL)
+SELECT led.*, seats, close, t, won - second_won AS gap, CAST(floor(seats / 2) AS BIGINT) + 1 AS majority FROM led JOIN (SELECT arena, s, count(*) AS seats, count(*) FILTER (m < 5) AS close, round(avg(t), 6) AS t FROM act GROUP BY ALL) USING (arena, s)""")
+register("states_led", lambda c: rollup.states_led(c.active), "SELECT arena, p, count(*) AS states FROM wins WHERE rn = 1 GROUP BY ALL")
+register("alliance_pooling", lambda c: rollup.pooled(c.cand.withColumn("a", canon.alliance_of(F.col("p")))), """, g AS (SELECT *, CASE WHEN p IN ('STANDARD', 'ECONOMY') THEN 'A Alliance' WHEN p IN ('MEDIUM', 'PROMO') THEN 'B Alliance' ELSE p END AS g FROM ranked),
+sums AS (SELECT arena, s, y, n, g, sum(votes) AS votes, count(DISTINCT p) AS parties, row_number() OVER (PARTITION BY arena, s, y, n ORDER BY sum(votes) DESC, g) AS rn FROM g GROUP BY arena, s, y, n, g),
+cnt AS (SELECT arena, s, y, g, CAST(sum(a) AS BIGINT) AS actual, CAST(sum(b) AS BIGINT) AS pooled, CAST(sum(ff) AS BIGINT) AS ff FROM (SELECT arena, s, y, g, 1 AS a, 0 AS b, 0 AS ff FROM g WHERE rank = 1 UNION ALL SELECT arena, s, y, g, 0, 1, 0 FROM sums WHERE rn = 1 UNION ALL SELECT arena, s, y, g, 0, 0, 1 FROM sums WHERE parties >= 2) WHERE g LIKE '%Alliance' GROUP BY ALL)
+SELECT * FROM cnt WHERE ff > 0 OR actual <> pooled""")
+register("bypoll_kpis", lambda c: c.bypolls.groupBy("arena").agg(F.count(F.lit(1)).alias("total"), F.count("ret").alias("judged"), F.count_if(F.col("ret") == "Y").alias("held")), "SELECT arena, count(*) AS total, count(ret) AS judged, count(*) FILTER (ret = 'Y') AS held FROM byp GROUP BY ALL")
+register("bypoll_ledger", lambda c: rollup.bypoll_ledger(c.bypolls), "SELECT p, defended, held, gained, round(CASE WHEN defended > 0 THEN CAST(held AS DOUBLE) * 100 / defended END, 6) AS rate FROM (SELECT p, CAST(sum(d) AS BIGINT) AS defended, CAST(sum(h) AS BIGINT) AS held, CAST(sum(g) AS BIGINT) AS gained FROM (SELECT prev AS p, 1 AS d, CAST(ret = 'Y' AS INTEGER) AS h, 0 AS g FROM byp WHERE ret IS NOT NULL UNION ALL SELECT p, 0, 0, CAST(ret = 'N' AS INTEGER) FROM byp WHERE ret IS NOT NULL) GROUP BY ALL) WHERE defended + gained >= 5")
+register("bypoll_timeline", lambda c: c.bypolls.where("ret is not null").select("arena", "s", "n", "p", (F.col("y") + (F.col("mo") - 0.5) / 12).alias("at")), "SELECT arena, s, n, p, round(y + CAST(mo - 0.5 AS DOUBLE) / 12, 6) AS at FROM byp WHERE ret IS NOT NULL")
+register("parent_composition", lambda c: rollup.composition(c.seats, c.parents), "SELECT arena, pc, y, p, won, \"of\" FROM (SELECT arena, pc, y, p, count(*) AS won, CAST(sum(count(*)) OVER (PARTITION BY arena, pc, y) AS BIGINT) AS \"of\", row_number() OVER (PARTITION BY arena, pc, y ORDER BY count(*) DESC, p) AS rn FROM seats JOIN par USING (s) GROUP BY arena, pc, y, p) WHERE rn = 1")
+register("gap_audit", lambda c: rollup.missing_shares(c.seats), "SELECT arena, s, y, round(CAST(count(*) FILTER (m IS NULL) AS DOUBLE) * 100 / count(*), 6) AS no_margin, round(CAST(count(*) FILTER (q IS NULL) AS DOUBLE) * 100 / count(*), 6) AS no_second, count(m) = 0 AS winners_only FROM seats GROUP BY ALL")
+register("margin_bands", lambda c: c.active.groupBy("arena", canon.band(F.col("m"), canon.MARGIN_BANDS).alias("band"), canon.safety(F.col("m")).alias("safety")).agg(F.count(F.lit(1)).alias("seats")), "SELECT arena, CASE WHEN m IS NOT NULL THEN CAST(m >= 2 AS INTEGER) + CAST(m >= 5 AS INTEGER) + CAST(m >= 10 AS INTEGER) + CAST(m >= 20 AS INTEGER) END AS band, CASE WHEN m IS NULL THEN 'Unknown' WHEN m >= 15 THEN 'Safe' WHEN m >= 5 THEN 'Lean' ELSE 'Marginal' END AS safety, count(*) AS seats FROM act GROUP BY ALL")
+register("lost_deposits", lambda c: resolve.ranked(c.cand).where(canon.lost_deposit(F.col("share"))).groupBy("arena", "y", "p").agg(F.count(F.lit(1)).alias("lost")), "SELECT arena, y, p, count(*) AS lost FROM ranked WHERE share < 100.0 / 6 GROUP BY ALL")
+register("closeness_rank", lambda c: c.seats.where("m is not null").select(*SEAT, F.rank().over(resolve.Window.partitionBy("arena", "s", "y").orderBy("m")).alias("rank"), F.count(F.lit(1)).over(resolve.Window.partitionBy("arena", "s", "y")).alias("of")).where("of >= 4"), "SELECT arena, s, y, n, rank, \"of\" FROM (SELECT *, rank() OVER (PARTITION BY arena, s, y ORDER BY m) AS rank, count(*) OVER (PARTITION BY arena, s, y) AS \"of\" FROM seats WHERE m IS NOT NULL) WHERE \"of\" >= 4")
+
+# Trends, swings and what-ifs.
+register("party_swing", lambda c: project.swing(c.summary, YEAR, BEFORE), "SELECT a.arena, a.s, a.p, round(a.v, 6) AS now, round(b.v, 6) AS then, round(a.v - b.v, 6) AS swing FROM summ a JOIN summ b ON a.arena = b.arena AND a.s = b.s AND a.p = b.p AND a.y = 2000 AND b.y = 1999 WHERE a.v >= 1 OR b.v >= 1")
+register("pedersen_volatility", lambda c: project.pedersen(c.summary), """, prs AS (SELECT arena, s, y, lag(y) OVER (PARTITION BY arena, s ORDER BY y) AS before FROM (SELECT DISTINCT arena, s, y FROM summ))
+SELECT arena, s, y, round(sum(abs(d)) / 2, 6) AS volatility FROM (SELECT arena, s, y, p, sum(d) AS d FROM (SELECT x.arena, x.s, x.y, p, v AS d FROM prs x JOIN summ u ON x.arena = u.arena AND x.s = u.s AND x.y = u.y WHERE before IS NOT NULL UNION ALL SELECT x.arena, x.s, x.y, p, -v FROM prs x JOIN summ u ON x.arena = u.arena AND x.s = u.s AND x.before = u.y) GROUP BY ALL) GROUP BY ALL""")
+TREND = """, yrs AS (SELECT arena, y, CAST(row_number() OVER (PARTITION BY arena ORDER BY y) - 1 AS DOUBLE) AS x FROM (SELECT DISTINCT arena, y FROM nat)),
+fit AS (SELECT arena, p, regr_slope(v, x) AS slope, regr_intercept(v, x) AS intercept, count(v) AS points, regr_sxy(v, x) AS sxy, regr_sxx(v, x) AS sxx, regr_syy(v, x) AS syy FROM nat JOIN yrs USING (arena, y) GROUP BY ALL HAVING count(v) >= 3)
+"""
+register("linear_trends", lambda c: project.linear_trends(c.national), TREND + "SELECT arena, p, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(CASE WHEN syy = 0 THEN 0 ELSE greatest(0, sxy * sxy / (sxx * syy)) END, 6) AS r2, round(least(100, greatest(0, intercept + slope * (SELECT max(x) + 1 FROM yrs WHERE yrs.arena = fit.arena))), 6) AS projected, points FROM fit")
+register("momentum", lambda c: project.momentum(project.linear_trends(c.national), 0.01), TREND + "SELECT arena, p, round(slope, 6) AS slope, way FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY arena ORDER BY slope DESC, p) = 1 AND slope > 0.01 THEN 'rising' WHEN row_number() OVER (PARTITION BY arena ORDER BY slope, p) = 1 AND slope < -0.01 THEN 'falling' END AS way FROM fit) WHERE way IS NOT NULL")
+CURVE = ", curve AS (SELECT arena, p, pp, count(*) FILTER (role = 'won') + count(*) FILTER (role = 'second' AND pp > 0 AND m < 2 * pp) - count(*) FILTER (role = 'won' AND pp < 0 AND m < -2 * pp) AS seats FROM roles, (SELECT CAST(i * {0} AS DOUBLE) AS pp FROM range(-{1}, {1} + 1) t(i)) GROUP BY ALL)"
+register("seat_curve", lambda c: project.seat_curve(c.active), CURVE.format("0.5", 24) + " SELECT arena, p, pp, seats FROM curve")
+register("swing_to_majority", lambda c: project.swing_to_majority(c.active), CURVE.format("0.25", 48) + " SELECT arena, p, coalesce(min(pp) FILTER (seats >= majority), 12.0) AS pp, max(seats) < max(majority) AS capped FROM curve JOIN house USING (arena) GROUP BY ALL")
+register("swingometer", lambda c: project.swingometer(c.active, 3.0), "SELECT arena, p, q, count(*) AS flips, round(min(m), 6) AS closest FROM act WHERE q IS NOT NULL AND m < 6 GROUP BY ALL")
+register("tipping_seats", lambda c: project.tipping_seats(c.active), ", base AS (SELECT arena, p, count(*) FILTER (role = 'won') AS base FROM roles GROUP BY ALL), losses AS (SELECT arena, p, s, j, m, row_number() OVER (PARTITION BY arena, p ORDER BY m, s, j) AS nth FROM roles WHERE role = 'second' AND m IS NOT NULL) SELECT arena, p, s, j, round(m, 6) AS m, nth FROM losses JOIN base USING (arena, p) JOIN house USING (arena) WHERE nth = majority - base")
+register("alliance_what_if", lambda c: project.alliance_what_if(c.active, BLOC, c.summary.where(F.col("y") == YEAR)), """, bs AS (SELECT arena, s, sum(v) AS bloc_share FROM summ WHERE y = 2000 AND p IN ('STANDARD', 'ECONOMY') GROUP BY ALL),
+x AS (SELECT a.arena, a.p IN ('STANDARD', 'ECONOMY') AS won, coalesce(a.q IN ('STANDARD', 'ECONOMY'), false) AS second, bloc_share - u.v >= a.m AS reach FROM act a LEFT JOIN bs ON a.arena = bs.arena AND a.s = bs.s LEFT JOIN summ u ON u.arena = a.arena AND u.s = a.s AND u.p = a.q AND u.y = 2000)
+SELECT arena, count(*) FILTER (won) AS now, count(*) FILTER (won AND second) AS friendly, count(*) FILTER (second AND NOT won) AS contestable, count(*) FILTER (second AND NOT won AND reach) AS gains, count(*) FILTER (won) + count(*) FILTER (second AND NOT won AND reach) AS projected FROM x GROUP BY ALL""")
+register("majority_cushion", lambda c: project.majority_cushion(c.active), """, b AS (SELECT *, regexp_replace(a, ' \\(.*\\)$', '') AS b FROM act), led AS (SELECT arena, b, count(*) AS won FROM b WHERE b <> 'Unaligned' GROUP BY arena, b QUALIFY row_number() OVER (PARTITION BY arena ORDER BY count(*) DESC, b) = 1)
+SELECT arena, b AS alliance, won, won - majority AS cushion, round(m, 6) AS pivot FROM (SELECT *, row_number() OVER (PARTITION BY arena, b ORDER BY m NULLS LAST, s, j) AS nth FROM b JOIN led USING (arena, b) JOIN house USING (arena)) WHERE nth = greatest(1, least(won, won - majority + 1))""")
+register("decisive_swing", lambda c: project.decisive_swing(c.active), """, two AS (SELECT arena, s, max(p) FILTER (rn = 1) AS leader, max(p) FILTER (rn = 2) AS next, max(won) AS a, min(won) AS b FROM wins WHERE rn <= 2 GROUP BY ALL HAVING max(rn) = 2),
+tried AS (SELECT arena, s, leader, next, pp, a, b, count(*) FILTER (p = leader AND q = next AND m < 2 * pp) AS x FROM act JOIN two USING (arena, s), (SELECT CAST(i * 0.5 AS DOUBLE) AS pp FROM range(1, 25) t(i)) GROUP BY ALL)
+SELECT arena, s, leader, next, min(pp) FILTER (b + x > a - x) AS pp FROM tried GROUP BY ALL""")
+
+# Detectors, boards and scorecards.
+register("thin_book", lambda c: signals.thin_book(c.active), "SELECT arena, p, count(*) AS wins, count(*) FILTER (m < 5) AS thin, round(CAST(count(*) FILTER (m < 5) AS DOUBLE) * 100 / count(*), 6) AS pct FROM act GROUP BY ALL HAVING count(*) >= 5")
+register("shallow_wins", lambda c: signals.shallow_wins(c.active), "SELECT arena, p, wins, shallow, round(pct, 6) AS pct FROM (SELECT arena, p, count(*) AS wins, count(*) FILTER (m < 3) AS shallow, CAST(count(*) FILTER (m < 3) AS DOUBLE) * 100 / count(*) AS pct FROM act GROUP BY ALL) WHERE wins >= 10 AND pct >= 12")
+register("minority_wins", lambda c: signals.minority_wins(c.active), "SELECT arena, p, count(*) AS wins, max(o) AS \"of\" FROM (SELECT *, count(*) OVER (PARTITION BY arena) AS o FROM act WHERE v IS NOT NULL) WHERE v < 40 GROUP BY ALL")
+register("flip_concentration", lambda c: signals.flip_concentration(c.changed), "SELECT arena, s, flips, rank, round(CAST(flips AS DOUBLE) * 100 / total, 6) AS pct FROM (SELECT arena, s, count(*) AS flips, sum(count(*)) OVER (PARTITION BY arena) AS total, row_number() OVER (PARTITION BY arena ORDER BY count(*) DESC, s) AS rank FROM chg WHERE status = 'flipped' GROUP BY arena, s) WHERE rank <= 3")
+register("worst_defence", lambda c: signals.worst_defence(c.changed), "SELECT arena, p, had, kept, round(pct, 6) AS pct FROM (SELECT *, row_number() OVER (PARTITION BY arena ORDER BY pct, p) AS rn FROM (SELECT arena, prev_p AS p, count(*) AS had, count(*) FILTER (status = 'held') AS kept, CAST(count(*) FILTER (status = 'held') AS DOUBLE) * 100 / count(*) AS pct FROM comp GROUP BY ALL HAVING count(*) >= 5)) WHERE rn = 1")
+register("efficiency_gap", lambda c: signals.efficiency_gap(c.national, YEAR), "SELECT arena, p, round(v, 6) AS v, round(ss, 6) AS ss, round(ss - v, 6) AS gap, CASE WHEN ss - v >= 4 THEN 'over' WHEN ss - v <= -4 THEN 'under' ELSE 'fair' END AS tone FROM (SELECT *, CAST(wo AS DOUBLE) * 100 / sum(wo) OVER (PARTITION BY arena) AS ss FROM nat WHERE y = 2000 AND v >= 2)")
+register("reservation_skew", lambda c: signals.reservation_skew(c.active), ", led AS (SELECT arena, p AS leader FROM act GROUP BY arena, p QUALIFY row_number() OVER (PARTITION BY arena ORDER BY count(*) DESC, p) = 1) SELECT arena, leader, r AS cat, count(*) AS \"of\", count(*) FILTER (p = leader) AS won, round(CAST(count(*) FILTER (p = leader) AS DOUBLE) * 100 / count(*), 6) AS rate FROM act JOIN led USING (arena) GROUP BY ALL HAVING count(*) >= 3")
+CARDS = """, won AS (SELECT arena, p, count(*) AS won, avg(m) AS mean_margin, count(*) FILTER (m >= 10) AS safe, count(*) FILTER (m < 5) AS thin, count(*) FILTER (v < 40) AS sub40 FROM act GROUP BY ALL), lost AS (SELECT arena, q AS p, count(*) AS second, count(*) FILTER (m < 10) AS targets, count(*) FILTER (m < 5) AS close_targets FROM act WHERE q IS NOT NULL GROUP BY ALL),
+cards AS (SELECT *, CAST(won AS DOUBLE) * 100 / (won + second) AS strike FROM (SELECT arena, p, mean_margin, coalesce(won, 0) AS won, coalesce(safe, 0) AS safe, coalesce(thin, 0) AS thin, coalesce(sub40, 0) AS sub40, coalesce(second, 0) AS second, coalesce(targets, 0) AS targets, coalesce(close_targets, 0) AS close_targets FROM won FULL JOIN lost USING (arena, p)))
+"""
+register("party_scorecards", lambda c: signals.scorecards(c.active), CARDS + "SELECT arena, p, round(mean_margin, 6) AS mean_margin, won, safe, thin, sub40, second, targets, close_targets, round(strike, 6) AS strike FROM cards")
+register("party_swot", lambda c: signals.swot(signals.scorecards(c.active)), CARDS + "SELECT arena, p, kind, rule, row_number() OVER (PARTITION BY arena, p, kind ORDER BY nth) AS rank FROM (" + " UNION ALL ".join(f"SELECT arena, p, '{k}' AS kind, {i} AS nth, '{t}' AS rule FROM cards WHERE {e}" for i, (k, t, e) in enumerate(signals.RULES)) + ")")
+register("attack_board", lambda c: signals.board(c.active, c.history, c.bypolls), """, lastby AS (SELECT arena, s, n, y AS by_y, p AS by_p FROM byp QUALIFY row_number() OVER (PARTITION BY arena, s, n ORDER BY y DESC) = 1)
+SELECT a.arena, a.s, a.j, a.y, a.p, a.q, round(a.m, 6) AS m, CAST(floor((10.0::DOUBLE - a.m) / 10 * 50 + 0.5) AS BIGINT) + CASE WHEN a.m < h.prev_m THEN 20 ELSE 0 END + CASE WHEN by_y >= a.y AND by_p <> a.p THEN 15 ELSE 0 END AS score, a.v < 40 AS sub40 FROM act a JOIN prev h ON a.arena = h.arena AND a.s = h.s AND a.j = h.j AND a.y = h.y LEFT JOIN lastby b ON a.arena = b.arena AND a.s = b.s AND a.n = b.n WHERE a.m < 10""")
+register("head_to_head", lambda c: signals.head_to_head(c.active, "STANDARD", "MEDIUM"), "SELECT arena, s, count(*) FILTER (p = 'STANDARD') AS wins, count(*) FILTER (p = 'MEDIUM') AS losses FROM act WHERE (p = 'STANDARD' AND q = 'MEDIUM') OR (p = 'MEDIUM' AND q = 'STANDARD') GROUP BY ALL")
+register("challengers", lambda c: signals.challengers(c.active), "SELECT arena, s, p, q, met FROM (SELECT a.arena, a.s, a.p, a.q, count(*) AS met, row_number() OVER (PARTITION BY a.arena, a.s ORDER BY count(*) DESC, a.q) AS rn FROM act a JOIN wins w ON a.arena = w.arena AND a.s = w.s AND a.p = w.p AND w.rn = 1 WHERE a.q IS NOT NULL GROUP BY a.arena, a.s, a.p, a.q) WHERE rn = 1")
+register("party_scoreboard", lambda c: signals.scoreboard(c.active, F.lit("STANDARD")), "SELECT arena, s, j, CASE WHEN p = 'STANDARD' THEN 'won' WHEN q = 'STANDARD' THEN 'second' ELSE 'out' END AS place, round(CASE WHEN p = 'STANDARD' THEN v WHEN q = 'STANDARD' THEN v - m END, 6) AS share FROM act")
+
+# Gates, merges and apportionment.
+register("allow_list_gate", lambda c: merge.gated(c.bypolls, c.active, ["arena", "s", "y"]).select(*SEAT, "p"), "SELECT arena, s, y, n, p FROM byp SEMI JOIN act USING (arena, s, y)")
+register("allow_list_skipped", lambda c: merge.skipped(c.bypolls, c.active, ["arena", "s", "y"]), "SELECT arena, s, y, count(*) AS skipped FROM byp ANTI JOIN act USING (arena, s, y) GROUP BY ALL")
+register("base_wins_merge", lambda c: merge.base_wins(c.bypolls.where("n < 3").select(*SEAT, "p"), c.seats.select(*SEAT, "p"), ["arena", "s", "y", "n"]), "SELECT arena, s, y, n, p FROM byp WHERE n < 3 UNION ALL SELECT arena, s, y, n, p FROM seats ANTI JOIN (SELECT * FROM byp WHERE n < 3) USING (arena, s, y, n)")
+register("winner_agreement_gate", lambda c: merge.agreeing_elections(c.bypolls, c.seats, 0.5), "SELECT arena, s, y, round(avg(CAST(b.p = x.p AS DOUBLE)), 6) AS agree FROM byp b JOIN seats x USING (arena, s, y, n) GROUP BY ALL HAVING avg(CAST(b.p = x.p AS DOUBLE)) >= 0.5")
+register("complete_elections", lambda c: merge.complete_elections(c.cand, c.seats), "SELECT arena, s, y, seen, rows, due FROM (SELECT arena, s, y, count(DISTINCT n) AS seen, count(*) AS rows FROM cand GROUP BY ALL) JOIN (SELECT arena, s, y, count(*) AS due FROM seats GROUP BY ALL) USING (arena, s, y) WHERE seen >= 0.98 * due AND rows >= 3.0 * seen")
+register("electors_checked", lambda c: merge.checked_electors(c.electors), ", ok AS (SELECT *, abs(men + women - e) <= greatest(50.0, 0.005 * e) AS adds FROM el WHERE e > 0 AND voters <= 1.02 * e) SELECT arena, s, y, n, e, voters, CASE WHEN adds THEN men END AS men, CASE WHEN adds THEN women END AS women FROM ok")
+register("electorate_growth", lambda c: c.electors.select(*PLACE, "y", canon.percent(F.col("e") - F.lag("e").over(resolve.Window.partitionBy(*PLACE).orderBy("y")), F.lag("e").over(resolve.Window.partitionBy(*PLACE).orderBy("y"))).alias("growth"), canon.percent(F.col("women") * 10, F.col("men")).alias("women_per_thousand")), "SELECT arena, s, j, y, round(CAST(e - lag(e) OVER w AS DOUBLE) * 100 / lag(e) OVER w, 6) AS growth, round(CAST(women * 10 AS DOUBLE) * 100 / nullif(men, 0), 6) AS women_per_thousand FROM el WINDOW w AS (PARTITION BY arena, s, j ORDER BY y)")
+register("split_tickets", lambda c: merge.split_tickets(resolve.ranked(c.cand).where("arena = 'GE'"), resolve.ranked(c.cand).where("arena = 'AE'"), merge.nearest_year(c.seats.where("arena = 'GE'"), c.seats.where("arena = 'AE'"), ["s"])), """, ny AS (SELECT g.s, g.y, a.y AS ay FROM (SELECT DISTINCT s, y FROM seats WHERE arena = 'GE') g JOIN (SELECT DISTINCT s, y FROM seats WHERE arena = 'AE') a ON g.s = a.s QUALIFY row_number() OVER (PARTITION BY g.s, g.y ORDER BY abs(g.y - a.y), a.y) = 1)
+SELECT * FROM (SELECT g.s, g.y, ny.ay, g.n, g.p, round(g.share, 6) AS gv, round(a.share, 6) AS av, row_number() OVER (PARTITION BY g.s, g.y, g.n ORDER BY g.share DESC, g.p) AS rank FROM ranked g JOIN ny ON g.s = ny.s AND g.y = ny.y JOIN ranked a ON a.arena = 'AE' AND a.s = g.s AND a.y = ny.ay AND a.n = g.n AND a.p = g.p WHERE g.arena = 'GE' AND greatest(g.share, a.share) >= 5) WHERE rank <= 6""")

@@ -88,8 +88,8 @@ def core_encoder(vocabulary: str) -> Callable:
         for batch in small_batches(batches):
             hs, out = [], []
             for text, chunks in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                data = unpack.decompress(text)
-                for c in chunks:
+                data = unpack.decompress(text) if chunks else b""
+                for c in chunks or ():
                     a, b = core(data, c["start"], c["stop"])
                     hs.append(c["h"])
                     out.append(ids(data[a:b].decode()))
@@ -162,7 +162,8 @@ def _encoded(docs: DataFrame, vocabulary: str, digest: Callable, schema: str, ki
     shared = refs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "stop")).alias("first")).where("n > 1")
     rows = texts.mapInArrow(packed, "row binary, doc_id long, packed binary").repartition("row")
     owners = shared.select("h", "first.*").groupBy("row").agg(F.collect_list(F.struct("h", "start", "stop")).alias("chunks"))
-    own = rows.join(owners, "row").select("packed", "chunks", "doc_id").mapInArrow(core_encoder(vocabulary), "h long, ids binary")
+    # Both joins keep all rows, so that they read one shuffle of the texts.
+    own = rows.join(owners, "row", "left").select("packed", "chunks", "doc_id").mapInArrow(core_encoder(vocabulary), "h long, ids binary")
     cores = own.groupBy("h").agg(F.first("ids").alias("ids"))
     known = refs.join(shared.select("h", "first"), "h").where("row != first.row or start != first.start").join(cores, "h")
     given = known.groupBy("row").agg(F.collect_list(F.struct("start", "stop", "ids")).alias("chunks"))

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hustings.functions import canon
-from hustings.operators import merge, project, resolve, rollup, signals
+from hustings.operators import calibrate, linkage, merge, place, project, quality, resolve, rollup, signals
 from hustings.sources import contests as source
+from hustings.sources import files
+from hustings.sources import units as unit_source
 
 YEAR = 2000
 BEFORE = 1999
@@ -193,9 +195,9 @@ x AS (SELECT a.arena, a.p IN ('STANDARD', 'ECONOMY') AS won, coalesce(a.q IN ('S
 SELECT arena, count(*) FILTER (won) AS now, count(*) FILTER (won AND second) AS friendly, count(*) FILTER (second AND NOT won) AS contestable, count(*) FILTER (second AND NOT won AND reach) AS gains, count(*) FILTER (won) + count(*) FILTER (second AND NOT won AND reach) AS projected FROM x GROUP BY ALL""")
 register("majority_cushion", lambda c: project.majority_cushion(c.active), """, b AS (SELECT *, regexp_replace(a, ' \\(.*\\)$', '') AS b FROM act), led AS (SELECT arena, b, count(*) AS won FROM b WHERE b <> 'Unaligned' GROUP BY arena, b QUALIFY row_number() OVER (PARTITION BY arena ORDER BY count(*) DESC, b) = 1)
 SELECT arena, b AS alliance, won, won - majority AS cushion, round(m, 6) AS pivot FROM (SELECT *, row_number() OVER (PARTITION BY arena, b ORDER BY m NULLS LAST, s, j) AS nth FROM b JOIN led USING (arena, b) JOIN house USING (arena)) WHERE nth = greatest(1, least(won, won - majority + 1))""")
-register("decisive_swing", lambda c: project.decisive_swing(c.active), """, two AS (SELECT arena, s, max(p) FILTER (rn = 1) AS leader, max(p) FILTER (rn = 2) AS next, max(won) AS a, min(won) AS b FROM wins WHERE rn <= 2 GROUP BY ALL HAVING max(rn) = 2),
-tried AS (SELECT arena, s, leader, next, pp, a, b, count(*) FILTER (p = leader AND q = next AND m < 2 * pp) AS x FROM act JOIN two USING (arena, s), (SELECT CAST(i * 0.5 AS DOUBLE) AS pp FROM range(1, 25) t(i)) GROUP BY ALL)
-SELECT arena, s, leader, next, min(pp) FILTER (b + x > a - x) AS pp FROM tried GROUP BY ALL""")
+register("decisive_swing", lambda c: project.decisive_swing(c.active), """, two AS (SELECT arena, s, max(p) FILTER (rn = 1) AS leader, max(p) FILTER (rn = 2) AS next, max(won) AS ahead, min(won) AS behind FROM wins WHERE rn <= 2 GROUP BY ALL HAVING max(rn) = 2),
+tried AS (SELECT arena, s, leader, next, pp, ahead, behind, count(*) FILTER (p = leader AND q = next AND m < 2 * pp) AS x FROM act JOIN two USING (arena, s), (SELECT CAST(i * 0.5 AS DOUBLE) AS pp FROM range(1, 25) t(i)) GROUP BY ALL)
+SELECT arena, s, leader, next, min(pp) FILTER (behind + x > ahead - x) AS pp FROM tried GROUP BY ALL""")
 
 # Detectors, boards and scorecards.
 register("thin_book", lambda c: signals.thin_book(c.active), "SELECT arena, p, count(*) AS wins, count(*) FILTER (m < 5) AS thin, round(CAST(count(*) FILTER (m < 5) AS DOUBLE) * 100 / count(*), 6) AS pct FROM act GROUP BY ALL HAVING count(*) >= 5")
@@ -226,3 +228,73 @@ register("electors_checked", lambda c: merge.checked_electors(c.electors), ", ok
 register("electorate_growth", lambda c: c.electors.select(*PLACE, "y", canon.percent(F.col("e") - F.lag("e").over(resolve.Window.partitionBy(*PLACE).orderBy("y")), F.lag("e").over(resolve.Window.partitionBy(*PLACE).orderBy("y"))).alias("growth"), canon.percent(F.col("women") * 10, F.col("men")).alias("women_per_thousand")), "SELECT arena, s, j, y, round(CAST(e - lag(e) OVER w AS DOUBLE) * 100 / lag(e) OVER w, 6) AS growth, round(CAST(women * 10 AS DOUBLE) * 100 / nullif(men, 0), 6) AS women_per_thousand FROM el WINDOW w AS (PARTITION BY arena, s, j ORDER BY y)")
 register("split_tickets", lambda c: merge.split_tickets(resolve.ranked(c.cand).where("arena = 'GE'"), resolve.ranked(c.cand).where("arena = 'AE'"), merge.nearest_year(c.seats.where("arena = 'GE'"), c.seats.where("arena = 'AE'"), ["s"])), """, ny AS (SELECT g.s, g.y, a.y AS ay FROM (SELECT DISTINCT s, y FROM seats WHERE arena = 'GE') g JOIN (SELECT DISTINCT s, y FROM seats WHERE arena = 'AE') a ON g.s = a.s QUALIFY row_number() OVER (PARTITION BY g.s, g.y ORDER BY abs(g.y - a.y), a.y) = 1)
 SELECT * FROM (SELECT g.s, g.y, ny.ay, g.n, g.p, round(g.share, 6) AS gv, round(a.share, 6) AS av, row_number() OVER (PARTITION BY g.s, g.y, g.n ORDER BY g.share DESC, g.p) AS rank FROM ranked g JOIN ny ON g.s = ny.s AND g.y = ny.y JOIN ranked a ON a.arena = 'AE' AND a.s = g.s AND a.y = ny.ay AND a.n = g.n AND a.p = g.p WHERE g.arena = 'GE' AND greatest(g.share, a.share) >= 5) WHERE rank <= 6""")
+
+# Row functions, on the texts that the tables have.
+register("number_parsing", lambda c: source.table(c.spark, c.sf_dir, "part").select("p_partkey", canon.lenient_number(F.substring_index("p_name", " ", -1)).alias("lenient"), canon.lenient_number(F.col("p_retailprice").cast("string"), 0).alias("whole"), canon.tolerant_number(F.when(F.col("p_size") % 7 == 0, "NA").otherwise(F.concat(F.lit("1,"), F.lpad(F.col("p_size").cast("string"), 3, "0")))).alias("tolerant")), "SELECT p_partkey, round(TRY_CAST(split_part(p_name, ' ', -1) AS DOUBLE), 2) AS lenient, CAST(trunc(p_retailprice) AS BIGINT) AS whole, CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST('1' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS BIGINT) END AS tolerant FROM part")
+register("seat_names", lambda c: c.seats.select(*SEAT, canon.seat_key(F.concat("c", F.lit(" and "), "s", F.lit(" ("), "r", F.lit(")"))).alias("key"), canon.padded_code(F.col("n"), 4).alias("code"), canon.reservation_category(F.col("r")).alias("cat")), "SELECT arena, s, y, n, regexp_replace(upper(c) || '&' || upper(s), '[^A-Z0-9]', '', 'g') AS key, lpad(CAST(n AS VARCHAR), 4, '0') AS code, r AS cat FROM seats")
+register("party_names", lambda c: source.table(c.spark, c.sf_dir, "part").select("p_partkey", canon.party_name(F.concat(F.lit("  "), "p_type", F.lit("  X [3]"))).alias("name"), canon.is_junk_party(F.when(F.col("p_size") % 5 == 0, "None of the above").otherwise(F.col("p_type"))).alias("junk")), "SELECT p_partkey, p_type || ' X' AS name, p_size % 5 = 0 AS junk FROM part")
+register("derived_shares", lambda c: c.active.where("m is not null").select(*PLACE, (F.col("v") - F.col("m")).alias("second"), F.greatest(F.lit(0.0), 100 - F.col("v") - (F.col("v") - F.col("m"))).alias("others"), (F.col("m") / 2).alias("swing_to_flip"), canon.safety(F.col("m")).alias("safety"), canon.band(F.col("t"), canon.TURNOUT_BANDS).alias("turnout_band")), "SELECT arena, s, j, round(v - m, 6) AS second, round(greatest(0.0, 100 - v - (v - m)), 6) AS others, round(m / 2, 6) AS swing_to_flip, CASE WHEN m >= 15 THEN 'Safe' WHEN m >= 5 THEN 'Lean' ELSE 'Marginal' END AS safety, CAST(t >= 55 AS INTEGER) + CAST(t >= 62 AS INTEGER) + CAST(t >= 70 AS INTEGER) + CAST(t >= 78 AS INTEGER) AS turnout_band FROM act WHERE m IS NOT NULL")
+register("segment_leaders", lambda c: resolve.ranked(c.cand).where("arena = 'GE' and rank = 1").select("s", "y", "n", "p", F.col("q").alias("trailing"), (F.col("votes") - F.col("qv")).alias("mg"), F.col("total").alias("sv")), "SELECT s, y, n, p, q AS trailing, votes - qv AS mg, total AS sv FROM ranked WHERE arena = 'GE' AND rank = 1")
+register("signed_leads", lambda c: c.seats.where("m is not null").select(*PLACE, "y", F.when(F.col("p") == "STANDARD", F.col("m")).when(F.col("q") == "STANDARD", 0 - F.col("m")).alias("lead")).where("lead is not null").groupBy(*PLACE).agg(F.count(F.lit(1)).alias("points"), F.max_by("lead", "y").alias("last"), F.min_by("lead", "y").alias("first")).where("points >= 2").withColumn("trend", F.when(F.col("last") > F.col("first"), "rising").when(F.col("last") < F.col("first"), "falling").otherwise("flat")), "SELECT arena, s, j, count(*) AS points, round(max_by(lead, y), 6) AS last, round(min_by(lead, y), 6) AS first, CASE WHEN max_by(lead, y) > min_by(lead, y) THEN 'rising' WHEN max_by(lead, y) < min_by(lead, y) THEN 'falling' ELSE 'flat' END AS trend FROM (SELECT arena, s, j, y, CASE WHEN p = 'STANDARD' THEN m WHEN q = 'STANDARD' THEN 0 - m END AS lead FROM seats WHERE m IS NOT NULL) WHERE lead IS NOT NULL GROUP BY ALL HAVING count(*) >= 2")
+register("reservation_fill", lambda c: c.seats.groupBy(*PLACE).agg(F.max(F.when(F.col("r") == "SC", 3).when(F.col("r") == "ST", 2).otherwise(0)).alias("k")).select(*PLACE, F.when(F.col("k") == 3, "SC").when(F.col("k") == 2, "ST").otherwise("GEN").alias("r")), "SELECT arena, s, j, CASE max(CASE r WHEN 'SC' THEN 3 WHEN 'ST' THEN 2 ELSE 0 END) WHEN 3 THEN 'SC' WHEN 2 THEN 'ST' ELSE 'GEN' END AS r FROM seats GROUP BY ALL")
+register("security_summary", lambda c: resolve.stronghold_classes(c.seats).groupBy("arena", "s").agg(*[F.count_if(F.col("class") == k).alias(k) for k in ("safe", "lean", "swing")]), """, recent AS (SELECT * FROM (SELECT *, max(y) OVER (PARTITION BY arena, s) AS last FROM seats) WHERE NOT (arena = 'AE' AND s IN ('NATION_5', 'NATION_9') AND (y < 1998) <> (last < 1998))),
+best AS (SELECT arena, s, j, max(w) AS wins, CAST(sum(w) AS BIGINT) AS total FROM (SELECT arena, s, j, p, count(*) AS w FROM recent GROUP BY ALL) GROUP BY ALL)
+SELECT arena, s, count(*) FILTER (total >= 2 AND wins = total) AS safe, count(*) FILTER (NOT (total >= 2 AND wins = total) AND wins >= 0.6 * total) AS lean, count(*) FILTER (NOT (total >= 2 AND wins = total) AND wins < 0.6 * total) AS swing FROM best GROUP BY ALL""")
+register("series_by_party", lambda c: c.national.groupBy("arena", "p").pivot("y", list(range(1995, 2002))).agg(F.max("v")), "SELECT arena, p, " + ", ".join(f"round(max(v) FILTER (y = {y}), 6) AS \"{y}\"" for y in range(1995, 2002)) + " FROM nat GROUP BY ALL")
+register("signal_board", lambda c: signals.thin_book(c.active).select("arena", F.lit("thin book").alias("signal"), "p", F.col("pct").alias("score")).unionByName(signals.shallow_wins(c.active).select("arena", F.lit("shallow wins").alias("signal"), "p", F.col("pct").alias("score"))).unionByName(signals.worst_defence(c.changed).select("arena", F.lit("worst defence").alias("signal"), "p", (100 - F.col("pct")).alias("score"))), """SELECT arena, 'thin book' AS signal, p, round(CAST(count(*) FILTER (m < 5) AS DOUBLE) * 100 / count(*), 6) AS score FROM act GROUP BY arena, p HAVING count(*) >= 5
+UNION ALL SELECT arena, 'shallow wins', p, round(CAST(count(*) FILTER (m < 3) AS DOUBLE) * 100 / count(*), 6) FROM act GROUP BY arena, p HAVING count(*) >= 10 AND CAST(count(*) FILTER (m < 3) AS DOUBLE) * 100 / count(*) >= 12
+UNION ALL SELECT arena, 'worst defence', p, round(100 - pct, 6) FROM (SELECT *, row_number() OVER (PARTITION BY arena ORDER BY pct, p) AS rn FROM (SELECT arena, prev_p AS p, CAST(count(*) FILTER (status = 'held') AS DOUBLE) * 100 / count(*) AS pct FROM comp GROUP BY arena, prev_p HAVING count(*) >= 5)) WHERE rn = 1""")
+register("parent_of_seat", lambda c: c.seats.join(c.parents, "s", "left").select(*PLACE, F.coalesce("pc", F.lit("Unmapped")).alias("pc")).distinct(), "SELECT DISTINCT arena, s, j, coalesce(pc, 'Unmapped') AS pc FROM seats LEFT JOIN par USING (s)")
+register("sides_compared", lambda c: c.active.where("arena = 'AE'").groupBy("p").agg(F.count(F.lit(1)).alias("ae")).join(c.active.where("arena = 'GE'").groupBy("p").agg(F.count(F.lit(1)).alias("ge")), "p", "full").select("p", F.coalesce("ae", F.lit(0)).alias("ae"), F.coalesce("ge", F.lit(0)).alias("ge")), "SELECT p, count(*) FILTER (arena = 'AE') AS ae, count(*) FILTER (arena = 'GE') AS ge FROM act GROUP BY ALL")
+register("split_means", lambda c: merge.split_tickets(resolve.ranked(c.cand).where("arena = 'GE'"), resolve.ranked(c.cand).where("arena = 'AE'"), merge.nearest_year(c.seats.where("arena = 'GE'"), c.seats.where("arena = 'AE'"), ["s"])).groupBy("y", "p").agg(F.avg("gv").alias("gv"), F.avg("av").alias("av"), F.avg(F.col("gv") - F.col("av")).alias("gap"), F.count(F.lit(1)).alias("pairs")).where("pairs >= 8"), """, ny AS (SELECT g.s, g.y, a.y AS ay FROM (SELECT DISTINCT s, y FROM seats WHERE arena = 'GE') g JOIN (SELECT DISTINCT s, y FROM seats WHERE arena = 'AE') a ON g.s = a.s QUALIFY row_number() OVER (PARTITION BY g.s, g.y ORDER BY abs(g.y - a.y), a.y) = 1)
+SELECT y, p, round(avg(gv), 6) AS gv, round(avg(av), 6) AS av, round(avg(gv - av), 6) AS gap, count(*) AS pairs FROM (SELECT g.s, g.y, g.n, g.p, g.share AS gv, a.share AS av, row_number() OVER (PARTITION BY g.s, g.y, g.n ORDER BY g.share DESC, g.p) AS rank FROM ranked g JOIN ny ON g.s = ny.s AND g.y = ny.y JOIN ranked a ON a.arena = 'AE' AND a.s = g.s AND a.y = ny.ay AND a.n = g.n AND a.p = g.p WHERE g.arena = 'GE' AND greatest(g.share, a.share) >= 5) WHERE rank <= 6 GROUP BY ALL HAVING count(*) >= 8""")
+
+# Small places and their seats.
+UNITS = """, u AS (SELECT k AS code, name, s, CAST(k % 4 AS INTEGER) AS district, CAST(k % 24 AS INTEGER) AS town, CAST(1 + k % 6 AS INTEGER) AS n, CASE WHEN k % 3 = 0 THEN 'WARD' ELSE 'VILLAGE' END AS level, pop, CAST(floor(pop / 5) AS BIGINT) AS hh, CAST(floor(pop * (40 + k % 50) / 100) AS BIGINT) AS lit, CAST(floor(pop / 8) AS BIGINT) AS kids, k % 3 = 0 AS urban, CASE WHEN k % 11 <> 0 THEN CAST(k % 101 AS DOUBLE) END AS power
+  FROM (SELECT c_custkey AS k, c_name AS name, n_name AS s, 200 + (c_custkey * 37) % 900 AS pop FROM customer JOIN nation ON c_nationkey = n_nationkey)),
+prof AS (SELECT s, n, CAST(sum(pop) AS BIGINT) AS pop, CAST(sum(hh) AS BIGINT) AS hh, CAST(sum(lit) AS BIGINT) AS lit, CAST(sum(kids) AS BIGINT) AS kids, CAST(coalesce(sum(pop) FILTER (urban), 0) AS BIGINT) AS urban_pop, sum(power * hh) / sum(hh) FILTER (power IS NOT NULL) AS power FROM u GROUP BY ALL),
+rate AS (SELECT s, n, CAST(lit AS DOUBLE) * 100 / (pop - kids) AS literacy, CAST(kids AS DOUBLE) * 100 / pop AS children, CAST(urban_pop AS DOUBLE) * 100 / pop AS urban, CAST(pop AS DOUBLE) / hh AS per_house, power FROM prof),
+br0 AS (SELECT s, n, district, CAST(sum(pop) AS DOUBLE) / sum(sum(pop)) OVER (PARTITION BY s, n) AS share FROM u GROUP BY s, n, district),
+br AS (SELECT s, n, district, share / sum(share) OVER (PARTITION BY s, n) AS share FROM br0 WHERE share >= 0.03),
+frame AS (SELECT s, n, CAST(sum(e) AS BIGINT) AS e FROM el WHERE arena = 'AE' AND y = 1997 GROUP BY ALL)
+"""
+
+
+def frame(c: Contests) -> DataFrame:
+    """Electors of the seats in one year: those that placed people are held against."""
+    return c.electors.where("arena = 'AE' and y = 1997").groupBy("s", "n").agg(F.sum("e").alias("e"))
+
+
+def small_places(c: Contests) -> DataFrame:
+    return unit_source.units(c.spark, c.sf_dir)
+
+
+register("seat_profiles", lambda c: place.profiles(small_places(c), "s", "n"), UNITS + "SELECT s, n, pop, hh, lit, kids, urban_pop, round(power, 6) AS power FROM prof")
+register("seat_rates", lambda c: place.rates(place.profiles(small_places(c), "s", "n"), "s", "n"), UNITS + "SELECT s, n, round(literacy, 6) AS literacy, round(children, 6) AS children, round(urban, 6) AS urban, round(per_house, 6) AS per_house, round(power, 6) AS power FROM rate")
+register("rates_ranked", lambda c: place.ranked_in_pool(place.rates(place.profiles(small_places(c), "s", "n"), "s", "n"), ["s"], "literacy").select("s", "n", "rank", "of"), UNITS + "SELECT s, n, rank() OVER (PARTITION BY s ORDER BY literacy DESC) AS rank, count(literacy) OVER (PARTITION BY s) AS \"of\" FROM rate QUALIFY count(literacy) OVER (PARTITION BY s) >= 4")
+register("district_bridge", lambda c: place.bridge(small_places(c)), UNITS + "SELECT s, n, district, round(share, 6) AS share FROM br")
+register("blended_rates", lambda c: place.blended(place.bridge(small_places(c)), place.profiles(small_places(c), "s", "district").select("s", "district", "power", canon.percent(F.col("lit"), F.col("pop")).alias("literacy")), ["power", "literacy"]), UNITS + ", d AS (SELECT s, district, sum(power * hh) / sum(hh) FILTER (power IS NOT NULL) AS power, CAST(sum(lit) AS DOUBLE) * 100 / sum(pop) AS literacy FROM u GROUP BY ALL) SELECT s, n, round(sum(share * power) / sum(share) FILTER (power IS NOT NULL), 6) AS power, round(sum(share * literacy) / sum(share) FILTER (literacy IS NOT NULL), 6) AS literacy FROM br JOIN d USING (s, district) GROUP BY ALL")
+register("district_veto", lambda c: place.vetoed(place.bridge(small_places(c)), F.col("district") >= 2), UNITS + ", v AS (SELECT *, district >= 2 AS ok, bool_or(district >= 2) OVER (PARTITION BY s, n) AS any_ok, row_number() OVER (PARTITION BY s, n ORDER BY share DESC, district) AS nth FROM br) SELECT s, n, district, round(share / sum(share) OVER (PARTITION BY s, n), 6) AS share FROM v WHERE ok OR (NOT any_ok AND nth = 1)")
+register("district_owners", lambda c: place.owners(place.bridge(small_places(c)), frame(c)), UNITS + "SELECT s, district, n, round(w, 6) AS w FROM (SELECT s, district, n, sum(share * e) AS w, row_number() OVER (PARTITION BY s, district ORDER BY sum(share * e) DESC, n) AS rn FROM br JOIN frame USING (s, n) GROUP BY s, district, n) WHERE rn = 1")
+register("tiered_assignment", lambda c: place.placement_report(place.tiered(small_places(c).select("s", "code", "town", "district", "pop"), small_places(c).where("code % 5 = 0").select("code", "n"), linkage.unambiguous(small_places(c).where("code % 5 = 1"), ["s", "town"], "n"), linkage.unambiguous(small_places(c).where("code % 5 = 2"), ["s", "district"], "n"))), UNITS + """, t AS (SELECT s, town, min(n) AS n FROM u WHERE code % 5 = 1 GROUP BY ALL HAVING count(DISTINCT n) = 1), d AS (SELECT s, district, min(n) AS n FROM u WHERE code % 5 = 2 GROUP BY ALL HAVING count(DISTINCT n) = 1),
+p AS (SELECT u.s, pop, CASE WHEN code % 5 = 0 THEN 'code' WHEN t.n IS NOT NULL THEN 'town' WHEN d.n IS NOT NULL THEN 'district' ELSE 'none' END AS method FROM u LEFT JOIN t ON u.s = t.s AND u.town = t.town LEFT JOIN d ON u.s = d.s AND u.district = d.district)
+SELECT s, method, count(*) AS units, CAST(sum(pop) AS BIGINT) AS pop, round(CAST(sum(pop) AS DOUBLE) * 100 / sum(sum(pop)) OVER (PARTITION BY s), 6) AS share FROM p GROUP BY s, method""")
+register("unit_routes", lambda c: small_places(c).groupBy("s", place.route(F.col("level"), F.col("town")).alias("route")).agg(F.count(F.lit(1)).alias("units")), UNITS + "SELECT s, CASE WHEN level = 'WARD' AND town < 8 THEN 'town' WHEN level = 'WARD' THEN 'og' ELSE 'village' END AS route, count(*) AS units FROM u GROUP BY ALL")
+register("plausibility_gate", lambda c: merge.plausible(place.profiles(small_places(c), "s", "n").select("s", "n", "pop").join(frame(c), ["s", "n"], "left")), UNITS + """, x AS (SELECT s, n, pop, e, CASE WHEN pop > 0 AND e > 0 THEN CAST(e AS DOUBLE) / pop END AS ratio FROM prof LEFT JOIN frame USING (s, n)), md AS (SELECT s, median(ratio) AS middle FROM x GROUP BY ALL)
+SELECT s, n, round(ratio, 6) AS ratio, CASE WHEN coalesce(pop, 0) <= 0 THEN 'no people' WHEN coalesce(e, 0) <= 0 THEN 'no electors' WHEN NOT (ratio BETWEEN 0.6 * middle AND 1.6 * middle) THEN 'implausible' ELSE 'ok' END AS reason FROM x JOIN md USING (s)""")
+register("census_reads", lambda c: place.reads(place.rates(place.profiles(small_places(c), "s", "n"), "s", "n"), place.rates(place.profiles(small_places(c), "s"), "s")), UNITS + """, st AS (SELECT s, CAST(sum(lit) AS DOUBLE) * 100 / (sum(pop) - sum(kids)) AS literacy, CAST(sum(pop) FILTER (urban) AS DOUBLE) * 100 / sum(pop) AS urban, sum(power * hh) / sum(hh) FILTER (power IS NOT NULL) AS power FROM u GROUP BY ALL),
+x AS (SELECT r.s, n, 'literacy' AS field, r.literacy / nullif(st.literacy, 0) AS times FROM rate r JOIN st ON r.s = st.s UNION ALL SELECT r.s, n, 'urban', r.urban / nullif(st.urban, 0) FROM rate r JOIN st ON r.s = st.s UNION ALL SELECT r.s, n, 'power', r.power / nullif(st.power, 0) FROM rate r JOIN st ON r.s = st.s)
+SELECT s, n, field, round(times, 6) AS times, row_number() OVER (PARTITION BY s, n ORDER BY round(abs(times - 1), 9) DESC, field) AS rank FROM x WHERE times >= 1.1 OR times <= 0.9 QUALIFY rank <= 2""")
+
+# Linkage, calibration, quality.
+register("mutual_best_names", lambda c: linkage.mutual_best(source.table(c.spark, c.sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name")), source.table(c.spark, c.sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.concat(F.lit("Customer"), F.expr("substring(s_name, 9)")).alias("name")), ["k"]), None)
+register("name_likeness", lambda c: source.table(c.spark, c.sf_dir, "part").select("p_partkey", linkage.flat(F.col("p_name")).alias("flat"), linkage.likeness(F.col("p_type"), F.col("p_brand")).alias("like")), "SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS flat, round(1 - CAST(levenshtein(p_type, p_brand) AS DOUBLE) / greatest(length(p_type), length(p_brand)), 6) AS \"like\" FROM part")
+register("unambiguous_names", lambda c: linkage.unambiguous(small_places(c), ["s", "town"], "n"), UNITS + "SELECT s, town, min(n) AS n FROM u GROUP BY ALL HAVING count(DISTINCT n) = 1")
+register("calibrated_shares", lambda c: calibrate.calibrate(small_places(c).select(F.concat_ws("/", "s", "town").alias("g"), "code", F.col("pop").cast("double").alias("pop"), "power", (F.col("lit").cast("double") / F.col("pop")).alias("lit")), small_places(c).groupBy(F.concat_ws("/", "s", "town").alias("g")).agg(F.avg("power").alias("power"), F.avg(F.col("lit").cast("double") / F.col("pop")).alias("lit")), "g", "code", "pop", ["power", "lit"]), None)
+register("largest_remainder", lambda c: merge.rounded_to_total(c.summary.where("arena = 'AE'").select(F.concat_ws("/", "s", "y").alias("g"), "p", F.col("v").alias("x"), F.lit(100).cast("long").alias("total")), "g", "p", "x", "total").select("g", "p", "rounded"), "SELECT g, p, f + CASE WHEN row_number() OVER (PARTITION BY g ORDER BY v - f DESC, p) <= 100 - sum(f) OVER (PARTITION BY g) THEN 1 ELSE 0 END AS rounded FROM (SELECT s || '/' || y AS g, p, v, CAST(floor(v) AS BIGINT) AS f FROM summ WHERE arena = 'AE')")
+register("hierarchy_additivity", lambda c: quality.additive(c.summary, c.national.where("p != 'PROMO'"), ["arena", "y", "p"], ["votes", "wo"]), "SELECT arena, y, p, votes AS sum_votes, wo AS sum_wo, CAST(NULL AS BIGINT) AS votes, CAST(NULL AS BIGINT) AS wo FROM nat WHERE p = 'PROMO'")
+register("key_checks", lambda c: quality.unique_and_whole(c.seats, ["arena", "s", "y"], "n"), "SELECT arena, s, y, count(*) AS rows, count(DISTINCT n) AS distinct, count(*) = count(DISTINCT n) AS is_unique, min(n) = 1 AND max(n) = count(DISTINCT n) AS is_whole FROM seats GROUP BY ALL")
+register("only_in_one", lambda c: quality.only_in(c.seats.where("arena = 'AE'"), c.seats.where("arena = 'GE'"), ["s", "y", "n"]), "SELECT s, y, n, 'a' AS only_in FROM (SELECT s, y, n FROM seats WHERE arena = 'AE' EXCEPT SELECT s, y, n FROM seats WHERE arena = 'GE') UNION ALL SELECT s, y, n, 'b' FROM (SELECT s, y, n FROM seats WHERE arena = 'GE' EXCEPT SELECT s, y, n FROM seats WHERE arena = 'AE')")
+register("coverage_buckets", lambda c: quality.coverage(small_places(c), F.col("code") % 4, "pop", "s"), UNITS + "SELECT s, bucket, CAST(sum(pop) AS BIGINT) AS weight, round(CAST(sum(pop) AS DOUBLE) * 100 / sum(sum(pop)) OVER (PARTITION BY s), 6) AS pct FROM (SELECT s, pop, CASE code % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'several' END AS bucket FROM u) GROUP BY s, bucket")
+register("check_report", lambda c: quality.report([quality.check("votes add up", c.cand, F.lit(True), F.sum("votes") == F.sum("votes")), quality.check("states", c.seats, F.lit(25), F.count_distinct("s")), quality.check("a winner for each contest", c.seats, F.count(F.lit(1)), F.count("p"))]).select("check", "ok"), "SELECT 'votes add up' AS \"check\", count(*) > 0 AS ok FROM cand UNION ALL SELECT 'states', count(DISTINCT s) = 25 FROM seats UNION ALL SELECT 'a winner for each contest', count(*) = count(p) FROM seats")
+register("election_manifest", lambda c: files.manifest(c.cand), "SELECT arena, s, y, count(*) AS rows FROM cand GROUP BY ALL")

@@ -52,7 +52,7 @@ def test_toxicity_of_held_out_documents(spark):
 
 @pytest.fixture(scope="module")
 def model():
-    found = toxicity.Model({"idiot": 0.95, "moron": 0.95, "low*": 0.9}, heads={"idio", "moro"})
+    found = toxicity.Model({"idiot": 0.95, "moron": 0.95, "lowe*": 0.9})
     for word in ["idiot"] * 50 + ["moron"] * 50 + ["that", "those", "morning", "radio"] * 10:
         marked = f"^^{word}$"
         for i in range(len(marked) - 2):
@@ -72,6 +72,11 @@ def test_clean_texts_stay_clean(model, text):
     assert model.score(text, {}) < 0.1
 
 
+def test_beginnings_give_way_to_what_is_more_specific():
+    units = {"lose*": (0.8, 50), "loser": (0.9, 48), "loser*": (0.9, 48), "vequ*": (0.9, 50), "vequa*": (0.9, 20), "vequa": (0.9, 10)}
+    assert set(toxicity.specific(units)) == {"loser", "vequ*", "vequa*", "vequa"}
+
+
 def test_toxicity_without_labels(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (5555, 1, 1)], "doc_id long, quality int, toxic int")
     assert {(round(r.score, 9), r.predicted) for r in toxicity.score(awkward, labels).collect()} == {(toxicity.PRIOR, 0)}

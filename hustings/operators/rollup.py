@@ -151,3 +151,33 @@ def composition(seats: DataFrame, parents: DataFrame) -> DataFrame:
 def missing_shares(seats: DataFrame) -> DataFrame:
     """Per cent of seats of an election without margin or runner-up; whether all winners lack a margin."""
     return seats.groupBy("arena", "s", "y").agg((F.count_if(F.col("m").isNull()).cast("double") * 100 / F.count(F.lit(1))).alias("no_margin"), (F.count_if(F.col("q").isNull()).cast("double") * 100 / F.count(F.lit(1))).alias("no_second"), (F.count("m") == 0).alias("winners_only"))
+
+
+def vote_and_seats(seats: DataFrame, summary: DataFrame, most: int = 4) -> DataFrame:
+    """By state and year: seats and mean share over the state of the parties with the most seats at their peak."""
+    won = seats.groupBy("arena", "s", "y", "p").agg(F.count(F.lit(1)).alias("seats"))
+    both = summary.select("arena", "s", "y", "p", "v").join(won, ["arena", "s", "y", "p"], "left").withColumn("seats", F.coalesce("seats", F.lit(0)))
+    peak = both.groupBy("arena", "s", "p").agg(F.max("seats").alias("peak"))
+    top = peak.withColumn("rank", F.row_number().over(Window.partitionBy("arena", "s").orderBy(F.desc("peak"), "p"))).where(F.col("rank") <= most)
+    return both.join(top.select("arena", "s", "p"), ["arena", "s", "p"])
+
+
+def win_quality(seats: DataFrame, bucket: Column, least: int = 8) -> DataFrame:
+    """Each party's wins by year and bucket, and their share of its wins of the year with a value; parties with so many wins."""
+    rows = seats.withColumn("bucket", bucket).where("bucket is not null")
+    counts = rows.groupBy("arena", "p", "y", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("arena", "p")
+    told = counts.select("*", F.sum("n").over(w).alias("all"), F.sum("n").over(Window.partitionBy("arena", "p", "y")).alias("of")).where(F.col("all") >= least)
+    return told.select("arena", "p", "y", "bucket", "n", (F.col("n").cast("double") * 100 / F.col("of")).alias("pct"))
+
+
+def winner_matrix(seats: DataFrame, years: list[int]) -> DataFrame:
+    """A row for each seat, a column for each election: who won."""
+    return seats.groupBy("arena", "s", "j").pivot("y", years).agg(F.max("p"))
+
+
+def index(seats: DataFrame) -> DataFrame:
+    """Each election's seats, leading party and its seats."""
+    won = seats.groupBy("arena", "s", "y", "p").agg(F.count(F.lit(1)).alias("lead_seats"))
+    w = Window.partitionBy("arena", "s", "y")
+    return won.select("*", F.sum("lead_seats").over(w).alias("seats"), F.row_number().over(w.orderBy(F.desc("lead_seats"), "p")).alias("rn")).where("rn = 1").drop("rn")

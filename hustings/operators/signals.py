@@ -109,3 +109,27 @@ def scoreboard(seats: DataFrame, party: Column) -> DataFrame:
     place = F.when(F.col("p") == party, "won").when(F.col("q") == party, "second").otherwise("out")
     share = F.when(F.col("p") == party, F.col("v")).when(F.col("q") == party, F.col("v") - F.col("m"))
     return seats.select("arena", "s", "j", place.alias("place"), share.alias("share"))
+
+
+def seat_labels(bios: DataFrame) -> DataFrame:
+    """What kind of seat it is: fortress, swing or leaning; bipolar, triangular or fragmented; how high its turnout."""
+    n = F.col("elections")
+    kind = F.when((n > 1) & (F.col("winners") == 1), "fortress").when((F.col("winners") == n) | (F.col("flips") >= F.ceil((n - 1) / 2)), "swing").otherwise("leans")
+    field = F.when(F.col("bipolarity") >= 82, "bipolar").when(F.col("bipolarity") >= 68, "triangular").otherwise("fragmented")
+    turnout = F.when(F.col("mean_turnout") >= 72, "high").when(F.col("mean_turnout") >= 62, "middling").otherwise("low")
+    return bios.select("arena", "s", "j", kind.alias("kind"), field.alias("field"), turnout.alias("turnout"))
+
+
+def losses_in_reach(seats: DataFrame, limit: float = 10.0, most: int = 5) -> DataFrame:
+    """Each party's closest second places of every arena."""
+    w = Window.partitionBy("arena", "q").orderBy("m", "s", "j")
+    rows = seats.where(F.col("m") < limit).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return rows.select("arena", F.col("q").alias("p"), "s", "j", "m", "rank")
+
+
+def verdicts(cards: DataFrame, seats: DataFrame) -> DataFrame:
+    """Seat share of every party and the verdict on it: dominant at 45 per cent, strong at 25, present at 8, else fringe."""
+    house = seats.groupBy("arena").agg(F.count(F.lit(1)).alias("of"))
+    share = F.col("won").cast("double") * 100 / F.col("of")
+    verdict = F.when(share >= 45, "dominant").when(share >= 25, "strong").when(share >= 8, "present").otherwise("fringe")
+    return cards.join(house, "arena").select("arena", "p", share.alias("seat_share"), verdict.alias("verdict"))

@@ -6,76 +6,18 @@ Shares and margins are rounded to six places at this edge only, so that two engi
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hustings.functions import canon
 from hustings.operators import calibrate, linkage, merge, place, project, quality, resolve, rollup, signals
+from hustings.plans.contests import BEFORE, YEAR, Contests
 from hustings.sources import contests as source
 from hustings.sources import files
-from hustings.sources import units as unit_source
 
-YEAR = 2000
-BEFORE = 1999
 BLOC = ["STANDARD", "ECONOMY"]
 
-
-class Contests:
-    """The derived tables of one folder; each is a lazy plan."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    @cached_property
-    def cand(self) -> DataFrame:
-        return source.candidates(self.spark, self.sf_dir)
-
-    @cached_property
-    def seats(self) -> DataFrame:
-        return source.labelled(resolve.contests(self.cand))
-
-    @cached_property
-    def active(self) -> DataFrame:
-        return resolve.active(self.seats, YEAR)
-
-    @cached_property
-    def history(self) -> DataFrame:
-        return resolve.with_previous(self.seats)
-
-    @cached_property
-    def changed(self) -> DataFrame:
-        return resolve.changes(self.seats, YEAR)
-
-    @cached_property
-    def summary(self) -> DataFrame:
-        return rollup.party_summary(self.cand)
-
-    @cached_property
-    def national(self) -> DataFrame:
-        return rollup.national_summary(self.summary)
-
-    @cached_property
-    def bypolls(self) -> DataFrame:
-        """By-elections with the seat's recorded winner of the same year as previous holder."""
-        by = source.labelled(resolve.contests(source.bypoll_candidates(self.spark, self.sf_dir)))
-        held = self.seats.select("arena", "s", "y", "n", F.col("p").alias("prev"))
-        kept = F.when(F.col("prev").isNotNull(), F.when(F.col("prev") == F.col("p"), "Y").otherwise("N"))
-        return by.join(held, ["arena", "s", "y", "n"], "left").withColumn("ret", kept).withColumn("mo", 1 + F.col("n") % 12)
-
-    @cached_property
-    def parents(self) -> DataFrame:
-        return source.parents(self.spark, self.sf_dir)
-
-    @cached_property
-    def electors(self) -> DataFrame:
-        """Electors and voters of every contest, with counts by gender that don't always add up."""
-        e = F.col("total") * 2 + F.when(F.col("n") == 6, 0).otherwise(F.col("n") * 10)
-        rows = self.seats.select("arena", "s", "y", "n", "j", e.alias("e"), (F.col("total") * F.when(F.col("n") == 5, 3).otherwise(1)).alias("voters"))
-        return rows.withColumn("men", F.floor(F.col("e") * 0.52).cast("long")).withColumn("women", F.col("e") - F.floor(F.col("e") * 0.52).cast("long") - F.when(F.col("n") == 4, 200).otherwise(0))
-
-
 #: What the SQL of all queries begins with: the same tables, told anew.
 PREFIX = """WITH lines AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'AE' ELSE 'GE' END AS arena, n_name AS s, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(1 + c_custkey % 6 AS INTEGER) AS n, p_type AS p, o_orderpriority = '1-URGENT' AS urgent, l_quantity AS quantity
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
@@ -259,42 +201,45 @@ br AS (SELECT s, n, district, share / sum(share) OVER (PARTITION BY s, n) AS sha
 frame AS (SELECT s, n, CAST(sum(e) AS BIGINT) AS e FROM el WHERE arena = 'AE' AND y = 1997 GROUP BY ALL)
 """
 
-
-def frame(c: Contests) -> DataFrame:
-    """Electors of the seats in one year: those that placed people are held against."""
-    return c.electors.where("arena = 'AE' and y = 1997").groupBy("s", "n").agg(F.sum("e").alias("e"))
-
-
-def small_places(c: Contests) -> DataFrame:
-    return unit_source.units(c.spark, c.sf_dir)
-
-
-register("seat_profiles", lambda c: place.profiles(small_places(c), "s", "n"), UNITS + "SELECT s, n, pop, hh, lit, kids, urban_pop, round(power, 6) AS power FROM prof")
-register("seat_rates", lambda c: place.rates(place.profiles(small_places(c), "s", "n"), "s", "n"), UNITS + "SELECT s, n, round(literacy, 6) AS literacy, round(children, 6) AS children, round(urban, 6) AS urban, round(per_house, 6) AS per_house, round(power, 6) AS power FROM rate")
-register("rates_ranked", lambda c: place.ranked_in_pool(place.rates(place.profiles(small_places(c), "s", "n"), "s", "n"), ["s"], "literacy").select("s", "n", "rank", "of"), UNITS + "SELECT s, n, rank() OVER (PARTITION BY s ORDER BY literacy DESC) AS rank, count(literacy) OVER (PARTITION BY s) AS \"of\" FROM rate QUALIFY count(literacy) OVER (PARTITION BY s) >= 4")
-register("district_bridge", lambda c: place.bridge(small_places(c)), UNITS + "SELECT s, n, district, round(share, 6) AS share FROM br")
-register("blended_rates", lambda c: place.blended(place.bridge(small_places(c)), place.profiles(small_places(c), "s", "district").select("s", "district", "power", canon.percent(F.col("lit"), F.col("pop")).alias("literacy")), ["power", "literacy"]), UNITS + ", d AS (SELECT s, district, sum(power * hh) / sum(hh) FILTER (power IS NOT NULL) AS power, CAST(sum(lit) AS DOUBLE) * 100 / sum(pop) AS literacy FROM u GROUP BY ALL) SELECT s, n, round(sum(share * power) / sum(share) FILTER (power IS NOT NULL), 6) AS power, round(sum(share * literacy) / sum(share) FILTER (literacy IS NOT NULL), 6) AS literacy FROM br JOIN d USING (s, district) GROUP BY ALL")
-register("district_veto", lambda c: place.vetoed(place.bridge(small_places(c)), F.col("district") >= 2), UNITS + ", v AS (SELECT *, district >= 2 AS ok, bool_or(district >= 2) OVER (PARTITION BY s, n) AS any_ok, row_number() OVER (PARTITION BY s, n ORDER BY share DESC, district) AS nth FROM br) SELECT s, n, district, round(share / sum(share) OVER (PARTITION BY s, n), 6) AS share FROM v WHERE ok OR (NOT any_ok AND nth = 1)")
-register("district_owners", lambda c: place.owners(place.bridge(small_places(c)), frame(c)), UNITS + "SELECT s, district, n, round(w, 6) AS w FROM (SELECT s, district, n, sum(share * e) AS w, row_number() OVER (PARTITION BY s, district ORDER BY sum(share * e) DESC, n) AS rn FROM br JOIN frame USING (s, n) GROUP BY s, district, n) WHERE rn = 1")
-register("tiered_assignment", lambda c: place.placement_report(place.tiered(small_places(c).select("s", "code", "town", "district", "pop"), small_places(c).where("code % 5 = 0").select("code", "n"), linkage.unambiguous(small_places(c).where("code % 5 = 1"), ["s", "town"], "n"), linkage.unambiguous(small_places(c).where("code % 5 = 2"), ["s", "district"], "n"))), UNITS + """, t AS (SELECT s, town, min(n) AS n FROM u WHERE code % 5 = 1 GROUP BY ALL HAVING count(DISTINCT n) = 1), d AS (SELECT s, district, min(n) AS n FROM u WHERE code % 5 = 2 GROUP BY ALL HAVING count(DISTINCT n) = 1),
+register("seat_profiles", lambda c: place.profiles(c.units, "s", "n"), UNITS + "SELECT s, n, pop, hh, lit, kids, urban_pop, round(power, 6) AS power FROM prof")
+register("seat_rates", lambda c: place.rates(place.profiles(c.units, "s", "n"), "s", "n"), UNITS + "SELECT s, n, round(literacy, 6) AS literacy, round(children, 6) AS children, round(urban, 6) AS urban, round(per_house, 6) AS per_house, round(power, 6) AS power FROM rate")
+register("rates_ranked", lambda c: place.ranked_in_pool(place.rates(place.profiles(c.units, "s", "n"), "s", "n"), ["s"], "literacy").select("s", "n", "rank", "of"), UNITS + "SELECT s, n, rank() OVER (PARTITION BY s ORDER BY literacy DESC) AS rank, count(literacy) OVER (PARTITION BY s) AS \"of\" FROM rate QUALIFY count(literacy) OVER (PARTITION BY s) >= 4")
+register("district_bridge", lambda c: place.bridge(c.units), UNITS + "SELECT s, n, district, round(share, 6) AS share FROM br")
+register("blended_rates", lambda c: place.blended(place.bridge(c.units), place.profiles(c.units, "s", "district").select("s", "district", "power", canon.percent(F.col("lit"), F.col("pop")).alias("literacy")), ["power", "literacy"]), UNITS + ", d AS (SELECT s, district, sum(power * hh) / sum(hh) FILTER (power IS NOT NULL) AS power, CAST(sum(lit) AS DOUBLE) * 100 / sum(pop) AS literacy FROM u GROUP BY ALL) SELECT s, n, round(sum(share * power) / sum(share) FILTER (power IS NOT NULL), 6) AS power, round(sum(share * literacy) / sum(share) FILTER (literacy IS NOT NULL), 6) AS literacy FROM br JOIN d USING (s, district) GROUP BY ALL")
+register("district_veto", lambda c: place.vetoed(place.bridge(c.units), F.col("district") >= 2), UNITS + ", v AS (SELECT *, district >= 2 AS ok, bool_or(district >= 2) OVER (PARTITION BY s, n) AS any_ok, row_number() OVER (PARTITION BY s, n ORDER BY share DESC, district) AS nth FROM br) SELECT s, n, district, round(share / sum(share) OVER (PARTITION BY s, n), 6) AS share FROM v WHERE ok OR (NOT any_ok AND nth = 1)")
+register("district_owners", lambda c: place.owners(place.bridge(c.units), c.frame), UNITS + "SELECT s, district, n, round(w, 6) AS w FROM (SELECT s, district, n, sum(share * e) AS w, row_number() OVER (PARTITION BY s, district ORDER BY sum(share * e) DESC, n) AS rn FROM br JOIN frame USING (s, n) GROUP BY s, district, n) WHERE rn = 1")
+register("tiered_assignment", lambda c: place.placement_report(place.tiered(c.units.select("s", "code", "town", "district", "pop"), c.units.where("code % 5 = 0").select("code", "n"), linkage.unambiguous(c.units.where("code % 5 = 1"), ["s", "town"], "n"), linkage.unambiguous(c.units.where("code % 5 = 2"), ["s", "district"], "n"))), UNITS + """, t AS (SELECT s, town, min(n) AS n FROM u WHERE code % 5 = 1 GROUP BY ALL HAVING count(DISTINCT n) = 1), d AS (SELECT s, district, min(n) AS n FROM u WHERE code % 5 = 2 GROUP BY ALL HAVING count(DISTINCT n) = 1),
 p AS (SELECT u.s, pop, CASE WHEN code % 5 = 0 THEN 'code' WHEN t.n IS NOT NULL THEN 'town' WHEN d.n IS NOT NULL THEN 'district' ELSE 'none' END AS method FROM u LEFT JOIN t ON u.s = t.s AND u.town = t.town LEFT JOIN d ON u.s = d.s AND u.district = d.district)
 SELECT s, method, count(*) AS units, CAST(sum(pop) AS BIGINT) AS pop, round(CAST(sum(pop) AS DOUBLE) * 100 / sum(sum(pop)) OVER (PARTITION BY s), 6) AS share FROM p GROUP BY s, method""")
-register("unit_routes", lambda c: small_places(c).groupBy("s", place.route(F.col("level"), F.col("town")).alias("route")).agg(F.count(F.lit(1)).alias("units")), UNITS + "SELECT s, CASE WHEN level = 'WARD' AND town < 8 THEN 'town' WHEN level = 'WARD' THEN 'og' ELSE 'village' END AS route, count(*) AS units FROM u GROUP BY ALL")
-register("plausibility_gate", lambda c: merge.plausible(place.profiles(small_places(c), "s", "n").select("s", "n", "pop").join(frame(c), ["s", "n"], "left")), UNITS + """, x AS (SELECT s, n, pop, e, CASE WHEN pop > 0 AND e > 0 THEN CAST(e AS DOUBLE) / pop END AS ratio FROM prof LEFT JOIN frame USING (s, n)), md AS (SELECT s, median(ratio) AS middle FROM x GROUP BY ALL)
+register("unit_routes", lambda c: c.units.groupBy("s", place.route(F.col("level"), F.col("town")).alias("route")).agg(F.count(F.lit(1)).alias("units")), UNITS + "SELECT s, CASE WHEN level = 'WARD' AND town < 8 THEN 'town' WHEN level = 'WARD' THEN 'og' ELSE 'village' END AS route, count(*) AS units FROM u GROUP BY ALL")
+register("plausibility_gate", lambda c: merge.plausible(place.profiles(c.units, "s", "n").select("s", "n", "pop").join(c.frame, ["s", "n"], "left")), UNITS + """, x AS (SELECT s, n, pop, e, CASE WHEN pop > 0 AND e > 0 THEN CAST(e AS DOUBLE) / pop END AS ratio FROM prof LEFT JOIN frame USING (s, n)), md AS (SELECT s, median(ratio) AS middle FROM x GROUP BY ALL)
 SELECT s, n, round(ratio, 6) AS ratio, CASE WHEN coalesce(pop, 0) <= 0 THEN 'no people' WHEN coalesce(e, 0) <= 0 THEN 'no electors' WHEN NOT (ratio BETWEEN 0.6 * middle AND 1.6 * middle) THEN 'implausible' ELSE 'ok' END AS reason FROM x JOIN md USING (s)""")
-register("census_reads", lambda c: place.reads(place.rates(place.profiles(small_places(c), "s", "n"), "s", "n"), place.rates(place.profiles(small_places(c), "s"), "s")), UNITS + """, st AS (SELECT s, CAST(sum(lit) AS DOUBLE) * 100 / (sum(pop) - sum(kids)) AS literacy, CAST(sum(pop) FILTER (urban) AS DOUBLE) * 100 / sum(pop) AS urban, sum(power * hh) / sum(hh) FILTER (power IS NOT NULL) AS power FROM u GROUP BY ALL),
+register("census_reads", lambda c: place.reads(place.rates(place.profiles(c.units, "s", "n"), "s", "n"), place.rates(place.profiles(c.units, "s"), "s")), UNITS + """, st AS (SELECT s, CAST(sum(lit) AS DOUBLE) * 100 / (sum(pop) - sum(kids)) AS literacy, CAST(sum(pop) FILTER (urban) AS DOUBLE) * 100 / sum(pop) AS urban, sum(power * hh) / sum(hh) FILTER (power IS NOT NULL) AS power FROM u GROUP BY ALL),
 x AS (SELECT r.s, n, 'literacy' AS field, r.literacy / nullif(st.literacy, 0) AS times FROM rate r JOIN st ON r.s = st.s UNION ALL SELECT r.s, n, 'urban', r.urban / nullif(st.urban, 0) FROM rate r JOIN st ON r.s = st.s UNION ALL SELECT r.s, n, 'power', r.power / nullif(st.power, 0) FROM rate r JOIN st ON r.s = st.s)
 SELECT s, n, field, round(times, 6) AS times, row_number() OVER (PARTITION BY s, n ORDER BY round(abs(times - 1), 9) DESC, field) AS rank FROM x WHERE times >= 1.1 OR times <= 0.9 QUALIFY rank <= 2""")
 
 # Linkage, calibration, quality.
 register("mutual_best_names", lambda c: linkage.mutual_best(source.table(c.spark, c.sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name")), source.table(c.spark, c.sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.concat(F.lit("Customer"), F.expr("substring(s_name, 9)")).alias("name")), ["k"]), None)
 register("name_likeness", lambda c: source.table(c.spark, c.sf_dir, "part").select("p_partkey", linkage.flat(F.col("p_name")).alias("flat"), linkage.likeness(F.col("p_type"), F.col("p_brand")).alias("like")), "SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS flat, round(1 - CAST(levenshtein(p_type, p_brand) AS DOUBLE) / greatest(length(p_type), length(p_brand)), 6) AS \"like\" FROM part")
-register("unambiguous_names", lambda c: linkage.unambiguous(small_places(c), ["s", "town"], "n"), UNITS + "SELECT s, town, min(n) AS n FROM u GROUP BY ALL HAVING count(DISTINCT n) = 1")
-register("calibrated_shares", lambda c: calibrate.calibrate(small_places(c).select(F.concat_ws("/", "s", "town").alias("g"), "code", F.col("pop").cast("double").alias("pop"), "power", (F.col("lit").cast("double") / F.col("pop")).alias("lit")), small_places(c).groupBy(F.concat_ws("/", "s", "town").alias("g")).agg(F.avg("power").alias("power"), F.avg(F.col("lit").cast("double") / F.col("pop")).alias("lit")), "g", "code", "pop", ["power", "lit"]), None)
+register("unambiguous_names", lambda c: linkage.unambiguous(c.units, ["s", "town"], "n"), UNITS + "SELECT s, town, min(n) AS n FROM u GROUP BY ALL HAVING count(DISTINCT n) = 1")
+register("calibrated_shares", lambda c: calibrate.calibrate(c.units.select(F.concat_ws("/", "s", "town").alias("g"), "code", F.col("pop").cast("double").alias("pop"), "power", (F.col("lit").cast("double") / F.col("pop")).alias("lit")), c.units.groupBy(F.concat_ws("/", "s", "town").alias("g")).agg(F.avg("power").alias("power"), F.avg(F.col("lit").cast("double") / F.col("pop")).alias("lit")), "g", "code", "pop", ["power", "lit"]), None)
 register("largest_remainder", lambda c: merge.rounded_to_total(c.summary.where("arena = 'AE'").select(F.concat_ws("/", "s", "y").alias("g"), "p", F.col("v").alias("x"), F.lit(100).cast("long").alias("total")), "g", "p", "x", "total").select("g", "p", "rounded"), "SELECT g, p, f + CASE WHEN row_number() OVER (PARTITION BY g ORDER BY v - f DESC, p) <= 100 - sum(f) OVER (PARTITION BY g) THEN 1 ELSE 0 END AS rounded FROM (SELECT s || '/' || y AS g, p, v, CAST(floor(v) AS BIGINT) AS f FROM summ WHERE arena = 'AE')")
 register("hierarchy_additivity", lambda c: quality.additive(c.summary, c.national.where("p != 'PROMO'"), ["arena", "y", "p"], ["votes", "wo"]), "SELECT arena, y, p, votes AS sum_votes, wo AS sum_wo, CAST(NULL AS BIGINT) AS votes, CAST(NULL AS BIGINT) AS wo FROM nat WHERE p = 'PROMO'")
 register("key_checks", lambda c: quality.unique_and_whole(c.seats, ["arena", "s", "y"], "n"), "SELECT arena, s, y, count(*) AS rows, count(DISTINCT n) AS distinct, count(*) = count(DISTINCT n) AS is_unique, min(n) = 1 AND max(n) = count(DISTINCT n) AS is_whole FROM seats GROUP BY ALL")
 register("only_in_one", lambda c: quality.only_in(c.seats.where("arena = 'AE'"), c.seats.where("arena = 'GE'"), ["s", "y", "n"]), "SELECT s, y, n, 'a' AS only_in FROM (SELECT s, y, n FROM seats WHERE arena = 'AE' EXCEPT SELECT s, y, n FROM seats WHERE arena = 'GE') UNION ALL SELECT s, y, n, 'b' FROM (SELECT s, y, n FROM seats WHERE arena = 'GE' EXCEPT SELECT s, y, n FROM seats WHERE arena = 'AE')")
-register("coverage_buckets", lambda c: quality.coverage(small_places(c), F.col("code") % 4, "pop", "s"), UNITS + "SELECT s, bucket, CAST(sum(pop) AS BIGINT) AS weight, round(CAST(sum(pop) AS DOUBLE) * 100 / sum(sum(pop)) OVER (PARTITION BY s), 6) AS pct FROM (SELECT s, pop, CASE code % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'several' END AS bucket FROM u) GROUP BY s, bucket")
+register("coverage_buckets", lambda c: quality.coverage(c.units, F.col("code") % 4, "pop", "s"), UNITS + "SELECT s, bucket, CAST(sum(pop) AS BIGINT) AS weight, round(CAST(sum(pop) AS DOUBLE) * 100 / sum(sum(pop)) OVER (PARTITION BY s), 6) AS pct FROM (SELECT s, pop, CASE code % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'several' END AS bucket FROM u) GROUP BY s, bucket")
 register("check_report", lambda c: quality.report([quality.check("votes add up", c.cand, F.lit(True), F.sum("votes") == F.sum("votes")), quality.check("states", c.seats, F.lit(25), F.count_distinct("s")), quality.check("a winner for each contest", c.seats, F.count(F.lit(1)), F.count("p"))]).select("check", "ok"), "SELECT 'votes add up' AS \"check\", count(*) > 0 AS ok FROM cand UNION ALL SELECT 'states', count(DISTINCT s) = 25 FROM seats UNION ALL SELECT 'a winner for each contest', count(*) = count(p) FROM seats")
 register("election_manifest", lambda c: files.manifest(c.cand), "SELECT arena, s, y, count(*) AS rows FROM cand GROUP BY ALL")
+
+# Scorecards over years, labels and matrices.
+register("vote_and_seats", lambda c: rollup.vote_and_seats(c.seats, c.summary), ", b AS (SELECT u.arena, u.s, u.y, u.p, u.v, u.wo AS seats FROM summ u), t AS (SELECT arena, s, p FROM (SELECT arena, s, p, row_number() OVER (PARTITION BY arena, s ORDER BY max(seats) DESC, p) AS rank FROM b GROUP BY arena, s, p) WHERE rank <= 4) SELECT arena, s, y, p, round(v, 6) AS v, seats FROM b JOIN t USING (arena, s, p)")
+register("win_quality", lambda c: rollup.win_quality(c.seats, canon.band(F.col("v"), (30.0, 40.0, 50.0))), "SELECT arena, p, y, bucket, n, round(CAST(n AS DOUBLE) * 100 / o, 6) AS pct FROM (SELECT arena, p, y, bucket, n, sum(n) OVER (PARTITION BY arena, p) AS total, sum(n) OVER (PARTITION BY arena, p, y) AS o FROM (SELECT arena, p, y, CAST(v >= 30 AS INTEGER) + CAST(v >= 40 AS INTEGER) + CAST(v >= 50 AS INTEGER) AS bucket, count(*) AS n FROM seats WHERE v IS NOT NULL GROUP BY ALL)) WHERE total >= 8")
+register("winner_matrix", lambda c: rollup.winner_matrix(c.seats, list(range(1995, 2002))), "SELECT arena, s, j, " + ", ".join(f"max(p) FILTER (y = {y}) AS \"{y}\"" for y in range(1995, 2002)) + " FROM seats GROUP BY ALL")
+register("election_index", lambda c: rollup.index(c.seats), "SELECT arena, s, y, p, lead_seats, seats FROM (SELECT arena, s, y, p, count(*) AS lead_seats, CAST(sum(count(*)) OVER (PARTITION BY arena, s, y) AS BIGINT) AS seats, row_number() OVER (PARTITION BY arena, s, y ORDER BY count(*) DESC, p) AS rn FROM seats GROUP BY arena, s, y, p) WHERE rn = 1")
+register("seat_labels", lambda c: signals.seat_labels(resolve.biographies(c.seats)), ", b AS (SELECT arena, s, j, count(*) AS e, count(DISTINCT p) AS w, count(*) FILTER (status = 'flipped') AS f, avg(t) AS t, avg(v + (v - m)) AS bp FROM prev GROUP BY ALL) SELECT arena, s, j, CASE WHEN e > 1 AND w = 1 THEN 'fortress' WHEN w = e OR f >= ceil((e - 1) / 2) THEN 'swing' ELSE 'leans' END AS kind, CASE WHEN bp >= 82 THEN 'bipolar' WHEN bp >= 68 THEN 'triangular' ELSE 'fragmented' END AS field, CASE WHEN t >= 72 THEN 'high' WHEN t >= 62 THEN 'middling' ELSE 'low' END AS turnout FROM b")
+register("losses_in_reach", lambda c: signals.losses_in_reach(c.active), "SELECT arena, q AS p, s, j, round(m, 6) AS m, rank FROM (SELECT *, row_number() OVER (PARTITION BY arena, q ORDER BY m, s, j) AS rank FROM act WHERE m < 10) WHERE rank <= 5")
+register("party_verdicts", lambda c: signals.verdicts(signals.scorecards(c.active), c.active), CARDS + ", h AS (SELECT arena, count(*) AS o FROM act GROUP BY ALL), x AS (SELECT arena, p, CAST(won AS DOUBLE) * 100 / o AS share FROM cards JOIN h USING (arena)) SELECT arena, p, round(share, 6) AS seat_share, CASE WHEN share >= 45 THEN 'dominant' WHEN share >= 25 THEN 'strong' WHEN share >= 8 THEN 'present' ELSE 'fringe' END AS verdict FROM x")
+register("whole_record_merge", lambda c: merge.preferred(c.seats.select(*SEAT, "p", F.lit(1).alias("rank")).where("n != 2").unionByName(c.bypolls.select(*SEAT, "p", F.lit(0).alias("rank"))), SEAT, "rank"), "SELECT * FROM (SELECT arena, s, y, n, p, 1 AS rank FROM seats WHERE n <> 2 UNION ALL SELECT arena, s, y, n, p, 0 FROM byp) QUALIFY row_number() OVER (PARTITION BY arena, s, y, n ORDER BY rank) = 1")
+register("bypolls_of_seats", lambda c: c.active.select("arena", "s", "n", "y", "p").join(c.bypolls.select("arena", "s", "n", F.col("y").alias("by_y"), F.col("p").alias("by_p")), ["arena", "s", "n"]).where("by_y >= y"), "SELECT a.arena, a.s, a.n, a.y, a.p, b.y AS by_y, b.p AS by_p FROM act a JOIN byp b ON a.arena = b.arena AND a.s = b.s AND a.n = b.n AND b.y >= a.y")
+register("electors_agreement", lambda c: c.electors.join(c.seats.select(*SEAT, "total"), SEAT).groupBy("arena", "s", "y").agg(F.count(F.lit(1)).alias("seats"), F.count_if(F.abs(F.col("e") - 2 * F.col("total")) <= 0.005 * F.col("e")).alias("agree"), F.sum(F.col("e") - 2 * F.col("total")).alias("difference")), "SELECT arena, s, y, count(*) AS seats, count(*) FILTER (abs(e - 2 * total) <= 0.005 * e) AS agree, CAST(sum(e - 2 * total) AS BIGINT) AS difference FROM el JOIN seats USING (arena, s, y, n) GROUP BY ALL")
+register("turnout_precedence", lambda c: c.seats.groupBy("arena", "s", "y").agg(F.avg("t").alias("mean")).join(c.electors.where("n <= 3 and e > 0").groupBy("arena", "s", "y").agg(F.sum("voters").alias("v"), F.sum("e").alias("e")), ["arena", "s", "y"], "left").select("arena", "s", "y", F.coalesce(canon.percent(F.col("v"), F.col("e")), F.col("mean")).alias("turnout")), "SELECT arena, s, y, round(coalesce(CAST(v AS DOUBLE) * 100 / e, mean), 6) AS turnout FROM (SELECT arena, s, y, avg(t) AS mean FROM seats GROUP BY ALL) LEFT JOIN (SELECT arena, s, y, sum(voters) AS v, sum(e) AS e FROM el WHERE n <= 3 AND e > 0 GROUP BY ALL) USING (arena, s, y)")

@@ -85,7 +85,7 @@ def sample(docs: DataFrame, each: int = SAMPLE_DOCS) -> DataFrame:
     known = docs.where("lang is not null and text is not null")
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.lit(1_000_000.0) * each / F.col("n")
-    return known.join(F.broadcast(counts), "lang").where(share).select("lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"))
+    return known.join(counts, "lang").where(share).select("lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"))
 
 
 def train(docs: DataFrame, each: int = SAMPLE_DOCS) -> Model:

@@ -18,18 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hustings.llm.common import sizes_bounded, written
+from hustings.llm.common import written
 
 NEAREST = 20
 #: The centres are fitted on about so many vectors, chosen by hash; every vector is indexed.
 SAMPLE = 20_000
-#: Vectors of a list on average, and centres at most.
-LIST_ROWS = 400
-MOST_CENTRES = 2048
+#: Lists, however many vectors there are: so what a query brings together from its lists grows with the queries alone.
+LISTS = 32
+#: A query's first answers, and by their worst its first bound, come from so many vectors of the sample.
+REFERENCES = 4096
 #: Share of all lists that a query probes.
 PROBED = 0.7
 #: Rows of one list that are scanned together; a larger list is scanned in several such parts.
-PART_ROWS = 4000
+PART_ROWS = 8000
 #: Dimensions of a column block.
 BLOCK = 16
 #: A candidate is abandoned beyond so much: the larger, the surer the test.
@@ -77,8 +78,34 @@ def nearest_centres(v: np.ndarray, found: np.ndarray, number: int) -> np.ndarray
     return np.concatenate(out) if out else np.zeros((0, number), "i8")
 
 
-def placer(found: np.ndarray, turn: np.ndarray, most: float, probes: int, every: int) -> Callable:
-    """For mapInArrow: (vec_id, v) to rows (list, vec_id, query, v): once as candidate, and for a query once for each probed list."""
+def best_known(queries: np.ndarray, query_ids: np.ndarray, known: np.ndarray, known_ids: np.ndarray, number: int) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """For each query its best of the known vectors: their ids, scores, and the least of these."""
+    for q, at in zip(queries, query_ids, strict=True):
+        score = (known * q).sum(axis=1)
+        order = np.lexsort((known_ids, -score))
+        order = order[known_ids[order] != at][:number]
+        yield known_ids[order], score[order], score[order].min(initial=np.inf)
+
+
+def first_answers(known: np.ndarray, known_ids: np.ndarray, number: int) -> Callable:
+    """For mapInArrow: queries (vec_id, v) to (query_id, vec_id, score) of their best known vectors."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column(0).to_numpy()
+                best = list(best_known(np.stack(batch.column(1).to_numpy(zero_copy_only=False)), ids, known, known_ids, number))
+                columns = [np.repeat(ids, [len(x[0]) for x in best]), np.concatenate([x[0] for x in best]), np.concatenate([x[1] for x in best])]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def placer(found: np.ndarray, turn: np.ndarray, most: float, probes: int, every: int, known: np.ndarray, known_ids: np.ndarray, number: int) -> Callable:
+    """For mapInArrow: (vec_id, v) to rows (list, vec_id, query, v, bar): once as candidate, and for a query once for each probed list.
+
+    bar bounds the query's distances: that of its `number`th best among the known vectors.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,15 +118,20 @@ def placer(found: np.ndarray, turn: np.ndarray, most: float, probes: int, every:
             probed = nearest_centres(lifted(v[asks], most, False) @ turn, found, probes)
             lists = np.concatenate([home, probed.ravel()])
             rows = np.concatenate([np.arange(len(ids)), np.repeat(asks, probed.shape[1])])
+            bars = np.full(len(asks), np.inf)
+            if len(known) > number:
+                least = np.array([x[2] for x in best_known(v[asks], ids[asks], known, known_ids, number)])
+                bars = most + (v[asks] ** 2).sum(axis=1) - 2 * least
+            bar = np.concatenate([np.zeros(len(ids)), np.repeat(bars, probed.shape[1])])
             query = np.arange(len(rows)) >= len(ids)
             values = pa.array(v[rows].ravel())
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype="i4") * v.shape[1]), values)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.astype("i8")), pa.array(ids[rows]), pa.array(query), vectors], names=["list", "vec_id", "query", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists.astype("i8")), pa.array(ids[rows]), pa.array(query), vectors, pa.array(bar)], names=["list", "vec_id", "query", "v", "bar"])
 
     return run
 
 
-def scan(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, turn: np.ndarray, most: float, number: int) -> tuple[list, list, list]:
+def scan(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, turn: np.ndarray, most: float, number: int, bars: np.ndarray) -> tuple[list, list, list]:
     """For each query its nearest of rows, by adaptive dimension scan: lists of query_id, vec_id and score."""
     order = np.argsort(ids, kind="stable")
     rows, ids = rows[order], ids[order]
@@ -108,11 +140,11 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
     blocks = [np.ascontiguousarray(turned[:, a : a + BLOCK]) for a in range(0, dims, BLOCK)]
     asked = lifted(queries, most, False) @ turn
     out: tuple[list, list, list] = ([], [], [])
-    first = min(len(ids), 8 * number)  # these are scanned whole, for a first 20th distance
+    first = min(len(ids), 4 * number)  # these are scanned whole, for a first 20th distance
     for q, at in enumerate(query_ids):
         live = np.arange(len(ids))
-        near = ((turned[:first] - asked[q]) ** 2).sum(axis=1)
-        bar = np.partition(near, number - 1)[number - 1] + 1e-9 * most if first >= number else math.inf  # for rounding
+        near = ((turned[:first] - asked[q]) ** 2).sum(axis=1) if first >= number else np.full(number, np.inf)
+        bar = min(np.partition(near, number - 1)[number - 1], bars[q]) + 1e-9 * most  # for rounding
         so_far = np.zeros(len(ids))
         for k, block in enumerate(blocks):
             part = block[live] - asked[q, k * BLOCK : k * BLOCK + block.shape[1]]
@@ -125,7 +157,7 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.n
                 live = live[so_far <= bar]
         live = live[ids[live] != at]
         score = (rows[live] * queries[q]).sum(axis=1)  # row by row in the same order, so that equal vectors tie
-        best = np.lexsort((ids[live], -score))[: number + 5]
+        best = np.lexsort((ids[live], -score))[:number]
         for column, values in zip(out, ([int(at)] * len(best), ids[live][best].tolist(), score[best].tolist()), strict=True):
             column += values
     return out
@@ -140,7 +172,7 @@ def scanner(turn: np.ndarray, most: float, number: int) -> Callable:
         ids = group["vec_id"].to_numpy()
         if not asks.any() or asks.all():
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "i8", "vec_id": "i8"})
-        columns = scan(v[asks], ids[asks], v[~asks], ids[~asks], turn, most, number)
+        columns = scan(v[asks], ids[asks], v[~asks], ids[~asks], turn, most, number, group["bar"].to_numpy()[asks])
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
     return run
@@ -159,15 +191,19 @@ def nearest(vectors: DataFrame, every: int = 20, number: int = NEAREST) -> DataF
     n, most, dims = whole["n"], whole["most"] or 1.0, (whole["dims"] or 1) + 1
     turn = rotation(dims)
     share = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) < 1e6 * min(1.0, SAMPLE / max(1, n))
-    chosen = rows.where(share).select("v").limit(2 * SAMPLE).toPandas()["v"]
-    number_of_lists = sizes_bounded(n, LIST_ROWS, MOST_CENTRES)
-    found = centres(lifted(np.stack(chosen.to_numpy()), most, True) @ turn, number_of_lists) if len(chosen) else np.zeros((1, dims))
+    chosen = rows.where(share).select("vec_id", "v").limit(2 * SAMPLE).toPandas().sort_values("vec_id")
+    sample = np.stack(chosen["v"].to_numpy()) if len(chosen) else np.zeros((0, dims - 1))
+    found = centres(lifted(sample, most, True) @ turn, LISTS) if len(chosen) else np.zeros((1, dims))
+    known = np.random.default_rng(SEED).permutation(len(sample))[:REFERENCES]
     probes = max(min(len(found), 4), math.ceil(PROBED * len(found)))
-    placed = rows.select("vec_id", "v").mapInArrow(placer(found, turn, most, probes, every), "list long, vec_id long, query boolean, v array<double>")
+    placed = rows.select("vec_id", "v").mapInArrow(placer(found, turn, most, probes, every, sample[known], chosen["vec_id"].to_numpy()[known], number), "list long, vec_id long, query boolean, v array<double>, bar double")
     placed = written(placed, "lists")
     sizes = placed.where("not query").groupBy("list").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
-    dealt = placed.join(sizes, "list").select("list", "vec_id", "query", "v", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("vec_id"), parts).cast("int")))).alias("part"))
+    dealt = placed.join(sizes, "list").select("list", "vec_id", "query", "v", "bar", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("vec_id"), parts).cast("int")))).alias("part"))
     best = dealt.groupBy("list", "part").applyInPandas(scanner(turn, most, number), "query_id long, vec_id long, score double")
+    # With its best known vectors a query has its full number of answers, whatever the lists add.
+    first = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(first_answers(sample[known], chosen["vec_id"].to_numpy()[known], number), "query_id long, vec_id long, score double")
+    best = best.unionByName(first).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= number)

@@ -358,7 +358,8 @@ def _removed(docs: DataFrame, digest: bool, schema: str, length: int) -> DataFra
     open_ = merged.where("n > 0")
     settled = open_.join(open_.groupBy("key", "w").agg(F.sum("n").alias("total")).where("total > 1").select("key", "w"), ["key", "w"])
     partly = merged.where("n = 0").select("key", "same", "lo", "hi").unionByName(settled.select("key", "same", "lo", "hi")).groupBy("key", "same").agg(F.collect_set(F.struct("lo", "hi")).alias("some"))
-    marks = classes.select("key", "same", "n").join(partly, ["key", "same"], "left").where("n > 1 or some is not null")
+    # Written, so that the join with all runs is one of two plain shuffles, whose hot classes Spark can split.
+    marks = written(classes.select("key", "same", "n").join(partly, ["key", "same"], "left").where("n > 1 or some is not null"), "marks")
     whole = F.array(F.struct(F.col("s1").alias("start"), (F.col("s2") + length).alias("stop")))
     part = F.transform("some", lambda x: F.struct((F.col("a") - x["hi"]).alias("start"), (F.col("a") - x["lo"] + length).alias("stop")))
     spans = found.select("key", "same", "row", "a", "s1", "s2").join(marks, ["key", "same"]).select("row", F.explode(F.when(F.col("n") > 1, whole).otherwise(part)).alias("span"))

@@ -37,7 +37,7 @@ LENGTH = 400
 GRAM = 32
 #: Suffixes in one range, about, and bytes of suffixes in one sorted run at most.
 RANGE_ROWS = 8000
-RUN_BYTES = 48 << 20
+RUN_BYTES = 24 << 20
 #: Suffixes whose whole text is sampled to part the ranges, about.
 SAMPLE = 4000
 

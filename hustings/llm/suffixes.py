@@ -5,15 +5,16 @@ corpus many times over; instead each window of LENGTH bytes is represented by it
 hash of GRAM bytes. Equal windows have their anchor at the same offset, and neighbouring windows mostly share theirs, so
 there is one suffix for a run of windows. A run's suffix is its bytes from the anchor on, then those before it, reversed.
 
-1. Runs of equal bytes are found by their hash: all their windows are repeated. One of each such class goes on, with all
-   others whose anchor also occurs elsewhere; a suffix that shares its anchor with no other is out.
+1. A run whose anchor occurs nowhere else is out. Runs of equal bytes form a class; two members of each go on.
 2. Tasks sort their suffixes and exchange the sorted runs by ranges, front-coded: each suffix as the length of the prefix
    it shares with the one before, and the rest.
 3. Each range is merged by a loser tree that keeps, for every contender, the length of its common prefix with the last
    winner: the longer one wins unseen, and only equally long ones are compared, from there on.
-4. The merged order with its common prefixes is the suffix array: a window may be repeated only if a neighbour shares its
-   part after the anchor. For such windows alone equality is then checked by hash, the part before the anchor included.
-   Where the shared prefix reaches an end of the range, other ranges have a say, and windows are counted over all.
+4. The merged order with its common prefixes is the suffix array. Two windows are equal if their suffixes share the part
+   after the anchor in this order, and the part before it in the same order of the reversed parts.
+5. A class of equal windows may reach over the end of a range only as far as the end's own common prefix goes. Runs with
+   such windows are sorted and merged once more by their reversed parts, in ranges of that order. Windows that reach over
+   the ends in both orders are few different ones; these are counted by their bytes.
 """
 
 from __future__ import annotations
@@ -35,28 +36,20 @@ from hustings.llm.common import sizes_bounded, small_batches, text_or_empty, wri
 LENGTH = 400
 #: Bytes whose hash chooses the anchors.
 GRAM = 32
-#: Suffixes in one range, about, and bytes of suffixes in one sorted run at most.
+#: Classes in one range, about, and bytes of suffixes in one sorted run at most.
 RANGE_ROWS = 8000
 RUN_BYTES = 24 << 20
-#: Suffixes whose whole text is sampled to part the ranges, about.
-SAMPLE = 4000
+#: The whole suffix of one class in so many is sampled, by hash; the ranges end at some of these.
+SAMPLE_EVERY = 500
+#: Samples that one task puts in order.
+CUT_ROWS = 4096
 
 ODD = 0x9E3779B97F4A7C15
-ANCHORS = "key long, same long, row binary, a int, s1 int, s2 int, head binary"
+ANCHORS = "key long, h1 long, h2 long, row binary, a int, s1 int, s2 int, head binary"
 U64 = np.uint64
 _table = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype="u8")
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, "u8")
-    out[0] = 1
-    out[1:] = U64(base)
-    return np.multiply.accumulate(out)
-
-
-_up, _down = _powers(ODD, 4 * LENGTH), _powers(pow(ODD, -1, 1 << 64), 4 * LENGTH)
-
-
 def gram_hashes(b: np.ndarray) -> np.ndarray:
     """64-bit hashes of all strings of GRAM bytes."""
     h, width = _table[b], 1
@@ -92,30 +85,30 @@ def runs_of(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return h[anchor[first]], anchor[first], first, last
 
 
-def signed(h: int) -> int:
-    return h - (h >> 63 << 64)
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-def anchors(rate: float, length: int) -> Callable:
-    """For mapInArrow: (row, text) to a row for each run of windows. same: hash of all its bytes; head: its suffix, of a few."""
+def anchors(length: int, sample_every: int) -> Callable:
+    """For mapInArrow: (row, text) to a row for each run of windows. h1, h2: hash of all its bytes; head: its suffix, of a sample."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bar = int(rate * (1 << 32))
         for batch in small_batches(batches):
-            out: list[list] = [[], [], [], [], [], [], []]
+            keys, same, rows, places, heads = [], [], [], [], []
             for row, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 data = text.encode()
-                key, a, s1, s2 = runs_of(data, length)
-                places = list(zip(a.tolist(), s1.tolist(), s2.tolist(), strict=True))
-                same = [xxhash.xxh3_64_intdigest(data[x : y + length], seed=p - x) for p, x, y in places]
-                out[0] += key.view("i8").tolist()
-                out[1] += map(signed, same)
-                out[2] += [row] * len(places)
-                for column, values in zip(out[3:6], (a, s1, s2), strict=True):
-                    column += values.tolist()
-                out[6] += [suffix(data, *p, length) if h & 0xFFFFFFFF < bar else None for h, p in zip(same, places, strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in ANCHORS.split(", ")])
+                key, *found = runs_of(data, length)
+                keys.append(key)
+                place = np.stack(found, axis=1)
+                each = place.tolist()
+                raw = b"".join([xxhash.xxh3_128_digest(data[x : y + length], seed=p - x) for p, x, y in each])
+                hashes = np.frombuffer(raw, "<i8").reshape(-1, 2)
+                same.append(hashes)
+                places.append(place)
+                rows += [row] * len(each)
+                heads += [suffix(data, *p, length) if h % sample_every == 0 else None for h, p in zip(hashes[:, 0].tolist(), each, strict=True)]
+            columns = [np.concatenate(keys).view("i8"), *np.concatenate(same).T, pa.array(rows, pa.binary()), *np.concatenate(places).T.astype("i4"), pa.array(heads, pa.binary())]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns], names=names(ANCHORS))
 
     return run
 
@@ -144,40 +137,85 @@ def common(a: bytes, b: bytes, start: int) -> int:
 
 
 RUNS = "range int, run long, lcp binary, lens binary, data binary, meta binary"
+RUN_KINDS = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
 
 
-def run_writer(ends: list[bytes], length: int) -> Callable:
-    """For mapInArrow: (packed, runs: list of (key, same, n, a, s1, s2)) to this task's sorted runs, cut at the ends, front-coded."""
+def coded(items: list[tuple], number: int, ends: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Items (string, key, h1, h2, p1, p2) sorted, cut at the ends of ranges and front-coded: a row for each range."""
+    press = zstandard.ZstdCompressor(level=1)
+    items.sort()
+    strings = [x[0] for x in items]
+    cuts = [0, *(bisect.bisect_left(strings, e) for e in ends), len(items)]
+    for at, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if i < j:
+            lcp = [0, *(common(strings[k - 1], strings[k], 0) for k in range(i + 1, j))]
+            rest = [strings[k][c:] for k, c in zip(range(i, j), lcp, strict=True)]
+            meta = np.array([x[1:] for x in items[i:j]], "i8").tobytes()
+            row = (at, number, np.array(lcp, "u4").tobytes(), np.array([len(r) for r in rest], "u4").tobytes(), press.compress(b"".join(rest)), press.compress(meta))
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, RUN_KINDS, strict=True)], names=names(RUNS))
 
-    def coded(items: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
-        items.sort()
-        strings = [x[0] for x in items]
-        cuts = [0, *(bisect.bisect_left(strings, e) for e in ends), len(items)]
-        for at, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if i < j:
-                lcp = [0, *(common(strings[k - 1], strings[k], 0) for k in range(i + 1, j))]
-                rest = [strings[k][c:] for k, c in zip(range(i, j), lcp, strict=True)]
-                meta = np.array([x[1:] for x in items[i:j]], "i8").tobytes()
-                row = (at, number, np.array(lcp, "u4").tobytes(), np.array([len(r) for r in rest], "u4").tobytes(), b"".join(rest), meta)
-                yield pa.RecordBatch.from_pydict({n: pa.array([v], k) for n, v, k in zip([x.split()[0] for x in RUNS.split(", ")], row, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)})
+
+def run_writer(ends: list[bytes], strings: Callable) -> Callable:
+    """For mapInArrow: batches, of which `strings` makes items, to this task's sorted runs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, items, held, number = zstandard.ZstdDecompressor(), [], 0, TaskContext.get().partitionId() << 24
+        items, held, number = [], 0, TaskContext.get().partitionId() << 24
         for batch in small_batches(batches, 64):
-            for packed, runs in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                data = unpack.decompress(packed) if runs else b""
-                for x in runs or ():
-                    text = suffix(data, x["a"], x["s1"], x["s2"], length)
-                    items.append((text, x["key"], x["same"], x["n"], x["a"] - x["s2"], x["a"] - x["s1"]))
-                    held += len(text)
+            for item in strings(batch):
+                items.append(item)
+                held += len(item[0])
             if held > RUN_BYTES:
-                yield from coded(items, number)
+                yield from coded(items, number, ends)
                 items, held, number = [], 0, number + 1
-        yield from coded(items, number)
+        yield from coded(items, number, ends)
+
+    return run
+
+
+def from_texts(length: int) -> Callable:
+    """Of rows (packed, runs: list of (key, h1, h2, a, s1, s2)): the suffixes of the runs; p1 to p2: bytes of windows after the anchor."""
+
+    def items(batch: pa.RecordBatch) -> Iterator[tuple]:
+        unpack = zstandard.ZstdDecompressor()
+        for packed, runs in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            data = unpack.decompress(packed) if runs else b""
+            for x in runs or ():
+                a, s1, s2 = x["a"], x["s1"], x["s2"]
+                yield suffix(data, a, s1, s2, length), x["key"], x["h1"], x["h2"], length - a + s1, length - a + s2
+
+    return items
+
+
+def from_open(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Of rows (open, key, h1, h2, lo, hi): the strings and places given."""
+    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def cutter_of_ranges(every: int) -> Callable:
+    """For mapInArrow: sorted strings to every so manieth as the end of a range, no longer than needed to tell it from the one before."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = b"", 0
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                seen += 1
+                if seen % every == every // 2 and text != last:
+                    found.append(text[: common(last, text, 0) + 1])
+                last = text
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["cut"])
 
     return run
 
 
+def range_ends(heads: DataFrame, every: int) -> list[bytes]:
+    """Where the ranges end: one short string for each of them comes to the driver. heads: (head), a sample of what is to be sorted."""
+    heads = written(heads, "heads")
+    parts = sizes_bounded(heads.count(), CUT_ROWS)
+    ordered = heads.repartitionByRange(parts, "head").sortWithinPartitions("head")
+    return sorted({bytes(r["cut"]) for r in ordered.mapInArrow(cutter_of_ranges(every), "cut binary").collect()})
+
+
 class LoserTree:
     """Merges sorted runs. Each is an iterator of (string, common prefix with the one before, payload)."""
 
@@ -228,71 +266,91 @@ class LoserTree:
 
 def decoded(lcp: bytes, lens: bytes, data: bytes, meta: bytes) -> Iterator[tuple[bytes, int, tuple]]:
     """A front-coded run, string after string."""
-    text, at = b"", 0
-    rows = np.frombuffer(meta, "i8").reshape(-1, 5).tolist()
+    unpack = zstandard.ZstdDecompressor()
+    text, at, data = b"", 0, unpack.decompress(data)
+    rows = np.frombuffer(unpack.decompress(meta), "i8").reshape(-1, 5).tolist()
     for c, n, row in zip(np.frombuffer(lcp, "u4").tolist(), np.frombuffer(lens, "u4").tolist(), rows, strict=True):
         text, at = text[:c] + data[at : at + n], at + n
         yield text, c, tuple(row)
 
 
-def window_hashes(region: bytes, length: int) -> np.ndarray:
-    """64-bit hashes of all strings of `length` bytes of a run of windows."""
-    sums = np.concatenate([[U64(0)], np.cumsum(_table[np.frombuffer(region, "u1")] * _up[: len(region)])])
-    n = len(region) - length + 1
-    return (sums[length : length + n] - sums[:n]) * _down[:n]
+def classes_at(lcp: np.ndarray, place: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """For each (place in a sorted order, depth): the number of the class of strings that are equal up to this depth. lcp: with the string before."""
+    out = np.empty(len(place), "i8")
+    order = np.argsort(depth, kind="stable")
+    depths, first = np.unique(depth[order], return_index=True)
+    for d, i, j in zip(depths.tolist(), first, np.append(first[1:], len(order)), strict=False):
+        at = order[i:j]
+        out[at] = np.cumsum(lcp < d)[place[at]]
+    return out
+
+
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, value) of all values from lo to hi of each owner."""
+    n = np.maximum(hi - lo + 1, 0)
+    own = np.repeat(np.arange(len(lo)), n)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + lo[own]
+
 
+def reach_of(lcp: np.ndarray) -> np.ndarray:
+    """The longest common prefix with a neighbour. lcp: with the string before."""
+    return np.maximum(lcp, np.append(lcp[1:], 0))
 
-FOUND = "key long, same long, lo int, hi int, w long, n long"
 
+FOUND = "key long, h1 long, h2 long, lo int, hi int, open binary, n int"
 
-def merger(length: int) -> Callable:
-    """For applyInArrow on a range's runs: repeated windows (offsets lo to hi of a run), and with w those that other ranges must decide."""
+
+def merger(length: int, ends: list[bytes], last: bool) -> Callable:
+    """For applyInArrow on a range's runs.
+
+    Repeated windows (lo to hi: their bytes in a string's first part) have a null `open`. Windows whose class may go on in
+    other ranges come with `open`: for a first pass one string with its parts exchanged, for the last one the window.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        columns = [table.column(c).to_pylist() for c in ("lcp", "lens", "data", "meta")]
-        merged = list(LoserTree([decoded(*r) for r in zip(*columns, strict=True)]))
-        shared = np.array([0, *(c for _, c, _ in merged[1:]), 0])
-        reach = np.maximum(shared[:-1], shared[1:])  # with a neighbour
-        inf = 1 << 30
-        to_start = np.minimum.accumulate(np.concatenate([[inf], shared[1:-1]]))
-        to_end = np.minimum.accumulate(np.concatenate([shared[1:-1], [inf]])[::-1])[::-1]
-        ends = np.maximum(to_start, to_end)
-        hashes, owner, offsets = [], [], []
-        for i, (text, _, (_, _, _, o1, o2)) in enumerate(merged):
-            low = max(o1, length - int(max(reach[i], ends[i])))
-            if low <= o2:
-                cut = length - o1
-                h = window_hashes(text[cut:][::-1] + text[:cut], length)[::-1][low - o1 :]  # by offset, from low to o2
-                hashes.append(h)
-                owner.append(np.full(len(h), i))
-                offsets.append(np.arange(low, o2 + 1))
-        out = {n: [] for n in ("key", "same", "lo", "hi", "w", "n")}
-        if hashes:
-            h, own, off = np.concatenate(hashes), np.concatenate(owner), np.concatenate(offsets)
-            meta = np.array([m for _, _, m in merged], "i8")
-            number = meta[own, 2]
-            both = h ^ (meta[own, 0].view("u8") * U64(ODD))
-            _, back = np.unique(both, return_inverse=True)
-            total = np.bincount(back, weights=number)[back]
-            hit = total > 1
-            # Repeated windows as stretches of offsets.
-            at = np.flatnonzero(hit)
-            if len(at):
-                new = np.flatnonzero(np.concatenate([[True], (own[at][1:] != own[at][:-1]) | (off[at][1:] != off[at][:-1] + 1)]))
-                stop = np.append(new[1:], len(at)) - 1
-                o = own[at[new]]
-                out["key"], out["same"] = meta[o, 0], meta[o, 1]
-                out["lo"], out["hi"] = off[at[new]], off[at[stop]]
-                out["w"], out["n"] = np.zeros(len(new), "i8"), np.zeros(len(new), "i8")
-            open_ = np.flatnonzero(length - off <= ends[own])
-            if len(open_):
-                _, one = np.unique(back[open_], return_index=True)
-                keep = open_[np.unique(np.concatenate([one, np.flatnonzero(~hit[open_])]))] if len(open_) else open_
-                weight = np.where(hit[keep], 2, number[keep])
-                rest = {"key": meta[own[keep], 0], "same": meta[own[keep], 1], "lo": off[keep], "hi": off[keep], "w": h[keep].view("i8"), "n": weight}
-                out = {c: np.concatenate([out[c], rest[c]]) for c in out}
-        kinds = {"key": pa.int64(), "same": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "w": pa.int64(), "n": pa.int64()}
-        return pa.table({c: pa.array(np.asarray(out[c], "i8")).cast(k) for c, k in kinds.items()})
+        number = table.column("range")[0].as_py()
+        merged = list(LoserTree([decoded(*r) for r in zip(*(table.column(c).to_pylist() for c in ("lcp", "lens", "data", "meta")), strict=True)]))
+        texts, m = [t for t, _, _ in merged], len(merged)
+        meta = np.array([x for _, _, x in merged], "i8").reshape(-1, 5)
+        p1, p2 = meta[:, 3], meta[:, 4]
+        lcp = np.array([0, *(c for _, c, _ in merged[1:])])
+        low = common(ends[number - 1], texts[0], 0) if number else 0
+        high = common(ends[number], texts[-1], 0) if number < len(ends) else 0
+        to_low = np.minimum.accumulate(np.append(low, lcp[1:]))
+        to_high = np.minimum.accumulate(np.append(lcp[1:], high)[::-1])[::-1]
+        over = np.maximum(to_low, to_high)
+        # The second parts, in their own order.
+        rest = [t[n:] for t, n in zip(texts, p2.tolist(), strict=True)]
+        order = sorted(range(m), key=rest.__getitem__)
+        rank = np.empty(m, "i8")
+        rank[order] = np.arange(m)
+        lcp2 = np.array([0, *(common(rest[x], rest[y], 0) for x, y in zip(order, order[1:], strict=False))])
+        lo, hi = np.maximum(p1, length - reach_of(lcp2)[rank]), np.minimum(p2, reach_of(lcp))
+        if last:  # windows over the ends are wanted too
+            lo, hi = np.where(over >= p1, p1, lo), np.where(over >= p1, np.maximum(hi, np.minimum(p2, over)), hi)
+        own, depth = spread(lo, hi)
+        both = (depth * (m + 1) + classes_at(lcp, own, depth)) * (m + 1) + classes_at(lcp2, rank[own], length - depth)
+        _, one, back, count = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
+        hit = count[back] > 1
+        at = np.flatnonzero(hit)
+        first = np.flatnonzero(np.append(True, (own[at][1:] != own[at][:-1]) | (depth[at][1:] != depth[at][:-1] + 1))) if len(at) else at
+        stop = np.append(first[1:], len(at))[: len(first)] - 1
+        settled = zip(own[at[first]].tolist(), depth[at[first]].tolist(), depth[at[stop]].tolist(), strict=True)
+        known = meta.tolist()
+        out = {(*known[i][:3], x, y, None, 0) for i, x, y in settled}
+        if last:
+            open_ = np.flatnonzero(depth <= over[own])
+            wanted = open_[~hit[open_] | np.isin(open_, one)]
+            windows = zip(own[wanted].tolist(), depth[wanted].tolist(), hit[wanted].tolist(), strict=True)
+            out |= {(*known[i][:3], p, p, texts[i][:p] + rest[i][: length - p], 2 if x else 1) for i, p, x in windows}
+        else:
+            reach = np.minimum(p2, over)
+            for i in np.flatnonzero(reach >= p1).tolist():
+                p, q = int(p1[i]), int(reach[i])
+                out.add((*known[i][:3], p, q, rest[i][: length - p] + texts[i][:q], 1))
+        kinds = (*[pa.int64()] * 3, pa.int32(), pa.int32(), pa.binary(), pa.int32())
+        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names(FOUND))
 
     return run
 
@@ -336,43 +394,57 @@ def cutter(digest: bool) -> Callable:
     return run
 
 
-def _removed(docs: DataFrame, digest: bool, schema: str, length: int) -> DataFrame:
+CLASS = ["key", "h1", "h2"]
+
+
+def repeated(runs: DataFrame, ends: list[bytes], length: int, sample_every: int, cut_every: int) -> DataFrame:
+    """(key, h1, h2, lo, hi) of the repeated windows of sorted runs: lo to hi of their bytes are from the anchor on."""
+    merged = written(runs.groupBy("range").applyInArrow(merger(length, ends, last=False), FOUND), "merged")
+    found = merged.where("open is null").select(*CLASS, "lo", "hi")
+    open_ = merged.where("open is not null").select("open", *CLASS, (length - F.col("hi")).alias("lo"), (length - F.col("lo")).alias("hi"))
+    if ends:
+        other = range_ends(open_.where(F.pmod("h1", F.lit(sample_every)) == 0).select(F.col("open").alias("head")).distinct(), cut_every)
+        twice = open_.mapInArrow(run_writer(other, from_open), RUNS).groupBy("range").applyInArrow(merger(length, other, last=True), FOUND)
+        twice = written(twice, "twice")
+        over = twice.where("open is not null")
+        counted = over.groupBy("lo", "open").agg(F.sum("n").alias("total")).where("total > 1").select("lo", "open")
+        more = twice.where("open is null").select(*CLASS, "lo", "hi").union(over.join(counted, ["lo", "open"]).select(*CLASS, "lo", "hi"))
+        found = found.union(more.select(*CLASS, (length - F.col("hi")).alias("lo"), (length - F.col("lo")).alias("hi")))
+    return found
+
+
+def _removed(docs: DataFrame, digest: bool, schema: str, length: int, range_rows: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text"))))
     texts = texts.select(key.alias("row"), "doc_id", "text")
-    rate = min(1.0, SAMPLE / max(1, 8 * docs.count()))
-    found = written(texts.select("row", "text").mapInArrow(anchors(rate, length), ANCHORS), "anchors")
-    # Classes of equal runs, and those whose anchor also occurs in another class.
-    classes = found.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "a", "s1", "s2")).alias("one"))
-    classes = written(classes.where("n > 0"), "classes")
-    several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key")
-    sought = classes.join(several, "key").select("key", "same", "n", "one.*")
-    number = sizes_bounded(sought.count(), RANGE_ROWS)
-    heads = sorted(bytes(r["head"]) for r in found.where("head is not null").join(several, "key").select("head").distinct().limit(4 * SAMPLE).collect())
-    ends = sorted({heads[i * len(heads) // number] for i in range(1, number)}) if heads else []
+    sample_every = max(1, min(SAMPLE_EVERY, range_rows // 16))
+    cut_every = range_rows // sample_every
+    found = written(texts.select("row", "text").mapInArrow(anchors(length, sample_every), ANCHORS), "anchors")
+    # Written before joins, so that these are plain shuffles of two tables, whose hot keys Spark can split.
+    again = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "again")
+    sought = written(found.join(again, "key", "left_semi"), "sought")
+    place = F.struct("row", "a", "s1", "s2")
+    members = sought.groupBy(*CLASS).agg(F.min(place).alias("one"), F.max(place).alias("two"))
+    members = members.select(*CLASS, F.explode(F.array_distinct(F.array("one", "two"))).alias("x")).select(*CLASS, "x.*")
+    ends = range_ends(sought.where("head is not null").select("head").distinct(), cut_every)
     rows = texts.mapInArrow(packed, "row binary, doc_id long, packed binary").repartition("row")
     # Both joins with the texts keep all rows, so that they read one shuffle of them.
-    lists = sought.groupBy("row").agg(F.collect_list(F.struct("key", "same", "n", "a", "s1", "s2")).alias("runs"))
-    runs = rows.join(lists, "row", "left").select("packed", "runs", "doc_id").mapInArrow(run_writer(ends, length), RUNS)
-    merged = written(runs.groupBy("range").applyInArrow(merger(length), FOUND), "merged")
-    open_ = merged.where("n > 0")
-    settled = open_.join(open_.groupBy("key", "w").agg(F.sum("n").alias("total")).where("total > 1").select("key", "w"), ["key", "w"])
-    partly = merged.where("n = 0").select("key", "same", "lo", "hi").unionByName(settled.select("key", "same", "lo", "hi")).groupBy("key", "same").agg(F.collect_set(F.struct("lo", "hi")).alias("some"))
-    # Written, so that the join with all runs is one of two plain shuffles, whose hot classes Spark can split.
-    marks = written(classes.select("key", "same", "n").join(partly, ["key", "same"], "left").where("n > 1 or some is not null"), "marks")
-    whole = F.array(F.struct(F.col("s1").alias("start"), (F.col("s2") + length).alias("stop")))
-    part = F.transform("some", lambda x: F.struct((F.col("a") - x["hi"]).alias("start"), (F.col("a") - x["lo"] + length).alias("stop")))
-    spans = found.select("key", "same", "row", "a", "s1", "s2").join(marks, ["key", "same"]).select("row", F.explode(F.when(F.col("n") > 1, whole).otherwise(part)).alias("span"))
+    lists = members.groupBy("row").agg(F.collect_list(F.struct(*CLASS, "a", "s1", "s2")).alias("runs"))
+    runs = rows.join(lists, "row", "left").select("packed", "runs", "doc_id").mapInArrow(run_writer(ends, from_texts(length)), RUNS)
+    marks = repeated(runs, ends, length, sample_every, cut_every).groupBy(*CLASS).agg(F.collect_set(F.struct("lo", "hi")).alias("some"))
+    marks = written(marks, "marks")
+    span = F.struct((F.col("a") - length + F.col("x.lo")).alias("start"), (F.col("a") + F.col("x.hi")).alias("stop"))
+    spans = sought.select(*CLASS, "row", "a").join(marks, CLASS).select("row", "a", F.explode("some").alias("x")).select("row", span.alias("span"))
     given = spans.groupBy("row").agg(F.collect_set("span").alias("spans"))
     return rows.join(given, "row", "left").select("doc_id", "packed", "spans").mapInArrow(cutter(digest), schema)
 
 
-def remove_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_digests(docs: DataFrame, length: int = LENGTH, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, as of remove()."""
-    return _removed(docs, True, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length)
+    return _removed(docs, True, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, range_rows)
 
 
-def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: what is left) of every document's UTF-8 bytes.
 
     Each byte goes that is covered by a string of `length` bytes which also starts elsewhere, in the same document or in
@@ -380,4 +452,4 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     null; repeated rows are documents of their own, and so copies of each other; other columns are ignored; an empty
     table gives an empty result.
     """
-    return _removed(docs, False, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", length)
+    return _removed(docs, False, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", length, range_rows)

@@ -82,15 +82,27 @@ def brute_removal(texts, length):
         yield len(t), len(t) - len(kept), number, hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("range_rows", [8000, 10])
-def test_suffix_dedup_removes_exactly_what_repeats(spark, awkward, monkeypatch, range_rows):
-    monkeypatch.setattr(suffixes, "RANGE_ROWS", range_rows)
+@pytest.mark.parametrize(("range_rows", "length"), [(8000, 400), (16, 400), (3, 64), (2, 150)])
+def test_suffix_dedup_removes_exactly_what_repeats(spark, awkward, range_rows, length):
     rows = awkward.collect()
-    expected = Counter((r.doc_id, *x) for r, x in zip(rows, brute_removal([(r.text or "").encode() for r in rows], 400), strict=True))
-    assert multiset(suffixes.remove_digests(awkward).collect()) == expected
+    expected = Counter((r.doc_id, *x) for r, x in zip(rows, brute_removal([(r.text or "").encode() for r in rows], length), strict=True))
+    assert multiset(suffixes.remove_digests(awkward, length, range_rows).collect()) == expected
     assert sum(x[2] * n for x, n in expected.items()) > 0
 
 
+@pytest.mark.parametrize("range_rows", [8000, 16, 2])
+def test_suffix_dedup_of_hot_lines_and_passages(spark, range_rows):
+    """One line and one passage in most documents, between different words: their suffixes fill many ranges."""
+    rnd = np.random.default_rng(9)
+    say = lambda n: "".join(chr(97 + x) for x in rnd.integers(0, 3, n))
+    line, passage = say(70), say(130)
+    texts = [say(40) + line + say(60) for _ in range(60)] + [say(rnd.integers(1, 9)) + passage + say(rnd.integers(1, 9)) for _ in range(60)] + [say(50) + passage[int(rnd.integers(0, 40)) : 110] + say(30) for _ in range(60)]
+    texts += ["a" * int(n) for n in rnd.integers(90, 300, 20)] + [("ab" * 150)[: int(n)] for n in rnd.integers(90, 300, 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    expected = Counter((i, *x) for i, x in enumerate(brute_removal([t.encode() for t in texts], 100)))
+    assert multiset(suffixes.remove_digests(docs, 100, range_rows).collect()) == expected
+
+
 def test_packing_places_every_piece_once(spark, awkward, tokenizer):
     expected = Counter()
     for r in awkward.collect():

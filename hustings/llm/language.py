@@ -16,22 +16,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from hustings.llm.common import small_batches, text_or_empty
+from hustings.llm.common import small_batches, text_or_empty, written
 
-#: Labelled documents of each language that are learnt from, about: chosen by hash, evenly over the table.
+#: Labelled documents of each language that are learnt from, about: chosen by hash, evenly over the table; with their whole texts.
 SAMPLE_DOCS = 2000
-#: Of each such document so many code points; only learning is bounded so, never a prediction.
-SAMPLE_CHARS = 8000
-#: Words and n-grams of each length that the model keeps, the most frequent ones: its size, for it is broadcast.
-KEEP_WORDS = 30_000
-KEEP_GRAMS = 10_000
+#: Words and n-grams of fewer places in the sample are unknown. So the model, which is broadcast, is bounded by the sample alone.
+LEAST_WORD = 2
+LEAST_GRAM = 3
 LONGEST = 4
+#: Languages up to which their document counts are broadcast; beyond, Spark chooses the join.
+BROADCAST_LANGUAGES = 10_000
 #: Words that a worker remembers the scores of; when they are more, it starts anew.
 MEMO_WORDS = 300_000
 #: So many words of evidence are full evidence: the score doesn't grow with longer texts.
 EVIDENCE_WORDS = 20
 
+#: Letters and numerals; what is no letter is taken out where a word is met first.
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -64,28 +66,58 @@ class Model:
             n += 1
         return total / max(n, 1)
 
-    def predict(self, text: str, memo: dict[str, np.ndarray]) -> tuple[str, float]:
+    def row(self, word: str) -> np.ndarray:
+        """Of a word: its log frequencies, or what its n-grams say."""
+        found = self.words.get(word)
+        return self.backoff(word) if found is None else found
+
+    def predict(self, text: str, memo: Memo) -> tuple[str, float]:
         words = WORD.findall(text.lower())
+        if not "".join(words).isalpha():
+            words = [x for w in words for x in letters_only(w)]
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        rows = list(map(memo.get, words))
-        for i, row in enumerate(rows):
-            if row is None:
-                word = words[i]
-                row = self.words.get(word)
-                rows[i] = memo[word] = self.backoff(word) if row is None else row
-        mean = np.mean(rows, axis=0) if len(rows) < 4096 else np.add.reduce(rows) / len(rows)
-        weight = np.exp((mean - mean.max()) * min(len(rows), EVIDENCE_WORDS))
+        mean = memo.rows(words, self.row).mean(axis=0)
+        weight = np.exp((mean - mean.max()) * min(len(words), EVIDENCE_WORDS))
         best = int(np.argmax(mean))  # ties: the first in alphabetical order
         return self.languages[best], float(weight[best] / weight.sum())
 
 
+def letters_only(word: str) -> list[str]:
+    """The runs of letters in a word that may hold numerals."""
+    return "".join(c if c.isalpha() else " " for c in word).split()
+
+
+class Memo:
+    """Rows of words that a worker has met, in one array."""
+
+    def __init__(self, width: int, most: int = MEMO_WORDS):
+        self.table, self.at, self.most = np.empty((1024, width)), {}, most
+
+    def rows(self, words: list[str], find: Callable[[str], np.ndarray]) -> np.ndarray:
+        if len(self.at) > self.most:
+            self.at.clear()
+        places = list(map(self.at.get, words))
+        if None in places:
+            for i, place in enumerate(places):
+                if place is None:
+                    word = words[i]
+                    place = self.at.setdefault(word, len(self.at))
+                    if place == len(self.table):
+                        self.table = np.concatenate([self.table, np.empty_like(self.table)])
+                    if place == len(self.at) - 1:
+                        self.table[place] = find(word)
+                    places[i] = place
+        return self.table[places]
+
+
 def sample(docs: DataFrame, each: int = SAMPLE_DOCS) -> DataFrame:
-    """(lang, text): about `each` documents of every language, all if there are fewer; beginnings of long texts."""
+    """(lang, text): about `each` documents of every language, all if there are fewer; their whole texts."""
     known = docs.where("lang is not null and text is not null")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
     share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.lit(1_000_000.0) * each / F.col("n")
-    return known.join(counts, "lang").where(share).select("lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"))
+    return known.join(counts, "lang").where(share).select("lang", "text")
 
 
 def train(docs: DataFrame, each: int = SAMPLE_DOCS) -> Model:
@@ -95,11 +127,11 @@ def train(docs: DataFrame, each: int = SAMPLE_DOCS) -> Model:
     words = words.groupBy("lang", "unit").agg(F.count(F.lit(1)).alias("n")).cache()
     marked = F.concat(F.lit("<"), "unit", F.lit(">"))
     model = Model(sorted(r["lang"] for r in words.select("lang").distinct().collect()))
-    model.words = table_of(words, model.languages, KEEP_WORDS)
+    model.words = table_of(words, model.languages, LEAST_WORD)
     model.grams = [{}]
     for length in range(1, LONGEST + 1):
         places = F.when(F.char_length(marked) >= length, F.sequence(F.lit(1), F.char_length(marked) - length + 1)).otherwise(F.array().cast("array<int>"))
-        model.grams.append(table_of(_grams(words, marked, places, length).groupBy("lang", "unit").agg(F.sum("n").alias("n")), model.languages, KEEP_GRAMS))
+        model.grams.append(table_of(_grams(words, marked, places, length).groupBy("lang", "unit").agg(F.sum("n").alias("n")), model.languages, LEAST_GRAM))
     words.unpersist()
     return model
 
@@ -109,32 +141,34 @@ def _grams(words: DataFrame, marked: Column, places: Column, length: int) -> Dat
     return at.select("lang", F.substring("word", F.col("at"), F.lit(length)).alias("unit"), "n")
 
 
-def table_of(counts: DataFrame, languages: list[str], keep: int) -> dict[str, np.ndarray]:
-    """Log probabilities, with one added to each count, of the `keep` units that are most frequent over all languages."""
+def table_of(counts: DataFrame, languages: list[str], least: int) -> dict[str, np.ndarray]:
+    """Log probabilities, with one added to each count, of the units that occur `least` times or more over all languages."""
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     by_unit = counts.groupBy("unit").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    top = by_unit.orderBy(F.desc("all"), "unit").limit(keep).collect()
-    size = max(len(top), 1)
-    return {r["unit"]: np.array([math.log((r["by"].get(x, 0) + 1) / (totals.get(x, 0) + size)) for x in languages]) for r in top}
+    kept = by_unit.where(F.col("all") >= least).select("unit", "by").collect()
+    size = max(len(kept), 1)
+    return {r["unit"]: np.array([math.log((r["by"].get(x, 0) + 1) / (totals.get(x, 0) + size)) for x in languages]) for r in kept}
 
 
 def predictor(model: Model) -> Callable:
-    """For mapInArrow: (doc_id, held_out, text) to (doc_id, held_out, lang_pred, score)."""
+    """For mapInArrow: rows whose last column is the text to their other columns, lang_pred and score."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, np.ndarray] = {}
+        memo = Memo(max(len(model.languages), 1))
         for batch in small_batches(batches):
-            found = []
-            for text in batch.column(2).to_pylist():
-                found.append(model.predict(text, memo))
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-            names, scores = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            tongues, scores = zip(*(model.predict(text, memo) for text in batch.columns[-1].to_pylist()), strict=True)
+            columns = [*batch.columns[:-1], pa.array(tongues, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     return run
 
 
+def predictions(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (other columns, then text) with lang_pred and score in place of the text."""
+    kept = rows.drop(rows.columns[-1]).schema
+    return rows.mapInArrow(predictor(model), StructType([*kept.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
+
 def identify(docs: DataFrame, model: Model | None = None, folds: int = 5, fold: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of every document; learnt from the documents not held out.
 
@@ -146,4 +180,4 @@ def identify(docs: DataFrame, model: Model | None = None, folds: int = 5, fold:
     if model is None:
         model = train(docs.where(~out).select("doc_id", "text", "lang"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), text_or_empty().alias("text"))
-    return rows.mapInArrow(predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return predictions(rows, model)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -36,8 +38,38 @@ def test_language_of_awkward_texts(spark, awkward, nothing):
 def test_unseen_words_back_off_to_shorter_grams(spark):
     rows = [(i, t, lang, None, 0) for i, (t, lang) in enumerate([("der die das und nicht", "de"), ("the and that with", "en")] * 20)]
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
-    assert model.predict("nichtund", {})[0] == "de" and model.predict("withthat", {})[0] == "en"
-    assert model.predict("123 !!", {}) == ("und", 0.0)
+    memo = language.Memo(2)
+    assert model.predict("nichtund", memo)[0] == "de" and model.predict("withthat", memo)[0] == "en"
+    assert model.predict("123 !!", memo) == ("und", 0.0) and model.predict("½ ² Ⅷ", memo) == ("und", 0.0)
+    assert model.predict("½und", memo) == model.predict("und", memo)
+
+
+def test_scores_are_those_of_the_formula(spark):
+    """Against counting by hand: means of log frequencies, of known words and of the longest known n-grams."""
+    texts = [("der der die und", "de"), ("the the and of", "en"), ("die der und", "de"), ("of the and", "en")]
+    model = language.train(spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string"))
+    tongues = ["de", "en"]
+
+    def table(units, least):
+        counts = {x: Counter(u for t, lang in texts if lang == x for w in t.split() for u in units(w)) for x in tongues}
+        kept = [u for u in set().union(*counts.values()) if sum(c[u] for c in counts.values()) >= least]
+        return {u: [math.log((counts[x][u] + 1) / (sum(counts[x].values()) + max(1, len(kept)))) for x in tongues] for u in kept}
+
+    words = table(lambda w: [w], language.LEAST_WORD)
+    grams = {n: table(lambda w, n=n: [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)], language.LEAST_GRAM) for n in range(1, 5)}
+
+    def row(word):
+        if word in words:
+            return words[word]
+        marked, rows = f"<{word}>", []
+        for i in range(len(marked) - 1):
+            rows.append(next((grams[n][marked[i : i + n]] for n in (4, 3, 2, 1) if len(marked[i : i + n]) == n and marked[i : i + n] in grams[n]), [model.floor] * 2))
+        return np.mean(rows, axis=0)
+
+    for text in ["der the", "derthe odd", "und", "xq of", "and die und zz"]:
+        mean = np.mean([row(w) for w in text.split()], axis=0)
+        weight = np.exp((mean - mean.max()) * min(len(text.split()), language.EVIDENCE_WORDS))
+        assert model.predict(text, language.Memo(2, most=1)) == (tongues[int(mean.argmax())], pytest.approx(weight.max() / weight.sum()))
 
 
 def test_toxicity_of_held_out_documents(spark):
@@ -62,7 +94,7 @@ def model():
     return found
 
 
-@pytest.mark.parametrize("text", ["idiot", "1d10t", "i d i o t", "i.d.i.o.t", "idiooot", "what an 1di0t!", "IDIOT,", "m0r0n"])
+@pytest.mark.parametrize("text", ["idiot", "1d10t", "i d i o t", "i.d.i.o.t", "idiooot", "what an 1di0t!", "IDIOT,", "m0r0n", "you are a i d i o t", "t h a t i d i o t", "i d i o t t h a t m o r o n"])
 def test_hidden_words_are_found(model, text):
     assert model.score(text, {}) > 0.7
 

@@ -85,7 +85,7 @@ def test_toxicity_of_held_out_documents(spark):
 @pytest.fixture(scope="module")
 def model():
     found = toxicity.Model({"idiot": 0.95, "moron": 0.95, "lowe*": 0.9})
-    for word in ["idiot"] * 50 + ["moron"] * 50 + ["that", "those", "morning", "radio"] * 10:
+    for word in ["idiot"] * 50 + ["moron"] * 50 + ["that", "those", "morning", "radio", "a"] * 10:
         marked = f"^^{word}$"
         for i in range(len(marked) - 2):
             a, b, c = marked[i : i + 3]

@@ -29,7 +29,7 @@ WINDOW = 16
 #: A chunk ends where the low bits of the rolling hash are all zero; so many bytes on average.
 CHUNK_BYTES = 512
 
-REFS = "h long, row binary, start long, stop long"
+REFS = "h binary, row binary, start int, stop int"
 
 
 def chunk_ends(data: bytes) -> np.ndarray:
@@ -72,11 +72,10 @@ def chunk_refs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for stop in chunk_ends(data).tolist():
                 a, b = core(data, at, stop)
                 if b > a:
-                    h = xxhash.xxh3_64_intdigest(data[at:stop])
-                    for column, value in zip(out, (h - (h >> 63 << 64), row, at, stop), strict=True):
+                    for column, value in zip(out, (xxhash.xxh3_128_digest(data[at:stop]), row, at, stop), strict=True):
                         column.append(value)
                 at = stop
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["h", "row", "start", "stop"])
 
 
@@ -93,7 +92,7 @@ def core_encoder(vocabulary: str) -> Callable:
                     a, b = core(data, c["start"], c["stop"])
                     hs.append(c["h"])
                     out.append(ids(data[a:b].decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(out, pa.binary())], names=["h", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(out, pa.binary())], names=["h", "ids"])
 
     return run
 
@@ -163,7 +162,7 @@ def _encoded(docs: DataFrame, vocabulary: str, digest: Callable, schema: str, ki
     rows = texts.mapInArrow(packed, "row binary, doc_id long, packed binary").repartition("row")
     owners = shared.select("h", "first.*").groupBy("row").agg(F.collect_list(F.struct("h", "start", "stop")).alias("chunks"))
     # Both joins keep all rows, so that they read one shuffle of the texts.
-    own = rows.join(owners, "row", "left").select("packed", "chunks", "doc_id").mapInArrow(core_encoder(vocabulary), "h long, ids binary")
+    own = rows.join(owners, "row", "left").select("packed", "chunks", "doc_id").mapInArrow(core_encoder(vocabulary), "h binary, ids binary")
     cores = own.groupBy("h").agg(F.first("ids").alias("ids"))
     known = refs.join(shared.select("h", "first"), "h").where("row != first.row or start != first.start").join(cores, "h")
     given = known.groupBy("row").agg(F.collect_list(F.struct("start", "stop", "ids")).alias("chunks"))

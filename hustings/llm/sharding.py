@@ -101,7 +101,7 @@ def propagate(cells: DataFrame, taken: list[int], shards: int, share: int, parts
         may = [(s, t, x // parts) for s, row in enumerate(circulation(flow, room)) for t, x in enumerate(row) if x]
         quota = F.broadcast(cells.sparkSession.createDataFrame(may, "shard int, to int, quota long"))
         queue = Window.partitionBy("shard", "to", "part").orderBy(F.desc("gain"), "g", "start")
-        able = wish.withColumn("part", F.pmod("g", F.lit(parts))).join(quota, ["shard", "to"]).where("held <= quota")
+        able = wish.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(parts))).join(quota, ["shard", "to"]).where("held <= quota")
         moved = written(able.select("g", "start", "to", (F.sum("held").over(queue) <= F.col("quota")).alias("fits")).where("fits").drop("fits"), "moved")
         if moved.limit(1).count():
             cells = written(cells.join(moved, ["g", "start"], "left").select("g", "start", F.coalesce("to", "shard").alias("shard"), "held"), "cells")
@@ -123,7 +123,7 @@ def on_line(items: DataFrame, loads: list[int], parts: int) -> DataFrame:
 def gathered(cells: DataFrame, taken: list[int], shards: int, share: int, parts: int) -> DataFrame:
     """cells with each group in one shard: those still split, and some of overfull shards, are placed whole by size."""
     over = [max(0, a + b - share) // parts for a, b in zip(taken, loads_of(cells, shards, "held"), strict=True)]
-    groups = cells.groupBy("g").agg(F.min("shard").alias("low"), F.max("shard").alias("high"), F.sum("held").alias("size")).withColumn("part", F.pmod("g", F.lit(parts)))
+    groups = cells.groupBy("g").agg(F.min("shard").alias("low"), F.max("shard").alias("high"), F.sum("held").alias("size")).withColumn("part", F.pmod(F.xxhash64("g"), F.lit(parts)))
     queue = Window.partitionBy("low", "part").orderBy(F.xxhash64("g", F.lit(4))).rowsBetween(Window.unboundedPreceding, -1)
     too_many = F.get(F.array(*[F.lit(x).cast("long") for x in over]), F.col("low"))
     leaves = groups.where("low = high").withColumn("before", F.coalesce(F.sum("size").over(queue), F.lit(0))).where(F.col("before") < too_many)
@@ -142,7 +142,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     shards uneven. Ties between shards are told by hash, so that cells go both ways. Other columns are ignored; an empty table gives an empty result.
     """
     text = text_or_empty()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + EXTRA_BYTES).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + EXTRA_BYTES).alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("g"))
     rows = written(rows.withColumn("start", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int")), "rows")
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("held")).first()
     share = whole["held"] // shards

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session runs on one machine and names no shared folder, as in tests.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 
@@ -20,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+    root = root or LOCAL_SCRATCH
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

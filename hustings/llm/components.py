@@ -10,7 +10,8 @@ from hustings.llm.common import written
 
 def _lowest(directed: DataFrame) -> DataFrame:
     """(u, v, low): every edge with the lowest of u and all its neighbours."""
-    low = directed.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    # Written, so that the join is one of two plain tables: Spark can split the edges of a node with very many.
+    low = written(directed.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "lowest")
     return directed.join(low, "u")
 
 

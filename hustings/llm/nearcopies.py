@@ -1,7 +1,7 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of at least a bound, none left out.
 
-No bit bound of 64-bit fingerprints with usable keys reaches all pairs at 0.8, so pairs meet by their shingles. All sets
-are put in one order of shingles, and of each set only the beginning (n - ceil(least * n) + 1 shingles) is looked at: two
+SimHash fingerprints a few bits apart give the first pairs, by pivot distance tables. No bit bound of 64-bit fingerprints
+with usable keys reaches all pairs at 0.8, so the others meet by their shingles. All sets are put in one order of shingles, and of each set only the beginning (n - ceil(least * n) + 1 shingles) is looked at: two
 sets whose beginnings share nothing are less similar than the bound. Pairs whose beginnings share too little for the bound
 are dropped by the same argument, the others are compared whole. The order has common shingles last; which ones count as
 common is told from a sample, which decides the work, never the result.
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from hustings.llm.common import small_batches, text_or_empty, written
 from hustings.llm.components import components
+from hustings.llm.pivots import HASH_SEED, MOST_BITS, links
 
 WORDS = 5
 LEAST = 0.8
-HASH_SEED = 42
 #: Documents, about, from which the common shingles are told; how many of them share one; how many are told at most.
 SAMPLE_DOCS = 20_000
 COMMON_IN = 3
@@ -59,22 +59,29 @@ def sampled(words: int) -> object:
     return run
 
 
+def fingerprint_of(every: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, as a signed integer."""
+    bits = np.unpackbits(every.astype(">u8").view("u1").reshape(-1, 8), axis=1)
+    return int(np.packbits(bits.sum(axis=0, dtype="i8") * 2 > len(bits)).view(">i8")[0])
+
+
 def beginnings(words: int, least: float, common: np.ndarray) -> object:
-    """For mapInArrow: (doc_id, text) to (doc_id, text, same, n, keys): the set's hash and size, and its beginning."""
+    """For mapInArrow: (doc_id, text) to (doc_id, text, same, fp, n, keys): the set's hash, fingerprint and size, and its beginning."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            same, sizes, keys = [], [], []
+            same, fps, sizes, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 every = shingles(text, words)
                 same.append(xxhash.xxh64_digest(every.tobytes(), HASH_SEED))
+                fps.append(fingerprint_of(every))
                 sizes.append(len(every))
                 late = np.isin(every, common, assume_unique=True)
                 keys.append(np.concatenate([every[~late], every[late]])[: beginning(len(every), least)].view("i8"))
             starts = np.cumsum([0, *map(len, keys)]).astype("i4")
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([np.empty(0, "i8"), *keys])))
             sets = pa.array(np.frombuffer(b"".join(same), ">i8").astype("i8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets, pa.array(sizes, pa.int64()), lists], names=["doc_id", "text", "same", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets, pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "text", "same", "fp", "n", "keys"])
 
     return run
 
@@ -118,23 +125,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, words: int, least: float) -> Da
     return pairs.join(texts[0], "u").join(texts[1], "v").select("u", "v", "text_u", "text_v").mapInArrow(compared(words, least), "u long, v long")
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
-    """doc_id and component_id (smallest doc_id reachable over pairs of similarity `least` or more) of every document.
+def near_copies(docs: DataFrame, most: int = MOST_BITS, words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """doc_id, fp (SimHash of the set) and component_id (smallest doc_id reachable over pairs of similarity `least` or more) of every document.
 
     Words are lower-cased and stand between ASCII white space. Texts without words are copies of each other. Repeated rows
     have rows each; a null doc_id gives no component its name; other columns are ignored; an empty table gives an empty
     result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found = written(texts.mapInArrow(beginnings(words, least, common_shingles(texts, words)), "doc_id long, text string, same long, n long, keys array<long>"), "beginnings")
+    found = written(texts.mapInArrow(beginnings(words, least, common_shingles(texts, words)), "doc_id long, text string, same long, fp long, n long, keys array<long>"), "beginnings")
     sets = found.dropDuplicates(["same"]).select("same", "n", "text", "keys")
     keyed = sets.select(F.explode("keys").alias("key"), "same", "n")
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("same").alias("u"), F.min_by("n", "same").alias("nu")).where("m > 1").drop("m")
     keyed = written(keyed.join(met, "key"), "met")
     sets = found.select("same", "text").dropDuplicates(["same"])
-    # First each set with the lowest one of each key: large groups of near copies become one component in linear time.
+    # Sets whose fingerprints are linked, each with the lowest of its fingerprint's component.
+    marked = found.groupBy("same", "n").agg(F.min("fp").alias("fp"))
+    alike = components(links(marked.select("fp").distinct(), most)).withColumnRenamed("node", "fp")
+    marked = marked.join(alike, "fp", "left").select("same", "n", F.coalesce("root", "fp").alias("root"))
+    lowest = marked.groupBy("root").agg(F.min(F.struct("same", "n")).alias("x"))
+    hinted = marked.join(lowest, "root").select(F.col("x.same").alias("u"), F.col("x.n").alias("nu"), F.col("same").alias("v"), F.col("n").alias("nv"))
+    hinted = hinted.where("u != v").where(_sizes_agree(least)).select("u", "v")
+    # Then each set with the lowest one of each key: large groups of near copies become one component in linear time.
     star = keyed.select("u", "nu", F.col("same").alias("v"), F.col("n").alias("nv")).where("u != v").where(_sizes_agree(least))
-    edges = written(_verified(_enough(star, least), sets, words, least), "first")
+    edges = written(_verified(_enough(star, least).union(hinted).distinct(), sets, words, least), "first")
     # Then all pairs of different components under each key.
     rooted = keyed.select("key", "same", "n").join(components(edges).withColumnRenamed("node", "same"), "same", "left").select("key", "same", "n", F.coalesce("root", "same").alias("root"))
     rooted = written(rooted, "rooted")
@@ -145,4 +159,4 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> Da
     edges = edges.union(written(_verified(_enough(pairs, least), sets, words, least), "second"))
     classes = found.groupBy("same").agg(F.min("doc_id").alias("lowest")).join(components(edges).withColumnRenamed("node", "same"), "same", "left").select("same", "lowest", F.coalesce("root", "same").alias("root"))
     names = classes.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    return found.select("doc_id", "same").join(classes.join(names, "root").select("same", "component_id"), "same").select("doc_id", "component_id")
+    return found.select("doc_id", "fp", "same").join(classes.join(names, "root").select("same", "component_id"), "same").select("doc_id", "fp", "component_id")

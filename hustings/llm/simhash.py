@@ -1,19 +1,14 @@
-"""SimHash near-duplicates: pivot distance tables.
+"""SimHash near-duplicates: fingerprints of word shingles, linked by pivot distance tables (pivots.py).
 
-Each text gets a 64-bit fingerprint of its three-word shingles. For every distinct fingerprint a row of Hamming
-distances to fixed reference fingerprints is computed once. By the triangle inequality two fingerprints at distance d
-differ by at most d in each of these coordinates, so a pair whose largest coordinate difference is above d is discarded
-without looking at its bits; survivors are verified.
-
-Which pairs meet at all is decided by pigeonhole: two differing bits leave two of four 16-bit blocks untouched, so linked
-fingerprints share one of six keys. A key that is shared by very many distinct fingerprints is split by the same rule
-once more: of three parts of the other 32 bits at least one is untouched.
+Each text gets a 64-bit fingerprint of its word shingles; texts whose fingerprints differ in a few bits are linked. With a
+bound on similarity, links are verified on the texts' whole sets of shingles, and what fingerprints cannot tell at that
+bound is completed (nearcopies.py).
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,145 +18,60 @@ from pyspark.sql import functions as F
 
 from hustings.llm.common import small_batches, text_or_empty, written
 from hustings.llm.components import components
+from hustings.llm.nearcopies import near_copies
+from hustings.llm.pivots import HASH_SEED, MOST_BITS, links
 
-#: Fingerprints at so many differing bits or fewer are linked.
-MOST_BITS = 2
 SHINGLE_WORDS = 3
-HASH_SEED = 42
-#: Reference fingerprints.
-PIVOTS = 16
-#: Distinct fingerprints of one key above which the key is split.
-SPLIT_ABOVE = 2048
-
-BLOCKS = ((0, 16), (16, 32), (32, 48), (48, 64))
-
 
-def references(number: int = PIVOTS) -> list[int]:
-    """Reference fingerprints, by hashing their numbers; as signed 64-bit integers."""
-    found = [xxhash.xxh64_intdigest(str(i), seed=HASH_SEED) for i in range(number)]
-    return [h - (h >> 63 << 64) for h in found]
 
-
-def fingerprint(text: str) -> bytes:
+def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> bytes:
     """8 bytes, the highest bit first. A-Z are lower-cased; words stand between ASCII white space."""
     words = text.encode().lower().split()
     if not words:
         return bytes(8)
     joined = b" ".join(words)
-    if len(words) <= SHINGLE_WORDS:
+    if len(words) <= shingle_words:
         return xxhash.xxh64_digest(joined, seed=HASH_SEED)
     ends = list(itertools.accumulate(len(w) + 1 for w in words))
     digest, seed = xxhash.xxh64_digest, HASH_SEED
     starts = [0, *ends]
-    hashes = b"".join([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[SHINGLE_WORDS - 1 :], strict=False)])
+    hashes = b"".join([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle_words - 1 :], strict=False)])
     bits = np.unpackbits(np.frombuffer(hashes, "u1").reshape(-1, 8), axis=1)
     return np.packbits(bits.sum(axis=0, dtype="i8") * 2 > len(bits)).tobytes()
 
 
-def fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fingerprints(words: int) -> Callable:
     """For mapInArrow: (doc_id, text) to (doc_id, fp)."""
-    for batch in small_batches(batches):
-        raw = b"".join(map(fingerprint, batch.column(1).to_pylist()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype("i8"))], names=["doc_id", "fp"])
-
-
-def bits_of(fp: Column, parts: Iterable[tuple[int, int]]) -> Column:
-    """The named bit ranges of a fingerprint, the others zero."""
-    mask = sum(((1 << (b - a)) - 1) << a for a, b in parts)
-    return fp.bitwiseAND(F.lit(mask - (mask >> 63 << 64)))
-
-
-def first_keys() -> list[tuple[tuple[int, int], ...]]:
-    return list(itertools.combinations(BLOCKS, 2))
-
-
-def split_keys(parts: tuple[tuple[int, int], ...]) -> list[tuple[tuple[int, int], ...]]:
-    """A key's parts and one of three parts of the rest (11, 11 and 10 bits, across its two blocks)."""
-    (a, _), (b, _) = (x for x in BLOCKS if x not in parts)
-    return [(*parts, (a, a + 11)), (*parts, (a + 11, a + 16), (b, b + 6)), (*parts, (b + 6, b + 16))]
-
-
-def linker(most: int) -> object:
-    """For mapInArrow: rows (key, fp, pivots) sorted by key to edges (u, v) that connect what is linked under each key."""
-
-    def forest(fps: np.ndarray, pivots: np.ndarray) -> Iterator[tuple[int, int]]:
-        parent = list(range(len(fps)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
-        for i in range(len(fps) - 1):
-            near = np.flatnonzero(np.abs(pivots[i + 1 :] - pivots[i]).max(axis=1) <= most) + i + 1
-            near = near[np.bitwise_count(fps[near] ^ fps[i]) <= most]
-            for j in near.tolist():
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[b] = a
-                    yield i, j
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the last key's rows may go on in the next batch
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                new = pa.Table.from_batches([batch])
-                held = pa.concat_tables([held, new]) if held is not None else new
-            if held is None or not held.num_rows:
-                continue
-            key = np.stack([held.column(i).to_numpy() for i in (0, 1)])
-            starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-            last = held.num_rows if batch is None else int(starts[-1])
-            fps = held.column(2).to_numpy().view("u8")
-            ends = np.append(starts[1:], held.num_rows)
-            edges = []
-            some = [(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a > 1 and b <= last]
-            if some:
-                pivots = np.frombuffer(b"".join(held.column(3).to_pylist()), "i1").reshape(held.num_rows, -1)
-                for a, b in some:
-                    edges += [(int(fps[a + i].view("i8")), int(fps[a + j].view("i8"))) for i, j in forest(fps[a:b], pivots[a:b])]
-            held = held.slice(last).combine_chunks()
-            u, v = zip(*edges, strict=True) if edges else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        for batch in small_batches(batches):
+            raw = b"".join([fingerprint(t, words) for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype("i8"))], names=["doc_id", "fp"])
 
     return run
 
 
-def links(distinct: DataFrame, most: int = MOST_BITS, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """(u, v): edges between distinct fingerprints (fp) that connect all that are linked, not all linked pairs."""
-    fp = F.col("fp")
-    pivots = F.concat(*[F.unhex(F.lpad(F.hex(F.bit_count(fp.bitwiseXOR(F.lit(r)))), 2, "0")) for r in references()])
-    table = distinct.select("fp", pivots.alias("pivots"))
-    choose = first_keys()
-    keyed = table.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), bits_of(fp, c).alias("bits")) for i, c in enumerate(choose)])).alias("key"), "fp", "pivots")
-    keyed = keyed.select(F.col("key.k").alias("k"), F.col("key.bits").alias("bits"), "fp", "pivots")
-    many = keyed.groupBy("k", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keyed.join(many, ["k", "bits"])
-    again = F.explode(F.when(F.col("n") <= split_above, F.array(F.struct("k", "bits"))).otherwise(_second(fp, choose)))
-    met = met.select(again.alias("key"), "fp", "pivots").select("key.k", "key.bits", "fp", "pivots")
-    return met.repartition("k", "bits").sortWithinPartitions("k", "bits").mapInArrow(linker(most), "u long, v long")
-
+def as_hex(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
-def _second(fp: Column, choose: list) -> Column:
-    found = F.array()
-    for i, parts in enumerate(choose):
-        finer = [F.struct(F.lit(100 + 3 * i + j).alias("k"), bits_of(fp, p).alias("bits")) for j, p in enumerate(split_keys(parts))]
-        found = F.when(F.col("k") == i, F.array(*finer)).otherwise(found) if i else F.array(*finer)
-    return found
 
-
-def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, most: int = MOST_BITS, words: int = SHINGLE_WORDS, least: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links) of every document.
 
+    Links are between fingerprints at most `most` bits apart. With `least` they are between texts whose sets of shingles
+    have that Jaccard similarity or more, all of them, and the fingerprint is that of the set.
+
     A null or empty text has fingerprint zero and is linked like any other; repeated rows have rows each; rows whose
     doc_id is null take part, but give no component its name, and a component of such rows alone has a null one; other
     columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found = written(texts.mapInArrow(fingerprints, "doc_id long, fp long"), "fingerprints")
+    if least is not None:
+        return near_copies(texts, most, words, least).select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
+    found = written(texts.mapInArrow(fingerprints(words), "doc_id long, fp long"), "fingerprints")
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("lowest"))
     roots = components(links(distinct.select("fp"), most))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lowest", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("lowest").alias("component_id"))
     classes = named.join(names, "root").select("fp", "component_id")
-    return found.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.join(classes, "fp", "left").select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from hustings.llm import nearcopies
+from hustings.llm import nearcopies, simhash
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -48,8 +48,8 @@ def test_near_copies_are_all_pairs_at_the_bound(spark, awkward, monkeypatch, com
         if doc_id is not None:
             names[find(i)] = min(names.get(find(i), doc_id), doc_id)
     expected = sorted(((d, names.get(find(i))) for i, (d, _) in enumerate(rows)), key=str)
-    got = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got), key=str) == expected
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, least=0.8).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == expected
 
 
 def test_near_copies_of_nothing(spark, nothing):

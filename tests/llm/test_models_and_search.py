@@ -139,6 +139,24 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert [x[1] for x in sorted(found[100])] == list(range(101, 121))
 
 
+def test_recall_of_the_lists_alone(spark):
+    """No references here, so all answers come from probed lists, by the scan; vectors of another length take no part."""
+    rnd = np.random.default_rng(4)
+    middles = rnd.standard_normal((40, 32)) * 1.5
+    v = (middles[rnd.integers(0, 40, 24_000)] + rnd.standard_normal((24_000, 32))).astype("f4")
+    v[1000:4000] = v[1000]  # one vector in an eighth of all rows
+    rows = [(i, x.tolist(), 0, 1, "p") for i, x in enumerate(v)] + [(100_000 + i, [9.0] * (31 - i % 2), 0, 1, "p") for i in range(60)]
+    got = neighbours.nearest(spark.createDataFrame(rows, VECTORS).repartition(8), references=0).toPandas()
+    asked = np.arange(0, 24_000, 20)
+    assert set(got.query_id) == set(asked.tolist()) and got.vec_id.max() < 24_000
+    wide = v.astype("f8")
+    score = wide[asked] @ wide.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    worst = np.partition(-score, 19, axis=1)[:, 19]
+    near = -got.score.to_numpy() <= worst[got.query_id.to_numpy() // 20] + 1e-9
+    assert near.sum() >= 0.9 * 20 * len(asked)
+
+
 def test_neighbours_of_few_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 0, 1, "p"), (1, [0.5, 0.5], 0, 1, "p"), (20, [2.0, 0.0], 0, 1, "p")], VECTORS)
     assert sorted(tuple(r) for r in neighbours.nearest(few).collect()) == [(0, 1, 20, 2.0), (0, 2, 1, 0.5), (20, 1, 0, 2.0), (20, 2, 1, 1.0)]

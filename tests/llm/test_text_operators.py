@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from tokenizers import Tokenizer
 
@@ -54,16 +56,50 @@ def test_joins_without_agreement_are_encoded_again(tokenizer):
     assert encoding.joined(encode, data, wrong) == encode.ids(data.decode())
 
 
-def test_imatch_edits_and_equal_texts(spark, awkward):
-    rows = sorted(((-(1 << 63) if r.doc_id is None else r.doc_id, r.text or "") for r in awkward.collect()), key=lambda x: (-x[0], x[1]))
+def signed(h):
+    return h - (h >> 63 << 64)
+
+
+def terms_of(text):
+    return {signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+
+
+def subsets_of(term):
+    first = xxhash.xxh64_intdigest(struct.pack("<q", term), seed=42)
+    return {k for k in range(imatch.SUBSETS) if signed(xxhash.xxh64_intdigest(struct.pack("<i", k), seed=first)) % (8 << k % imatch.DENSITIES) == 0}
+
+
+def imatch_of(text, lexicon):
+    row = []
+    for k in range(imatch.SUBSETS):
+        mine = sorted(t for t in terms_of(text) if k in lexicon.get(t, ()))
+        h = 42
+        for t in mine:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", t), seed=h)
+        row.append(f"{h:X}" if mine else "-")
+    return row
+
+
+def imatch_likeness(a, b, same):
+    told = [(x, y) for x, y in zip(a, b, strict=True) if (x, y) != ("-", "-")]
+    return sum(x == y for x, y in told) / len(told) if told else float(same)
+
+
+def test_imatch_against_brute_force(spark, awkward):
+    tie = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    rows = sorted(((r.doc_id is None, -(r.doc_id or 0), tie(r.text or ""), r.doc_id, r.text or "") for r in awkward.collect()), key=lambda x: x[:3])
+    texts = [r[4] for r in rows]
+    counts = Counter(t for text in texts for t in terms_of(text))
+    lexicon = {t: subsets_of(t) for t, n in counts.items() if max(2, imatch.LEAST_SHARE * len(texts)) <= n <= imatch.MOST_SHARE * len(texts)}
     expected = Counter()
-    for i, (doc_id, text) in enumerate(rows):
+    for i, text in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
         edit = len(text) // 3
-        edited = text[: len(text) - edit] + rows[(i + 1) % len(rows)][1][:edit]
-        expected[(None if doc_id == -(1 << 63) else doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest())] += 1
+        edited = text[: len(text) - edit] + after[:edit]
+        a, b, c = (imatch_of(t, lexicon) for t in (text, edited, after))
+        expected[(rows[i][3], len(text), hashlib.sha256(edited.encode()).hexdigest(), ".".join(a), ".".join(b), imatch_likeness(a, b, text == edited), imatch_likeness(a, c, text == after))] += 1
     got = imatch.fingerprints(awkward).collect()
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == expected
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert multiset(got) == expected
     by = {r.doc_id: r.fingerprint for r in got}
     assert by[3] == by[105] == by[106] and by[1] != by[2]
 

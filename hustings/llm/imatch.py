@@ -34,11 +34,11 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, rows: int) -> DataFrame:
-    """(term, subsets): lexicon terms of documents (text), and the sub-lexicons that each is in; terms in none are left out."""
+    """(term, subsets): lexicon terms of documents (text), and the sub-lexicons that each is in, if any."""
     counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     band = counts.where((F.col("n") >= max(2, LEAST_SHARE * rows)) & (F.col("n") <= MOST_SHARE * rows))
     chosen = [F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(8 << k % DENSITIES)) == 0, F.lit(k)) for k in range(SUBSETS)]
-    return band.select("term", F.array_compact(F.array(*chosen)).alias("subsets")).where(F.size("subsets") > 0)
+    return band.select("term", F.array_compact(F.array(*chosen)).alias("subsets"))
 
 
 def edges(keys: DataFrame, rows: int) -> tuple[list[int], list[int]]:
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     known = written(lexicon(texts, rows), "lexicon")
     firsts = edges(texts.select("place", "tie"), rows)
     mark = 0  # every text has this pseudo-term, which carries its other columns and is in subset -1 alone
-    known = known.where(F.col("term") != mark).union(docs.sparkSession.range(1).select(F.lit(mark).cast("long"), F.array(F.lit(-1))))
+    known = known.where((F.col("term") != mark) & (F.size("subsets") > 0)).union(docs.sparkSession.range(1).select(F.lit(mark).cast("long"), F.array(F.lit(-1))))
     known = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
 
     # Documents in buckets of neighbours; each bucket's first is in the one before as a guest, for its text.

@@ -30,8 +30,8 @@ SAMPLE = 20_000
 MOST_LISTS = 4096
 #: Lists in a group, about.
 GROUP_LISTS = 8
-#: A query's first bound comes from so many vectors of the sample; they are candidates too.
-REFERENCES = 1024
+#: A query's first bound comes from vectors of the sample, of so many bytes at most; where lists yield too few answers, they fill them up.
+REFERENCE_BYTES = 16 << 20
 #: As many lists are probed as hold this share of the true neighbours of so many queries of the sample, which are compared with all vectors.
 LIST_RECALL = 0.97
 MEASURED = 128
@@ -267,7 +267,7 @@ def first_answers(known: np.ndarray, known_ids: np.ndarray, number: int) -> Call
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 20, number: int = NEAREST, references: int = REFERENCES) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, number: int = NEAREST, references: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: of each vector whose id `every` divides, its nearest others by inner product.
 
     Ties go to the smaller vec_id. Vectors that are null or zero or hold a null or non-finite component, rows without an
@@ -289,7 +289,7 @@ def nearest(vectors: DataFrame, every: int = 20, number: int = NEAREST, referenc
     groups = nearest_centres(found, group_centres, 1)[:, 0]
     placed = written(rows.select("vec_id", "v").mapInArrow(homes(found, turn, most), "list int, vec_id long, v array<double>"), "lists")
     probes = probes_needed(placed, sample, sample_ids, found, turn, most, number)
-    known = np.random.default_rng(SEED).permutation(len(sample))[:references]
+    known = np.random.default_rng(SEED).permutation(len(sample))[: REFERENCE_BYTES // (8 * dims) if references is None else references]
     known, known_ids = sample[known], sample_ids[known]
     queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v")
     asked = queries.mapInArrow(asker(found, groups, turn, most, probes, known, known_ids, number), "group int, vec_id long, v array<double>, bar double, radius double")
@@ -303,8 +303,10 @@ def nearest(vectors: DataFrame, every: int = 20, number: int = NEAREST, referenc
     candidates = placed.join(sizes, "group").select("group", digit(F.col("parts"), "part").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v", "list", F.lit(float("nan")).alias("bar"), F.lit(0.0).alias("radius"))
     asking = asked.join(sizes, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), digit(F.lit(blocks), "block").alias("block"), "vec_id", "v", F.lit(-1).alias("list"), "bar", "radius")
     best = candidates.unionByName(asking).groupBy("group", "part", "block").applyInArrow(scanner(found, turn, most, number), "query_id long, vec_id long, score double")
-    # With its best known vectors a query has its full number of answers, whatever the lists add.
+    # Where its lists yield too few, a query's best known vectors fill up its answers.
     first = queries.mapInArrow(first_answers(known, known_ids, number), "query_id long, vec_id long, score double")
-    best = best.unionByName(first).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= number)
+    both = best.withColumn("known", F.lit(0)).unionByName(first.withColumn("known", F.lit(1)))
+    both = both.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.min("known").alias("known"))
+    of_query, order = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    both = both.withColumn("found", F.sum(1 - F.col("known")).over(of_query)).where((F.col("known") == 0) | (F.col("found") < number))
+    return both.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= number)

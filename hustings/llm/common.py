@@ -32,10 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read any more: all that was made of them is written itself."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(column: str = "text"):
     """A null text counts as an empty one."""
     return F.coalesce(F.col(column), F.lit(""))

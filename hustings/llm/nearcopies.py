@@ -16,10 +16,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hustings.llm.common import small_batches, text_or_empty, written
+from hustings.llm.common import discard, sizes_bounded, small_batches, text_or_empty, written
 from hustings.llm.components import components
 from hustings.llm.pivots import HASH_SEED, MOST_BITS, links
 
@@ -29,6 +30,11 @@ LEAST = 0.8
 SAMPLE_DOCS = 20_000
 COMMON_IN = 3
 MOST_COMMON = 500_000
+#: Shingles of beginnings that a task holds at a time, and sets whose shingles go to one bucket, about.
+BLOCK_KEYS = 2_000_000
+BUCKET_SETS = 8000
+#: Sets named in pairs up to which their names are broadcast to fetch their texts; beyond, Spark shuffles all texts.
+BROADCAST_SETS = 1_000_000
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -66,13 +72,15 @@ def fingerprint_of(every: np.ndarray) -> int:
 
 
 def beginnings(words: int, least: float, common: np.ndarray) -> object:
-    """For mapInArrow: (doc_id, text) to (doc_id, text, same, fp, n, keys): the set's hash, fingerprint and size, and its beginning."""
+    """For mapInArrow: (doc_id, text) to (doc_id, packed, same, fp, n, keys): the set's hash, fingerprint and size, and its beginning."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for batch in small_batches(batches):
-            same, fps, sizes, keys = [], [], [], []
+            packed, same, fps, sizes, keys = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 every = shingles(text, words)
+                packed.append(press.compress(text.encode()))
                 same.append(xxhash.xxh64_digest(every.tobytes(), HASH_SEED))
                 fps.append(fingerprint_of(every))
                 sizes.append(len(every))
@@ -81,19 +89,81 @@ def beginnings(words: int, least: float, common: np.ndarray) -> object:
             starts = np.cumsum([0, *map(len, keys)]).astype("i4")
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([np.empty(0, "i8"), *keys])))
             sets = pa.array(np.frombuffer(b"".join(same), ">i8").astype("i8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets, pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "text", "same", "fp", "n", "keys"])
+            columns = [batch.column(0), pa.array(packed, pa.binary()), sets, pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "packed", "same", "fp", "n", "keys"])
 
     return run
 
 
+SHARED = "bucket int, data binary, key long, same long, n long"
+
+
+def shared_rows(bucket: list, data: list, key: np.ndarray, same: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Blobs, and rows of shingles known to be shared."""
+    gap = len(key)
+    columns = [pa.array([*bucket, *[None] * gap], pa.int32()), pa.array([*data, *[None] * gap], pa.binary())]
+    columns += [pa.concat_arrays([pa.nulls(len(bucket), pa.int64()), pa.array(c.astype("i8"))]) for c in (key, same, n)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "data", "key", "same", "n"])
+
+
+def sharing(buckets: int) -> object:
+    """For mapInArrow: (same, n, keys) to rows of shingles that sets of this task share, and of all its shingles one place each, in blobs by bucket.
+
+    So a bucket gets a shingle once from each block of sets at most, however many share it.
+    """
+
+    def block(sets: dict[int, tuple[int, list]]) -> pa.RecordBatch:
+        same = np.fromiter(sets, "i8", len(sets))
+        size = np.array([n for n, _ in sets.values()], "i8")
+        keys = [np.array(k, "i8") for _, k in sets.values()]
+        key, owner = np.concatenate([np.empty(0, "i8"), *keys]), np.repeat(np.arange(len(keys)), list(map(len, keys)))
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        new = np.append(True, key[1:] != key[:-1])
+        several = ~new | ~np.append(new[1:], True)
+        one_key, one = key[new], owner[new]
+        at = np.argsort(one_key % buckets, kind="stable")
+        of, first = np.unique((one_key % buckets)[at], return_index=True)
+        place = np.zeros(len(at), [("key", "<i8"), ("same", "<i8"), ("n", "<i4")])
+        place["key"], place["same"], place["n"] = one_key[at], same[one[at]], size[one[at]]
+        blobs = [place[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(at)), strict=False)]
+        return shared_rows(of.tolist(), blobs, key[several], same[owner[several]], size[owner[several]])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, tuple[int, list]] = {}
+        held = 0
+        for batch in batches:
+            for same, n, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False), strict=True):
+                if same not in sets:
+                    sets[same] = (n, keys)
+                    held += len(keys)
+                if held > BLOCK_KEYS:
+                    yield block(sets)
+                    sets, held = {}, 0
+        if sets:
+            yield block(sets)
+
+    return run
+
+
+def meeting(table: pa.Table) -> pa.Table:
+    """For applyInArrow on a bucket's blobs: places (key, same, n) of shingles that several blocks have."""
+    place = np.frombuffer(b"".join(table.column("data").to_pylist()), [("key", "<i8"), ("same", "<i8"), ("n", "<i4")])
+    place = place[np.argsort(place["key"], kind="stable")]
+    new = np.append(True, place["key"][1:] != place["key"][:-1])[: len(place)]
+    place = place[~new | ~np.append(new[1:], True)[: len(place)]]
+    return pa.table([pa.array(place[c].astype("i8")) for c in ("key", "same", "n")], names=["key", "same", "n"])
+
+
 def compared(words: int, least: float) -> object:
-    """For mapInArrow: (u, v, text_u, text_v) to the (u, v) that are similar enough."""
+    """For mapInArrow: (u, v, texts of both, packed) to the (u, v) that are similar enough."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in small_batches(batches):
             near = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = shingles(a, words), shingles(b, words)
+                x, y = (shingles(unpack.decompress(t).decode(), words) for t in (a, b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
@@ -121,8 +191,15 @@ def _sizes_agree(least: float):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
-    texts = [sets.select(F.col("same").alias(k), F.col("text").alias(f"text_{k}")) for k in ("u", "v")]
-    return pairs.join(texts[0], "u").join(texts[1], "v").select("u", "v", "text_u", "text_v").mapInArrow(compared(words, least), "u long, v long")
+    """The similar pairs of (u, v), by whole texts of sets (same, packed); written. Only texts that a pair asks for are shuffled, if their number is bounded."""
+    pairs = written(pairs, "pairs")
+    asked = written(pairs.select(F.col("u").alias("same")).union(pairs.select(F.col("v").alias("same"))).distinct(), "asked")
+    texts = sets.join(F.broadcast(asked) if asked.count() <= BROADCAST_SETS else asked, "same", "left_semi").dropDuplicates(["same"])
+    for k in ("u", "v"):
+        pairs = pairs.join(texts.select(F.col("same").alias(k), F.col("packed").alias(f"packed_{k}")), k)
+    found = written(pairs.select("u", "v", "packed_u", "packed_v").mapInArrow(compared(words, least), "u long, v long"), "similar")
+    discard(asked)
+    return found
 
 
 def near_copies(docs: DataFrame, most: int = MOST_BITS, words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -133,12 +210,16 @@ def near_copies(docs: DataFrame, most: int = MOST_BITS, words: int = WORDS, leas
     result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found = written(texts.mapInArrow(beginnings(words, least, common_shingles(texts, words)), "doc_id long, text string, same long, fp long, n long, keys array<long>"), "beginnings")
-    sets = found.dropDuplicates(["same"]).select("same", "n", "text", "keys")
-    keyed = sets.select(F.explode("keys").alias("key"), "same", "n")
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("same").alias("u"), F.min_by("n", "same").alias("nu")).where("m > 1").drop("m")
-    keyed = written(keyed.join(met, "key"), "met")
-    sets = found.select("same", "text").dropDuplicates(["same"])
+    found = written(texts.mapInArrow(beginnings(words, least, common_shingles(texts, words)), "doc_id long, packed binary, same long, fp long, n long, keys array<long>"), "beginnings")
+    sets = found.select("same", "packed")
+    # Shingles of the beginnings that several sets have.
+    rows = found.count()
+    places = written(found.select("same", "n", "keys").mapInArrow(sharing(sizes_bounded(rows, BUCKET_SETS)), SHARED), "places")
+    shared = places.where("bucket is null").select("key", "same", "n").union(places.where("bucket is not null").groupBy("bucket").applyInArrow(meeting, "key long, same long, n long"))
+    shared = written(shared.distinct(), "shared")
+    met = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("same", "n")).alias("x")).where("m > 1").select("key", F.col("x.same").alias("u"), F.col("x.n").alias("nu")), "lowest")
+    keyed = written(shared.join(met, "key"), "met")
+    discard(places, shared, met)
     # Sets whose fingerprints are linked, each with the lowest of its fingerprint's component.
     marked = found.groupBy("same", "n").agg(F.min("fp").alias("fp"))
     alike = components(links(marked.select("fp").distinct(), most)).withColumnRenamed("node", "fp")
@@ -148,7 +229,7 @@ def near_copies(docs: DataFrame, most: int = MOST_BITS, words: int = WORDS, leas
     hinted = hinted.where("u != v").where(_sizes_agree(least)).select("u", "v")
     # Then each set with the lowest one of each key: large groups of near copies become one component in linear time.
     star = keyed.select("u", "nu", F.col("same").alias("v"), F.col("n").alias("nv")).where("u != v").where(_sizes_agree(least))
-    edges = written(_verified(_enough(star, least).union(hinted).distinct(), sets, words, least), "first")
+    edges = _verified(_enough(star, least).union(hinted).distinct(), sets, words, least)
     # Then all pairs of different components under each key.
     rooted = keyed.select("key", "same", "n").join(components(edges).withColumnRenamed("node", "same"), "same", "left").select("key", "same", "n", F.coalesce("root", "same").alias("root"))
     rooted = written(rooted, "rooted")
@@ -156,7 +237,9 @@ def near_copies(docs: DataFrame, most: int = MOST_BITS, words: int = WORDS, leas
     apart = apart.select("key", F.col("root").alias("a")).join(apart.select("key", F.col("root").alias("b")), "key").where("a < b")
     one, two = (rooted.select("key", F.col("root").alias(r), F.col("same").alias(x), F.col("n").alias(f"n{x}")) for r, x in (("a", "u"), ("b", "v")))
     pairs = apart.join(one, ["key", "a"]).join(two, ["key", "b"]).where(_sizes_agree(least))
-    edges = edges.union(written(_verified(_enough(pairs, least), sets, words, least), "second"))
+    edges = edges.union(_verified(_enough(pairs, least), sets, words, least))
     classes = found.groupBy("same").agg(F.min("doc_id").alias("lowest")).join(components(edges).withColumnRenamed("node", "same"), "same", "left").select("same", "lowest", F.coalesce("root", "same").alias("root"))
     names = classes.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    return found.select("doc_id", "fp", "same").join(classes.join(names, "root").select("same", "component_id"), "same").select("doc_id", "fp", "component_id")
+    told = written(found.select("doc_id", "fp", "same").join(classes.join(names, "root").select("same", "component_id"), "same").select("doc_id", "fp", "component_id"), "told")
+    discard(found, keyed, rooted)
+    return told

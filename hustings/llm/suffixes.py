@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hustings.llm.common import sizes_bounded, small_batches, text_or_empty, written
+from hustings.llm.common import discard, sizes_bounded, small_batches, text_or_empty, written
 
 LENGTH = 400
 #: Bytes whose hash chooses the anchors.
@@ -213,7 +213,9 @@ def range_ends(heads: DataFrame, every: int) -> list[bytes]:
     heads = written(heads, "heads")
     parts = sizes_bounded(heads.count(), CUT_ROWS)
     ordered = heads.repartitionByRange(parts, "head").sortWithinPartitions("head")
-    return sorted({bytes(r["cut"]) for r in ordered.mapInArrow(cutter_of_ranges(every), "cut binary").collect()})
+    ends = sorted({bytes(r["cut"]) for r in ordered.mapInArrow(cutter_of_ranges(every), "cut binary").collect()})
+    discard(heads)
+    return ends
 
 
 class LoserTree:
@@ -398,19 +400,22 @@ CLASS = ["key", "h1", "h2"]
 
 
 def repeated(runs: DataFrame, ends: list[bytes], length: int, sample_every: int, cut_every: int) -> DataFrame:
-    """(key, h1, h2, lo, hi) of the repeated windows of sorted runs: lo to hi of their bytes are from the anchor on."""
+    """(key, h1, h2, some: array of lo and hi), written, of the repeated windows of sorted runs: lo to hi of their bytes are from the anchor on."""
     merged = written(runs.groupBy("range").applyInArrow(merger(length, ends, last=False), FOUND), "merged")
-    found = merged.where("open is null").select(*CLASS, "lo", "hi")
+    used, found = [merged], merged.where("open is null").select(*CLASS, "lo", "hi")
     open_ = merged.where("open is not null").select("open", *CLASS, (length - F.col("hi")).alias("lo"), (length - F.col("lo")).alias("hi"))
     if ends:
         other = range_ends(open_.where(F.pmod("h1", F.lit(sample_every)) == 0).select(F.col("open").alias("head")).distinct(), cut_every)
         twice = open_.mapInArrow(run_writer(other, from_open), RUNS).groupBy("range").applyInArrow(merger(length, other, last=True), FOUND)
         twice = written(twice, "twice")
+        used.append(twice)
         over = twice.where("open is not null")
         counted = over.groupBy("lo", "open").agg(F.sum("n").alias("total")).where("total > 1").select("lo", "open")
         more = twice.where("open is null").select(*CLASS, "lo", "hi").union(over.join(counted, ["lo", "open"]).select(*CLASS, "lo", "hi"))
         found = found.union(more.select(*CLASS, (length - F.col("hi")).alias("lo"), (length - F.col("lo")).alias("hi")))
-    return found
+    marks = written(found.groupBy(*CLASS).agg(F.collect_set(F.struct("lo", "hi")).alias("some")), "marks")
+    discard(*used)
+    return marks
 
 
 def _removed(docs: DataFrame, digest: bool, schema: str, length: int, range_rows: int) -> DataFrame:
@@ -423,6 +428,7 @@ def _removed(docs: DataFrame, digest: bool, schema: str, length: int, range_rows
     # Written before joins, so that these are plain shuffles of two tables, whose hot keys Spark can split.
     again = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "again")
     sought = written(found.join(again, "key", "left_semi"), "sought")
+    discard(found, again)
     place = F.struct("row", "a", "s1", "s2")
     members = sought.groupBy(*CLASS).agg(F.min(place).alias("one"), F.max(place).alias("two"))
     members = members.select(*CLASS, F.explode(F.array_distinct(F.array("one", "two"))).alias("x")).select(*CLASS, "x.*")
@@ -431,8 +437,7 @@ def _removed(docs: DataFrame, digest: bool, schema: str, length: int, range_rows
     # Both joins with the texts keep all rows, so that they read one shuffle of them.
     lists = members.groupBy("row").agg(F.collect_list(F.struct(*CLASS, "a", "s1", "s2")).alias("runs"))
     runs = rows.join(lists, "row", "left").select("packed", "runs", "doc_id").mapInArrow(run_writer(ends, from_texts(length)), RUNS)
-    marks = repeated(runs, ends, length, sample_every, cut_every).groupBy(*CLASS).agg(F.collect_set(F.struct("lo", "hi")).alias("some"))
-    marks = written(marks, "marks")
+    marks = repeated(runs, ends, length, sample_every, cut_every)
     span = F.struct((F.col("a") - length + F.col("x.lo")).alias("start"), (F.col("a") + F.col("x.hi")).alias("stop"))
     spans = sought.select(*CLASS, "row", "a").join(marks, CLASS).select("row", "a", F.explode("some").alias("x")).select("row", span.alias("span"))
     given = spans.groupBy("row").agg(F.collect_set("span").alias("spans"))

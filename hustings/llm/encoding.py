@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hustings.llm.common import small_batches, text_or_empty, written
+from hustings.llm.common import discard, small_batches, text_or_empty, written
 from hustings.llm.tokens import PieceEncoder, encoder
 
 #: The rolling hash looks at so many bytes.
@@ -157,14 +157,18 @@ def _encoded(docs: DataFrame, vocabulary: str, digest: Callable, schema: str, ki
     key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text"))))
     texts = texts.select(key.alias("row"), "doc_id", "text")
     refs = written(texts.select("row", "text").mapInArrow(chunk_refs, REFS), "chunks")
+    # Only chunks that occur again go on; written before the join, so that Spark can split the places of very common ones.
+    again = written(refs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
+    places = written(refs.join(again, "h", "left_semi"), "shared")
+    discard(refs, again)
     # A chunk's first place is by row key; only there it is encoded, and only to the other places its ids travel.
-    shared = refs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "stop")).alias("first")).where("n > 1")
+    shared = places.groupBy("h").agg(F.min(F.struct("row", "start", "stop")).alias("first"))
     rows = texts.mapInArrow(packed, "row binary, doc_id long, packed binary").repartition("row")
     owners = shared.select("h", "first.*").groupBy("row").agg(F.collect_list(F.struct("h", "start", "stop")).alias("chunks"))
     # Both joins keep all rows, so that they read one shuffle of the texts.
     own = rows.join(owners, "row", "left").select("packed", "chunks", "doc_id").mapInArrow(core_encoder(vocabulary), "h binary, ids binary")
     cores = own.groupBy("h").agg(F.first("ids").alias("ids"))
-    known = refs.join(shared.select("h", "first"), "h").where("row != first.row or start != first.start").join(cores, "h")
+    known = places.join(shared, "h").where("row != first.row or start != first.start").join(cores, "h")
     given = known.groupBy("row").agg(F.collect_list(F.struct("start", "stop", "ids")).alias("chunks"))
     return rows.join(given, "row", "left").select("doc_id", "packed", "chunks").mapInArrow(assembler(vocabulary, digest, kinds), schema)
 

@@ -32,7 +32,16 @@ def calibrated_shares(prior: np.ndarray, means: np.ndarray, target: np.ndarray,
             break
         s = np.clip(s, low * s0, high * s0)
         held |= out
-    return np.clip(s, low * s0, high * s0) / np.clip(s, low * s0, high * s0).sum()
+    return within(s, low * s0, high * s0)
+
+
+def within(s: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The shares moved alike until they add up to one inside their bounds (least adds up to one at most, most to one at least)."""
+    below, above = (least - s).min(), (most - s).max()
+    for _ in range(100):
+        middle = (below + above) / 2
+        below, above = (middle, above) if np.clip(s + middle, least, most).sum() < 1 else (below, middle)
+    return np.clip(s + above, least, most)
 
 
 def calibrate(units: DataFrame, targets: DataFrame, group: str, unit: str, prior: str, columns: list[str]) -> DataFrame:

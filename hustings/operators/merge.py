@@ -71,7 +71,7 @@ def apportioned(wards: DataFrame, electors: DataFrame, default: float = 0.65) ->
     pure = wards.where("not split").groupBy("s", "n").agg(F.sum("pop").alias("pure"))
     frame = electors.join(pure, ["s", "n"], "left").withColumn("pure", F.coalesce("pure", F.lit(0.0)))
     ratio = frame.where("pure > 0").groupBy("s").agg(F.percentile(F.col("e") / F.col("pure"), 0.5).alias("ratio"))
-    left = frame.join(ratio, "s", "left").select("s", "n", F.greatest(F.lit(0.0), F.col("e") - F.coalesce("ratio", F.lit(default)) * F.col("pure") * 0.5).alias("residual"))
+    left = frame.join(ratio, "s", "left").select("s", "n", F.greatest(F.lit(0.0), F.col("e") - F.coalesce("ratio", F.lit(default)) * F.col("pure")).alias("residual"))
     split = wards.where("split").select("s", "town", "n", "weight").join(left, ["s", "n"]).withColumn("x", F.col("weight") * F.col("residual"))
     w = Window.partitionBy("s", "town")
     return split.select("s", "town", "n", F.when(F.sum("x").over(w) > 0, F.col("x") / F.sum("x").over(w)).otherwise(F.col("weight") / F.sum("weight").over(w)).alias("share"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hustings.functions import canon
 from hustings.functions.canon import alliance_base
 
 
@@ -118,3 +119,12 @@ def decisive_swing(seats: DataFrame) -> DataFrame:
     flip = (F.col("p") == F.col("leader")) & (F.col("q") == F.col("next")) & (F.col("m") < 2 * F.col("pp"))
     at = tried.groupBy("arena", "s", "leader", "next", "pp", "ahead", "behind").agg(F.count_if(flip).alias("x"))
     return at.groupBy("arena", "s", "leader", "next").agg(F.min(F.when(F.col("behind") + F.col("x") > F.col("ahead") - F.col("x"), F.col("pp"))).alias("pp"))
+
+
+def electorate_growth(electors: DataFrame) -> DataFrame:
+    """Growth of electors since a seat's election before, null across a boundary break; women per thousand men."""
+    w = Window.partitionBy("arena", "s", "j").orderBy("y")
+    rows = electors.select("*", F.lag("e").over(w).alias("was"), F.lag("y").over(w).alias("before"))
+    same = canon.comparable(F.col("arena"), F.col("s"), F.col("before"), F.col("y"))
+    growth = F.when(same, canon.percent(F.col("e") - F.col("was"), F.col("was")))
+    return rows.select("arena", "s", "j", "y", growth.alias("growth"), canon.percent(F.col("women") * 10, F.col("men")).alias("women_per_thousand"))

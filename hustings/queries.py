@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hustings.functions import canon
-from hustings.operators import calibrate, linkage, merge, place, project, quality, resolve, rollup, signals
+from hustings.operators import board, calibrate, linkage, merge, place, project, quality, resolve, rollup, signals
 from hustings.plans.contests import BEFORE, YEAR, Contests
 from hustings.sources import contests as source
 from hustings.sources import files
@@ -64,6 +64,23 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEAT = ["arena", "s", "y", "n"]
 PLACE = ["arena", "s", "j"]
 
+
+def seat_names(c: Contests) -> DataFrame:
+    return c.seats.select(*PLACE, F.concat(F.lit("Seat "), "j").alias("name")).distinct()
+
+
+def elector_book(c: Contests) -> DataFrame:
+    """Electors of every seat in a book of which some numbers and some names differ from the seats'."""
+    most = c.electors.groupBy(*PLACE).agg(F.max("e").alias("e"))
+    name = F.when(F.col("j") % 4 == 2, "Seat other").otherwise(F.concat(F.lit("Seat "), "j"))
+    return most.select("arena", "s", F.when(F.col("j") % 4 == 1, F.col("j") + 50).otherwise(F.col("j")).cast("int").alias("j"), name.alias("name"), "e")
+
+
+def wards_and_frame(c: Contests) -> tuple[DataFrame, DataFrame]:
+    """Towns' people by seat, of which those from number 12 on are split between seats, and the seats' electors."""
+    wards = c.units.groupBy("s", "town", "n").agg(F.sum("pop").cast("double").alias("weight"), F.sum("pop").cast("double").alias("pop"))
+    return wards.withColumn("split", F.col("town") >= 12), c.frame
+
 # Contests, candidates and history.
 register("contest_resolution", lambda c: c.seats.select(*SEAT, "j", "c", "r", "p", "a", "v", "q", "m", "t", "total", "wv"), "SELECT arena, s, y, n, j, c, r, p, a, round(v, 6) AS v, q, round(m, 6) AS m, t, total, wv FROM seats")
 register("top_candidates", lambda c: resolve.top_candidates(c.cand), "SELECT arena, s, y, n, p, votes, rank, round(share, 6) AS share FROM ranked WHERE rank <= 5")
@@ -167,7 +184,7 @@ register("base_wins_merge", lambda c: merge.base_wins(c.bypolls.where("n < 3").s
 register("winner_agreement_gate", lambda c: merge.agreeing_elections(c.bypolls, c.seats, 0.5), "SELECT arena, s, y, round(avg(CAST(b.p = x.p AS DOUBLE)), 6) AS agree FROM byp b JOIN seats x USING (arena, s, y, n) GROUP BY ALL HAVING avg(CAST(b.p = x.p AS DOUBLE)) >= 0.5")
 register("complete_elections", lambda c: merge.complete_elections(c.cand, c.seats), "SELECT arena, s, y, seen, rows, due FROM (SELECT arena, s, y, count(DISTINCT n) AS seen, count(*) AS rows FROM cand GROUP BY ALL) JOIN (SELECT arena, s, y, count(*) AS due FROM seats GROUP BY ALL) USING (arena, s, y) WHERE seen >= 0.98 * due AND rows >= 3.0 * seen")
 register("electors_checked", lambda c: merge.checked_electors(c.electors), ", ok AS (SELECT *, abs(men + women - e) <= greatest(50.0, 0.005 * e) AS adds FROM el WHERE e > 0 AND voters <= 1.02 * e) SELECT arena, s, y, n, e, voters, CASE WHEN adds THEN men END AS men, CASE WHEN adds THEN women END AS women FROM ok")
-register("electorate_growth", lambda c: c.electors.select(*PLACE, "y", canon.percent(F.col("e") - F.lag("e").over(resolve.Window.partitionBy(*PLACE).orderBy("y")), F.lag("e").over(resolve.Window.partitionBy(*PLACE).orderBy("y"))).alias("growth"), canon.percent(F.col("women") * 10, F.col("men")).alias("women_per_thousand")), "SELECT arena, s, j, y, round(CAST(e - lag(e) OVER w AS DOUBLE) * 100 / lag(e) OVER w, 6) AS growth, round(CAST(women * 10 AS DOUBLE) * 100 / nullif(men, 0), 6) AS women_per_thousand FROM el WINDOW w AS (PARTITION BY arena, s, j ORDER BY y)")
+register("electorate_growth", lambda c: project.electorate_growth(c.electors), "SELECT arena, s, j, y, CASE WHEN NOT (arena = 'AE' AND s IN ('NATION_5', 'NATION_9') AND (before < 1998) <> (y < 1998)) THEN round(CAST(e - was AS DOUBLE) * 100 / was, 6) END AS growth, round(CAST(women * 10 AS DOUBLE) * 100 / nullif(men, 0), 6) AS women_per_thousand FROM (SELECT *, lag(e) OVER w AS was, lag(y) OVER w AS before FROM el WINDOW w AS (PARTITION BY arena, s, j ORDER BY y))")
 register("split_tickets", lambda c: merge.split_tickets(resolve.ranked(c.cand).where("arena = 'GE'"), resolve.ranked(c.cand).where("arena = 'AE'"), merge.nearest_year(c.seats.where("arena = 'GE'"), c.seats.where("arena = 'AE'"), ["s"])), """, ny AS (SELECT g.s, g.y, a.y AS ay FROM (SELECT DISTINCT s, y FROM seats WHERE arena = 'GE') g JOIN (SELECT DISTINCT s, y FROM seats WHERE arena = 'AE') a ON g.s = a.s QUALIFY row_number() OVER (PARTITION BY g.s, g.y ORDER BY abs(g.y - a.y), a.y) = 1)
 SELECT * FROM (SELECT g.s, g.y, ny.ay, g.n, g.p, round(g.share, 6) AS gv, round(a.share, 6) AS av, row_number() OVER (PARTITION BY g.s, g.y, g.n ORDER BY g.share DESC, g.p) AS rank FROM ranked g JOIN ny ON g.s = ny.s AND g.y = ny.y JOIN ranked a ON a.arena = 'AE' AND a.s = g.s AND a.y = ny.ay AND a.n = g.n AND a.p = g.p WHERE g.arena = 'GE' AND greatest(g.share, a.share) >= 5) WHERE rank <= 6""")
 
@@ -228,7 +245,7 @@ register("hierarchy_additivity", lambda c: quality.additive(c.summary, c.nationa
 register("key_checks", lambda c: quality.unique_and_whole(c.seats, ["arena", "s", "y"], "n"), "SELECT arena, s, y, count(*) AS rows, count(DISTINCT n) AS distinct, count(*) = count(DISTINCT n) AS is_unique, min(n) = 1 AND max(n) = count(DISTINCT n) AS is_whole FROM seats GROUP BY ALL")
 register("only_in_one", lambda c: quality.only_in(c.seats.where("arena = 'AE'"), c.seats.where("arena = 'GE'"), ["s", "y", "n"]), "SELECT s, y, n, 'a' AS only_in FROM (SELECT s, y, n FROM seats WHERE arena = 'AE' EXCEPT SELECT s, y, n FROM seats WHERE arena = 'GE') UNION ALL SELECT s, y, n, 'b' FROM (SELECT s, y, n FROM seats WHERE arena = 'GE' EXCEPT SELECT s, y, n FROM seats WHERE arena = 'AE')")
 register("coverage_buckets", lambda c: quality.coverage(c.units, F.col("code") % 4, "pop", "s"), UNITS + "SELECT s, bucket, CAST(sum(pop) AS BIGINT) AS weight, round(CAST(sum(pop) AS DOUBLE) * 100 / sum(sum(pop)) OVER (PARTITION BY s), 6) AS pct FROM (SELECT s, pop, CASE code % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'several' END AS bucket FROM u) GROUP BY s, bucket")
-register("check_report", lambda c: quality.report([quality.check("votes add up", c.cand, F.lit(True), F.sum("votes") == F.sum("votes")), quality.check("states", c.seats, F.lit(25), F.count_distinct("s")), quality.check("a winner for each contest", c.seats, F.count(F.lit(1)), F.count("p"))]).select("check", "ok"), "SELECT 'votes add up' AS \"check\", count(*) > 0 AS ok FROM cand UNION ALL SELECT 'states', count(DISTINCT s) = 25 FROM seats UNION ALL SELECT 'a winner for each contest', count(*) = count(p) FROM seats")
+register("check_report", lambda c: quality.report([quality.check("votes add up", c.cand.agg(F.sum("votes").alias("votes")).join(source.table(c.spark, c.sf_dir, "lineitem").agg(F.sum("l_quantity").cast("long").alias("whole"))), F.max("whole"), F.max("votes")), quality.check("states", c.seats, F.lit(25), F.count_distinct("s")), quality.check("a winner for each contest", c.cand.select("arena", "s", "y", "n").distinct().join(c.seats, SEAT, "left"), F.count(F.lit(1)), F.count("p"))]), "SELECT 'votes add up' AS \"check\", CAST(CAST(w AS BIGINT) AS VARCHAR) AS expected, CAST(v AS VARCHAR) AS got, CAST(w AS BIGINT) = v AS ok FROM (SELECT sum(l_quantity) AS w FROM lineitem), (SELECT CAST(sum(votes) AS BIGINT) AS v FROM cand) UNION ALL SELECT 'states', '25', CAST(count(DISTINCT s) AS VARCHAR), count(DISTINCT s) = 25 FROM seats UNION ALL SELECT 'a winner for each contest', CAST(count(*) AS VARCHAR), CAST(count(p) AS VARCHAR), count(*) = count(p) FROM (SELECT DISTINCT arena, s, y, n FROM cand) LEFT JOIN seats USING (arena, s, y, n)")
 register("election_manifest", lambda c: files.manifest(c.cand), "SELECT arena, s, y, count(*) AS rows FROM cand GROUP BY ALL")
 
 # Scorecards over years, labels and matrices.
@@ -243,3 +260,22 @@ register("whole_record_merge", lambda c: merge.preferred(c.seats.select(*SEAT, "
 register("bypolls_of_seats", lambda c: c.active.select("arena", "s", "n", "y", "p").join(c.bypolls.select("arena", "s", "n", F.col("y").alias("by_y"), F.col("p").alias("by_p")), ["arena", "s", "n"]).where("by_y >= y"), "SELECT a.arena, a.s, a.n, a.y, a.p, b.y AS by_y, b.p AS by_p FROM act a JOIN byp b ON a.arena = b.arena AND a.s = b.s AND a.n = b.n AND b.y >= a.y")
 register("electors_agreement", lambda c: c.electors.join(c.seats.select(*SEAT, "total"), SEAT).groupBy("arena", "s", "y").agg(F.count(F.lit(1)).alias("seats"), F.count_if(F.abs(F.col("e") - 2 * F.col("total")) <= 0.005 * F.col("e")).alias("agree"), F.sum(F.col("e") - 2 * F.col("total")).alias("difference")), "SELECT arena, s, y, count(*) AS seats, count(*) FILTER (abs(e - 2 * total) <= 0.005 * e) AS agree, CAST(sum(e - 2 * total) AS BIGINT) AS difference FROM el JOIN seats USING (arena, s, y, n) GROUP BY ALL")
 register("turnout_precedence", lambda c: c.seats.groupBy("arena", "s", "y").agg(F.avg("t").alias("mean")).join(c.electors.where("n <= 3 and e > 0").groupBy("arena", "s", "y").agg(F.sum("voters").alias("v"), F.sum("e").alias("e")), ["arena", "s", "y"], "left").select("arena", "s", "y", F.coalesce(canon.percent(F.col("v"), F.col("e")), F.col("mean")).alias("turnout")), "SELECT arena, s, y, round(coalesce(CAST(v AS DOUBLE) * 100 / e, mean), 6) AS turnout FROM (SELECT arena, s, y, avg(t) AS mean FROM seats GROUP BY ALL) LEFT JOIN (SELECT arena, s, y, sum(voters) AS v, sum(e) AS e FROM el WHERE n <= 3 AND e > 0 GROUP BY ALL) USING (arena, s, y)")
+
+# Signals of a whole house, and lookups with ordered fallbacks.
+register("split_field", lambda c: board.split_field(c.active), "SELECT arena, p, decided, under, count(*) AS wins, 50 + CAST(round(CAST(under AS DOUBLE) * 100 / decided) AS BIGINT) AS score FROM (SELECT *, count(*) OVER (PARTITION BY arena) AS under FROM (SELECT *, count(*) OVER (PARTITION BY arena) AS decided FROM act WHERE v IS NOT NULL) WHERE v < 40 AND decided >= 30) WHERE under >= greatest(4, 0.08 * decided) GROUP BY ALL")
+register("softening_strongholds", lambda c: board.softening(resolve.eroding(c.seats)), "SELECT arena, p, seats, round(mean_lost, 6) AS mean_lost, 50 + 2 * lead AS score FROM (SELECT *, CAST(sum(seats) OVER w AS BIGINT) AS whole, max(seats) OVER w AS lead FROM (SELECT arena, p, count(*) AS seats, avg(m1 - m) AS mean_lost FROM (SELECT *, lag(p, 1) OVER w AS p1, lag(p, 2) OVER w AS p2, lag(m, 1) OVER w AS m1, lead(y) OVER w AS later FROM seats WINDOW w AS (PARTITION BY arena, s, j ORDER BY y)) WHERE later IS NULL AND p = p1 AND p = p2 AND m1 - m > 5 GROUP BY ALL) WINDOW w AS (PARTITION BY arena)) WHERE whole >= 3 AND lead >= 3")
+register("margin_of_control", lambda c: board.margin_of_control(c.active, ["arena"]), """, tally AS (SELECT arena, p, count(*) AS won FROM act GROUP BY ALL), led AS (SELECT arena, p, won, CAST(sum(won) OVER (PARTITION BY arena) AS BIGINT) AS n FROM tally QUALIFY row_number() OVER (PARTITION BY arena ORDER BY won DESC, p) = 1),
+line AS (SELECT *, CAST(n // 2 AS BIGINT) + 1 AS majority, won - (CAST(n // 2 AS BIGINT) + 1) AS cushion FROM led WHERE n >= 30), thin AS (SELECT l.arena, a.m, l.cushion, row_number() OVER (PARTITION BY l.arena ORDER BY a.m, a.n) - 1 AS place, count(*) OVER (PARTITION BY l.arena) AS o FROM act a JOIN line l ON a.arena = l.arena AND a.p = l.p WHERE a.m IS NOT NULL)
+SELECT line.arena, line.p AS leader, n, won, majority, line.cushion, round(t.m, 6) AS pivot, CASE WHEN line.cushion >= 0 AND line.cushion <= greatest(3, 0.03 * n) THEN 'critical' ELSE 'note' END AS severity FROM line LEFT JOIN (SELECT * FROM thin WHERE cushion >= 0 AND place = least(cushion, o - 1)) t ON t.arena = line.arena""")
+register("resolved_years", lambda c: board.resolved_years(c.seats.where("y != 1997"), ["arena", "s"], c.seats.select("arena", "s", F.explode(F.array(F.lit(1990), F.lit(1997), F.lit(2000))).alias("y")).distinct()), "SELECT arena, s, w.y, coalesce(max(h.y) FILTER (h.y <= w.y), min(h.y)) AS resolved FROM (SELECT DISTINCT arena, s, unnest([1990, 1997, 2000]) AS y FROM seats) w JOIN (SELECT DISTINCT arena, s, y FROM seats WHERE y <> 1997) h USING (arena, s) GROUP BY arena, s, w.y")
+register("code_weights", lambda c: board.code_weights(c.units.select("code", F.concat_ws(";", F.concat_ws(":", "n", "pop"), F.concat_ws(":", F.col("town") + 100, "hh"), F.lit("x:1")).alias("pins")).withColumnRenamed("code", "unit"), "unit", "pins"), UNITS + "SELECT unit, code, round(CAST(w AS DOUBLE) / sum(w) OVER (PARTITION BY unit), 6) AS weight FROM (SELECT code AS unit, CAST(n AS BIGINT) AS code, pop AS w FROM u UNION ALL SELECT code, CAST(town + 100 AS BIGINT), hh FROM u)")
+BOOK = ", book AS (SELECT arena, s, CAST(CASE WHEN j % 4 = 1 THEN j + 50 ELSE j END AS INTEGER) AS j, CASE WHEN j % 4 = 2 THEN 'Seat other' ELSE 'Seat ' || j END AS name, max(e) AS e FROM el GROUP BY arena, s, j), st AS (SELECT DISTINCT arena, s, j, 'Seat ' || j AS name FROM seats)"
+register("electors_looked_up", lambda c: board.looked_up(seat_names(c), elector_book(c), ["arena", "s"], "j", "name", "e"), BOOK + ", b AS (SELECT arena, s, j, name, max(e) AS vb FROM book GROUP BY ALL), a AS (SELECT arena, s, name, max(e) AS va FROM book GROUP BY ALL HAVING count(*) = 1), k AS (SELECT arena, s, j, max(e) AS vk FROM book GROUP BY ALL) SELECT arena, s, j, name, coalesce(vb, va, vk) AS e, CASE WHEN vb IS NOT NULL THEN 'both' WHEN va IS NOT NULL THEN 'name' WHEN vk IS NOT NULL THEN 'number' END AS \"by\" FROM st LEFT JOIN b USING (arena, s, j, name) LEFT JOIN a USING (arena, s, name) LEFT JOIN k USING (arena, s, j)")
+register("electors_by_name_then_number", lambda c: board.two_step(seat_names(c), elector_book(c).where("name != 'Seat other'"), elector_book(c), ["arena", "s"], "j", "name", "e"), BOOK + " SELECT arena, s, st.j, st.name, CASE WHEN x.name IS NOT NULL THEN x.e ELSE z.e END AS e FROM st LEFT JOIN (SELECT * FROM book WHERE name <> 'Seat other') x USING (arena, s, name) LEFT JOIN book z ON z.arena = st.arena AND z.s = st.s AND z.j = st.j")
+register("district_of_seat", lambda c: board.most_common(c.units, ["s", "n"], "district"), UNITS + "SELECT s, n, district, round(CAST(c AS DOUBLE) / sum(c) OVER (PARTITION BY s, n), 6) AS share FROM (SELECT s, n, district, count(*) AS c FROM u GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY s, n ORDER BY c DESC, district) = 1")
+register("backfilled_shares", lambda c: c.seats.select(*SEAT, board.backfilled(F.when(F.col("n") % 3 != 0, F.col("v")).otherwise(0.0), F.col("wv"), F.when(F.col("n") != 6, F.col("total")), F.col("wv"), F.col("v")).alias("share")), "SELECT arena, s, y, n, round(v, 6) AS share FROM seats")
+register("complete_parent_profiles", lambda c: board.complete_sums(c.units.groupBy("s", "n").agg(F.sum("pop").alias("pop"), F.sum("hh").alias("hh")).join(c.parents.select("s", "pc"), "s"), c.parents.groupBy("pc").agg((F.count(F.lit(1)) * 6).alias("parts")), ["pc"], ["pop", "hh"]), UNITS + "SELECT pc, CAST(sum(pop) AS BIGINT) AS pop, CAST(sum(hh) AS BIGINT) AS hh FROM prof JOIN par USING (s) GROUP BY pc HAVING count(*) = (SELECT 6 * count(*) FROM par q WHERE q.pc = par.pc)")
+register("leader_retention", lambda c: board.leader_retention(c.changed), "SELECT arena, s, leader, had, round(CAST(held AS DOUBLE) * 100 / had, 6) AS retention FROM (SELECT arena, s, prev_p AS leader, count(*) AS had, count(*) FILTER (status = 'held') AS held FROM comp GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY arena, s ORDER BY had DESC, leader) = 1")
+register("apportioned_towns", lambda c: merge.apportioned(*wards_and_frame(c)), UNITS + """, wd AS (SELECT s, town, n, CAST(sum(pop) AS DOUBLE) AS weight, sum(pop) AS pop, town >= 12 AS split FROM u GROUP BY ALL), pure AS (SELECT s, n, CAST(sum(pop) AS DOUBLE) AS pure FROM wd WHERE NOT split GROUP BY ALL),
+fr AS (SELECT s, n, e, coalesce(pure, 0) AS pure FROM frame LEFT JOIN pure USING (s, n)), ra AS (SELECT s, quantile_cont(e / pure, 0.5) AS ratio FROM fr WHERE pure > 0 GROUP BY ALL), re AS (SELECT s, n, greatest(0, e - coalesce(ratio, 0.65) * pure) AS residual FROM fr LEFT JOIN ra USING (s)),
+x AS (SELECT s, town, n, weight, weight * residual AS x FROM wd JOIN re USING (s, n) WHERE split) SELECT s, town, n, round(CASE WHEN sum(x) OVER w > 0 THEN x / sum(x) OVER w ELSE weight / sum(weight) OVER w END, 6) AS share FROM x WINDOW w AS (PARTITION BY s, town)""")

@@ -40,6 +40,9 @@ def test_calibration_meets_targets_within_bounds(spark):
     means = rng.uniform(0, 100, (12, 3))
     truth = rng.dirichlet(np.ones(12) * 5)
     share = calibrate.calibrated_shares(np.ones(12), means, truth @ means)
+    bound = calibrate.calibrated_shares(np.array([1.0, 1.0, 1.0, 7.0]), np.array([[0.0], [0.0], [0.0], [100.0]]), np.array([0.0]))
+    prior = np.array([1.0, 1.0, 1.0, 7.0]) / 10
+    assert abs(bound.sum() - 1) < 1e-9 and (bound >= 0.2 * prior - 1e-9).all() and (bound <= 5 * prior + 1e-9).all() and bound[3] < 0.2
     assert share.sum() == pytest.approx(1) and (share >= 0.2 / 12 - 1e-9).all() and (share <= 5 / 12 + 1e-9).all()
     assert np.abs(share @ means - truth @ means).max() < np.abs(means.mean(axis=0) - truth @ means).max()
     units = spark.createDataFrame([("g", 1, 1.0, 10.0), ("g", 2, 1.0, 20.0), ("one", 3, 2.0, 5.0), ("none", 4, 1.0, 1.0), ("none", 5, 3.0, 2.0)], "g string, u int, prior double, x double")

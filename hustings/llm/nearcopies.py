@@ -2,9 +2,11 @@
 
 SimHash fingerprints a few bits apart give the first pairs, by pivot distance tables. No bit bound of 64-bit fingerprints
 with usable keys reaches all pairs at 0.8, so the others meet by their shingles. All sets are put in one order of shingles, and of each set only the beginning (n - ceil(least * n) + 1 shingles) is looked at: two
-sets whose beginnings share nothing are less similar than the bound. Pairs whose beginnings share too little for the bound
-are dropped by the same argument, the others are compared whole. The order has common shingles last; which ones count as
-common is told from a sample, which decides the work, never the result.
+sets whose beginnings share nothing are less similar than the bound. Each shingle's sets are first held against the set
+whose shingles are shared most, which is close to what a group was copied from; so most groups become one component. Sets
+of different components need to meet only at the first shingle that they share, of which both must have enough left for
+the bound. The order has common shingles last, so that copies that differ too much run out of it on shingles of their own;
+which ones count as common is told from a sample, which decides the work, never the result.
 """
 
 from __future__ import annotations
@@ -95,15 +97,17 @@ def beginnings(words: int, least: float, common: np.ndarray) -> object:
     return run
 
 
-SHARED = "bucket int, data binary, key long, same long, n long"
+SHARED = "bucket int, data binary, key long, same long, n long, pos long"
+PLACE = [("key", "<i8"), ("same", "<i8"), ("n", "<i4"), ("pos", "<i4")]
+NAMES = [name for name, _ in PLACE]
 
 
-def shared_rows(bucket: list, data: list, key: np.ndarray, same: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Blobs, and rows of shingles known to be shared."""
-    gap = len(key)
+def shared_rows(bucket: list, data: list, *known: np.ndarray) -> pa.RecordBatch:
+    """Blobs, and rows (key, same, n, pos) of shingles known to be shared."""
+    gap = len(known[0])
     columns = [pa.array([*bucket, *[None] * gap], pa.int32()), pa.array([*data, *[None] * gap], pa.binary())]
-    columns += [pa.concat_arrays([pa.nulls(len(bucket), pa.int64()), pa.array(c.astype("i8"))]) for c in (key, same, n)]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "data", "key", "same", "n"])
+    columns += [pa.concat_arrays([pa.nulls(len(bucket), pa.int64()), pa.array(c.astype("i8"))]) for c in known]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "data", *NAMES])
 
 
 def sharing(buckets: int) -> object:
@@ -117,17 +121,18 @@ def sharing(buckets: int) -> object:
         size = np.array([n for n, _ in sets.values()], "i8")
         keys = [np.array(k, "i8") for _, k in sets.values()]
         key, owner = np.concatenate([np.empty(0, "i8"), *keys]), np.repeat(np.arange(len(keys)), list(map(len, keys)))
+        pos = np.concatenate([np.empty(0, "i8"), *[np.arange(len(k)) for k in keys]])
         order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
+        key, owner, pos = key[order], owner[order], pos[order]
         new = np.append(True, key[1:] != key[:-1])
         several = ~new | ~np.append(new[1:], True)
-        one_key, one = key[new], owner[new]
+        one_key, one, one_pos = key[new], owner[new], pos[new]
         at = np.argsort(one_key % buckets, kind="stable")
         of, first = np.unique((one_key % buckets)[at], return_index=True)
-        place = np.zeros(len(at), [("key", "<i8"), ("same", "<i8"), ("n", "<i4")])
-        place["key"], place["same"], place["n"] = one_key[at], same[one[at]], size[one[at]]
+        place = np.zeros(len(at), PLACE)
+        place["key"], place["same"], place["n"], place["pos"] = one_key[at], same[one[at]], size[one[at]], one_pos[at]
         blobs = [place[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(at)), strict=False)]
-        return shared_rows(of.tolist(), blobs, key[several], same[owner[several]], size[owner[several]])
+        return shared_rows(of.tolist(), blobs, key[several], same[owner[several]], size[owner[several]], pos[several])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, tuple[int, list]] = {}
@@ -147,12 +152,12 @@ def sharing(buckets: int) -> object:
 
 
 def meeting(table: pa.Table) -> pa.Table:
-    """For applyInArrow on a bucket's blobs: places (key, same, n) of shingles that several blocks have."""
-    place = np.frombuffer(b"".join(table.column("data").to_pylist()), [("key", "<i8"), ("same", "<i8"), ("n", "<i4")])
+    """For applyInArrow on a bucket's blobs: places (key, same, n, pos) of shingles that several blocks have."""
+    place = np.frombuffer(b"".join(table.column("data").to_pylist()), PLACE)
     place = place[np.argsort(place["key"], kind="stable")]
     new = np.append(True, place["key"][1:] != place["key"][:-1])[: len(place)]
     place = place[~new | ~np.append(new[1:], True)[: len(place)]]
-    return pa.table([pa.array(place[c].astype("i8")) for c in ("key", "same", "n")], names=["key", "same", "n"])
+    return pa.table([pa.array(place[c].astype("i8")) for c in NAMES], names=NAMES)
 
 
 def compared(words: int, least: float) -> object:
@@ -190,6 +195,16 @@ def _sizes_agree(least: float):
     return F.least("nu", "nv") >= F.lit(least) * F.greatest("nu", "nv") - 1e-6
 
 
+def _left_over(least: float):
+    """Of a set, what is left from a shingle on, less its own share of what a similar pair has in common."""
+    return F.col("n") - F.col("pos") - F.lit(least / (1 + least)) * F.col("n")
+
+
+def _reaches(least: float, left: str, n: str):
+    """Whether that is enough for the other set's share. It is at the first shingle that a similar pair has in common, as all it shares lies from there on."""
+    return F.col(left) >= F.lit(least / (1 + least)) * F.col(n) - 1e-6
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
     """The similar pairs of (u, v), by whole texts of sets (same, packed); written. Only texts that a pair asks for are shuffled, if their number is bounded."""
     pairs = written(pairs, "pairs")
@@ -215,11 +230,14 @@ def near_copies(docs: DataFrame, most: int = MOST_BITS, words: int = WORDS, leas
     # Shingles of the beginnings that several sets have.
     rows = found.count()
     places = written(found.select("same", "n", "keys").mapInArrow(sharing(sizes_bounded(rows, BUCKET_SETS)), SHARED), "places")
-    shared = places.where("bucket is null").select("key", "same", "n").union(places.where("bucket is not null").groupBy("bucket").applyInArrow(meeting, "key long, same long, n long"))
+    shared = places.where("bucket is null").select(*NAMES).union(places.where("bucket is not null").groupBy("bucket").applyInArrow(meeting, "key long, same long, n long, pos long"))
     shared = written(shared.distinct(), "shared")
-    met = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("same", "n")).alias("x")).where("m > 1").select("key", F.col("x.same").alias("u"), F.col("x.n").alias("nu")), "lowest")
-    keyed = written(shared.join(met, "key"), "met")
-    discard(places, shared, met)
+    met = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "lowest")
+    counted = written(shared.join(met, "key"), "counted")
+    middle = written(counted.groupBy("same").agg((F.sum("m") / F.first("n")).alias("pop")), "middle")
+    centres = written(counted.join(middle, "same").groupBy("key").agg(F.max(F.struct("pop", "same", "n")).alias("x")).select("key", F.col("x.same").alias("u"), F.col("x.n").alias("nu")), "centres")
+    keyed = written(counted.join(centres, "key").select(*NAMES, "u", "nu"), "met")
+    discard(places, shared, met, counted, middle, centres)
     # Sets whose fingerprints are linked, each with the lowest of its fingerprint's component.
     marked = found.groupBy("same", "n").agg(F.min("fp").alias("fp"))
     alike = components(links(marked.select("fp").distinct(), most)).withColumnRenamed("node", "fp")
@@ -227,19 +245,22 @@ def near_copies(docs: DataFrame, most: int = MOST_BITS, words: int = WORDS, leas
     lowest = marked.groupBy("root").agg(F.min(F.struct("same", "n")).alias("x"))
     hinted = marked.join(lowest, "root").select(F.col("x.same").alias("u"), F.col("x.n").alias("nu"), F.col("same").alias("v"), F.col("n").alias("nv"))
     hinted = hinted.where("u != v").where(_sizes_agree(least)).select("u", "v")
-    # Then each set with the lowest one of each key: large groups of near copies become one component in linear time.
+    # Then each set with the centre of each key: large groups of near copies become one component in linear time.
     star = keyed.select("u", "nu", F.col("same").alias("v"), F.col("n").alias("nv")).where("u != v").where(_sizes_agree(least))
     edges = _verified(_enough(star, least).union(hinted).distinct(), sets, words, least)
-    # Then all pairs of different components under each key.
-    rooted = keyed.select("key", "same", "n").join(components(edges).withColumnRenamed("node", "same"), "same", "left").select("key", "same", "n", F.coalesce("root", "same").alias("root"))
-    rooted = written(rooted, "rooted")
-    apart = rooted.select("key", "root").distinct()
-    apart = apart.select("key", F.col("root").alias("a")).join(apart.select("key", F.col("root").alias("b")), "key").where("a < b")
-    one, two = (rooted.select("key", F.col("root").alias(r), F.col("same").alias(x), F.col("n").alias(f"n{x}")) for r, x in (("a", "u"), ("b", "v")))
-    pairs = apart.join(one, ["key", "a"]).join(two, ["key", "b"]).where(_sizes_agree(least))
-    edges = edges.union(_verified(_enough(pairs, least), sets, words, least))
+    # Then all pairs of different components that may meet at the first shingle they share.
+    rooted = keyed.select(*NAMES).join(components(edges).withColumnRenamed("node", "same"), "same", "left").select(*NAMES, F.coalesce("root", "same").alias("root"))
+    rooted = written(rooted.withColumn("left", _left_over(least)), "rooted")
+    sides = rooted.groupBy("key", "root").agg(F.max("left").alias("left"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    one, two = (sides.select("key", *[F.col(c).alias(f"{c}_{r}") for c in ("root", "left", "lo", "hi")]) for r in "ab")
+    may = (_reaches(least, "left_a", "lo_b") & _reaches(least, "left_b", "lo_a")) & (F.least("hi_a", "hi_b") >= F.lit(least) * F.greatest("lo_a", "lo_b") - 1e-6)
+    apart = written(one.join(two, "key").where("root_a < root_b").where(may).select("key", "root_a", "root_b"), "apart")
+    one, two = (rooted.select("key", F.col("root").alias(f"root_{r}"), F.col("same").alias(x), F.col("n").alias(f"n{x}"), F.col("left").alias(f"left_{x}")) for r, x in (("a", "u"), ("b", "v")))
+    met = apart.join(one, ["key", "root_a"]).join(two, ["key", "root_b"]).where(_sizes_agree(least)).where(_reaches(least, "left_u", "nv") & _reaches(least, "left_v", "nu"))
+    pairs = met.select("u", "v").distinct()
+    edges = edges.union(_verified(pairs, sets, words, least))
     classes = found.groupBy("same").agg(F.min("doc_id").alias("lowest")).join(components(edges).withColumnRenamed("node", "same"), "same", "left").select("same", "lowest", F.coalesce("root", "same").alias("root"))
     names = classes.groupBy("root").agg(F.min("lowest").alias("component_id"))
     told = written(found.select("doc_id", "fp", "same").join(classes.join(names, "root").select("same", "component_id"), "same").select("doc_id", "fp", "component_id"), "told")
-    discard(found, keyed, rooted)
+    discard(found, keyed, rooted, apart)
     return told

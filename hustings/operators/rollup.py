@@ -51,7 +51,7 @@ def weighted_turnout(seats: DataFrame) -> DataFrame:
     return states.groupBy("arena", "y").agg((F.sum(F.col("t") * F.col("w")) / F.sum("w")).alias("t"))
 
 
-def retention(changed: DataFrame, top: int = 4) -> DataFrame:
+def retention(changed: DataFrame, top: int = 9) -> DataFrame:
     """Seats from party to party over comparable pairs; all but the largest previous holders are Other."""
     pairs = changed.where(F.col("status").isin("held", "flipped"))
     held = pairs.groupBy("arena", "prev_p").agg(F.count(F.lit(1)).alias("had"))
@@ -68,7 +68,7 @@ def net_change(changed: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, F.col("x.party").alias("p")).agg(F.sum("x.now").alias("now"), F.sum("x.before").alias("before"), F.sum(F.col("x.now") - F.col("x.before")).alias("net"))
 
 
-def extremes(net: DataFrame, number: int = 2) -> DataFrame:
+def extremes(net: DataFrame, number: int = 7) -> DataFrame:
     """The parties with the largest and the smallest net change of each arena."""
     up, down = (Window.partitionBy("arena").orderBy(order, "p") for order in (F.desc("net"), F.asc("net")))
     return net.select("*", F.row_number().over(up).alias("up"), F.row_number().over(down).alias("down")).where((F.col("up") <= number) | (F.col("down") <= number)).drop("up", "down")

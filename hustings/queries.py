@@ -106,11 +106,11 @@ register("national_summary", lambda c: c.national, "SELECT arena, y, p, f, wo, v
 register("alliance_summary", lambda c: rollup.alliance_summary(c.national.withColumn("a", canon.alliance_of(F.col("p")))), "SELECT arena, y, CASE WHEN p IN ('STANDARD', 'ECONOMY') THEN 'A Alliance' WHEN p IN ('MEDIUM', 'PROMO') THEN 'B Alliance' ELSE 'Unaligned' END AS a, CAST(sum(f) AS BIGINT) AS f, CAST(sum(wo) AS BIGINT) AS wo, round(sum(v), 6) AS v FROM nat GROUP BY ALL")
 register("turnout_series", lambda c: rollup.turnout_series(c.seats), "SELECT arena, y, round(avg(t), 6) AS t, round(avg(t) - lag(avg(t)) OVER (PARTITION BY arena ORDER BY y), 6) AS delta FROM seats GROUP BY arena, y")
 register("weighted_turnout", lambda c: rollup.weighted_turnout(c.seats), "SELECT arena, y, round(sum(t * w) / sum(w), 6) AS t FROM (SELECT arena, y, s, avg(t) AS t, count(*) AS w FROM seats GROUP BY ALL) GROUP BY ALL")
-register("retention_matrix", lambda c: rollup.retention(c.changed), ", kept AS (SELECT arena, prev_p FROM comp GROUP BY arena, prev_p QUALIFY row_number() OVER (PARTITION BY arena ORDER BY count(*) DESC, prev_p) <= 4) SELECT c.arena, coalesce(k.prev_p, 'Other') AS was, c.p AS now, count(*) AS seats FROM comp c LEFT JOIN kept k ON c.arena = k.arena AND c.prev_p = k.prev_p GROUP BY ALL")
+register("retention_matrix", lambda c: rollup.retention(c.changed), ", kept AS (SELECT arena, prev_p FROM comp GROUP BY arena, prev_p QUALIFY row_number() OVER (PARTITION BY arena ORDER BY count(*) DESC, prev_p) <= 9) SELECT c.arena, coalesce(k.prev_p, 'Other') AS was, c.p AS now, count(*) AS seats FROM comp c LEFT JOIN kept k ON c.arena = k.arena AND c.prev_p = k.prev_p GROUP BY ALL")
 NET = ", net AS (SELECT arena{0}, p, CAST(sum(now) AS BIGINT) AS now, CAST(sum(before) AS BIGINT) AS before, CAST(sum(now - before) AS BIGINT) AS net FROM (SELECT arena, s, p, 1 AS now, 0 AS before FROM comp UNION ALL SELECT arena, s, prev_p, 0, 1 FROM comp) GROUP BY ALL)"
 register("net_change", lambda c: rollup.net_change(c.changed, "arena"), NET.format("") + " SELECT * FROM net")
 register("net_change_by_state", lambda c: rollup.net_change(c.changed, "arena", "s"), NET.format(", s") + " SELECT * FROM net")
-register("net_extremes", lambda c: rollup.extremes(rollup.net_change(c.changed, "arena")), NET.format("") + " SELECT * FROM net QUALIFY row_number() OVER (PARTITION BY arena ORDER BY net DESC, p) <= 2 OR row_number() OVER (PARTITION BY arena ORDER BY net, p) <= 2")
+register("net_extremes", lambda c: rollup.extremes(rollup.net_change(c.changed, "arena")), NET.format("") + " SELECT * FROM net QUALIFY row_number() OVER (PARTITION BY arena ORDER BY net DESC, p) <= 7 OR row_number() OVER (PARTITION BY arena ORDER BY net, p) <= 7")
 register("flow_drill", lambda c: rollup.flows(c.changed), "SELECT arena, s, prev_p AS was, p AS now, count(*) AS seats FROM chg WHERE status = 'flipped' GROUP BY ALL")
 register("status_counts", lambda c: rollup.tally(c.changed, "arena", "status"), "SELECT arena, status, count(*) AS seats FROM chg GROUP BY ALL")
 RIVALS = "SELECT arena, least(p, q) AS p1, greatest(p, q) AS p2, count(*) AS met, count(*) FILTER (p <= q) AS wins1, count(*) FILTER (p > q) AS wins2 FROM act WHERE q IS NOT NULL{} GROUP BY ALL"

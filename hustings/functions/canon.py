@@ -112,3 +112,25 @@ def percent(a: Column, b: Column) -> Column:
 
 def r6(x: Column) -> Column:
     return F.round(x.cast("double"), 6)
+
+
+#: Words of a town's name that tell its kind of council only.
+COUNCIL_WORDS = ("municipal", "corporation", "council", "committee", "nagar panchayat", "nagar palika", "parishad", "nagar nigam", "mahanagar", "palike", "palika", "town", "area", "notified", "cantonment", "board", "m corp", "cb", "nac", "np", "mc", "m cl")
+
+
+def town_name(name: Column) -> Column:
+    """Letters of a town's name in lower case, without brackets and the words for its council; null stays null."""
+    bare = F.regexp_replace(F.lower(name), r"\(.*?\)", " ")
+    return F.regexp_replace(F.regexp_replace(bare, rf"\b({'|'.join(COUNCIL_WORDS)})\b", " "), "[^a-z]", "")
+
+
+def title_case(name: Column) -> Column:
+    """Words begin with a capital, also after ( - . / and an apostrophe; null is empty."""
+    marked = F.regexp_replace(F.coalesce(name, F.lit("")), r"([\s(\-./'])", "$1\u0001 ")
+    return F.trim(F.regexp_replace(F.initcap(marked), "\u0001 ", ""))
+
+
+def unit_level(district: Column, subdistrict: Column, town: Column) -> Column:
+    """Level of a census row by which of its codes are all zeros; a town above sub-districts spans several."""
+    d, s, t = (c.rlike("^0+$") for c in (district, subdistrict, town))
+    return F.when(s & ~t, "TOWN_WHOLE").when(d & s, "STATE").when(s, "DISTRICT").when(~d & t, "SUBDISTRICT").when(~d, "TOWN")

@@ -41,3 +41,9 @@ def coverage(rows: DataFrame, places: Column, weight: str, *keys: str) -> DataFr
     kind = F.when(places == 0, "none").when(places == 1, "one").otherwise("several")
     sums = rows.groupBy(*keys, kind.alias("bucket")).agg(F.sum(weight).alias("weight"))
     return sums.withColumn("pct", F.col("weight").cast("double") * 100 / F.sum("weight").over(Window.partitionBy(*keys)))
+
+
+def identity_failures(rows: DataFrame, keys: list[str], total: str, parts: list[str]) -> DataFrame:
+    """By keys, rows with all numbers there, and those whose parts don't add up to the total."""
+    whole = rows.where(" and ".join(f"{c} is not null" for c in (total, *parts)))
+    return whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(total) != sum((F.col(p) for p in parts), F.lit(0))).alias("failed"))

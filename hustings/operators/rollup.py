@@ -181,3 +181,8 @@ def index(seats: DataFrame) -> DataFrame:
     won = seats.groupBy("arena", "s", "y", "p").agg(F.count(F.lit(1)).alias("lead_seats"))
     w = Window.partitionBy("arena", "s", "y")
     return won.select("*", F.sum("lead_seats").over(w).alias("seats"), F.row_number().over(w.orderBy(F.desc("lead_seats"), "p")).alias("rn")).where("rn = 1").drop("rn")
+
+
+def pooled_turnout(electors: DataFrame) -> DataFrame:
+    """Turnout of each state and year: all voters over all electors, of seats whose electors are known."""
+    return electors.where("e > 0").groupBy("arena", "s", "y").agg((F.sum("voters").cast("double") * 100 / F.sum("e")).alias("t"))

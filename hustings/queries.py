@@ -279,3 +279,10 @@ register("leader_retention", lambda c: board.leader_retention(c.changed), "SELEC
 register("apportioned_towns", lambda c: merge.apportioned(*wards_and_frame(c)), UNITS + """, wd AS (SELECT s, town, n, CAST(sum(pop) AS DOUBLE) AS weight, sum(pop) AS pop, town >= 12 AS split FROM u GROUP BY ALL), pure AS (SELECT s, n, CAST(sum(pop) AS DOUBLE) AS pure FROM wd WHERE NOT split GROUP BY ALL),
 fr AS (SELECT s, n, e, coalesce(pure, 0) AS pure FROM frame LEFT JOIN pure USING (s, n)), ra AS (SELECT s, quantile_cont(e / pure, 0.5) AS ratio FROM fr WHERE pure > 0 GROUP BY ALL), re AS (SELECT s, n, greatest(0, e - coalesce(ratio, 0.65) * pure) AS residual FROM fr LEFT JOIN ra USING (s)),
 x AS (SELECT s, town, n, weight, weight * residual AS x FROM wd JOIN re USING (s, n) WHERE split) SELECT s, town, n, round(CASE WHEN sum(x) OVER w > 0 THEN x / sum(x) OVER w ELSE weight / sum(weight) OVER w END, 6) AS share FROM x WINDOW w AS (PARTITION BY s, town)""")
+
+# Names of towns, levels of census rows, turnout by electors and sums of parts.
+register("town_names", lambda c: source.table(c.spark, c.sf_dir, "part").select("p_partkey", canon.town_name(F.concat("p_type", F.lit(" Nagar Palika "), "p_name", F.lit(" Town (M Cl)"))).alias("town")), "SELECT p_partkey, regexp_replace(lower(p_type || p_name), '[^a-z]', '', 'g') AS town FROM part")
+register("title_cases", lambda c: source.table(c.spark, c.sf_dir, "part").select("p_partkey", canon.title_case(F.when(F.col("p_size") % 2 == 0, F.regexp_replace(F.upper("p_name"), " ", "-")).otherwise(F.upper("p_name"))).alias("name")), "SELECT p_partkey, replace(array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' '), ' ', CASE WHEN p_size % 2 = 0 THEN '-' ELSE ' ' END) AS name FROM part")
+register("unit_levels", lambda c: source.table(c.spark, c.sf_dir, "part").select("p_partkey", canon.unit_level(*[F.lpad((F.col(k) % m).cast("string"), w, "0") for k, m, w in (("p_size", 2, 3), ("p_partkey", 3, 5), ("p_partkey", 5, 6))]).alias("level")).where("level is not null"), "SELECT p_partkey, level FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 5 <> 0 THEN 'TOWN_WHOLE' WHEN p_partkey % 3 = 0 AND p_size % 2 = 0 THEN 'STATE' WHEN p_partkey % 3 = 0 THEN 'DISTRICT' WHEN p_size % 2 = 1 AND p_partkey % 5 = 0 THEN 'SUBDISTRICT' WHEN p_size % 2 = 1 THEN 'TOWN' END AS level FROM part) WHERE level IS NOT NULL")
+register("pooled_turnout", lambda c: rollup.pooled_turnout(c.electors), "SELECT arena, s, y, round(CAST(sum(voters) AS DOUBLE) * 100 / sum(e), 6) AS t FROM el WHERE e > 0 GROUP BY ALL")
+register("parts_adding_up", lambda c: quality.identity_failures(c.electors, ["arena", "y"], "e", ["men", "women"]), "SELECT arena, y, count(*) AS rows, count(*) FILTER (n = 4) AS failed FROM el GROUP BY ALL")

@@ -28,9 +28,10 @@ from hustings.llm.pivots import HASH_SEED, MOST_BITS, links
 
 WORDS = 5
 LEAST = 0.8
-#: Documents, about, from which the common shingles are told; how many of them share one; how many are told at most.
-SAMPLE_DOCS = 20_000
-COMMON_IN = 3
+#: Share of all documents, and of few documents their number, about, from which the common shingles are told; how many of
+#: them share one; how many are told at most.
+SAMPLE_SHARE, SAMPLE_DOCS = 1 / 8, 20_000
+COMMON_IN = 2
 MOST_COMMON = 500_000
 #: Shingles of beginnings that a task holds at a time, and sets whose shingles go to one bucket, about.
 BLOCK_KEYS = 2_000_000
@@ -177,10 +178,17 @@ def compared(words: int, least: float) -> object:
 
 
 def common_shingles(texts: DataFrame, words: int) -> np.ndarray:
-    share = min(1.0, SAMPLE_DOCS / max(1, texts.count()))
+    """The shingles that most sampled texts share, sorted. The sample grows with the documents, or passages that few in a thousand share would escape it and their documents meet pair by pair."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(1, texts.count())))
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1e6 * share).select("text").distinct()
     counted = some.mapInArrow(sampled(words), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_IN)
-    found = counted.orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key").toArrow().column(0).to_numpy()
+    counted = written(counted.select("key", F.floor(F.log2("n") * 8).cast("int").alias("level")), "common")
+    # As many levels as stay within the bound; there are a few hundred at most.
+    levels = sorted(counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    told = itertools.accumulate(row.n for row in levels)
+    taken = [row.level for row, n in zip(levels, told, strict=True) if n <= MOST_COMMON]
+    found = counted.where(F.col("level").isin(taken)).select("key").toArrow().column(0).to_numpy() if taken else np.empty(0, "i8")
+    discard(counted)
     return np.sort(found.view("u8"))
 
 

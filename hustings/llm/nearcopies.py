@@ -57,6 +57,14 @@ def beginning(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1 if n else 0
 
 
+def among(every: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of `every` are in `known`, which is sorted."""
+    at = np.searchsorted(known, every)
+    found = at < len(known)
+    found[found] = known[at[found]] == every[found]
+    return found
+
+
 def sampled(words: int) -> object:
     """For mapInArrow: (text) to (key), each text's shingles."""
 
@@ -87,7 +95,7 @@ def beginnings(words: int, least: float, common: np.ndarray) -> object:
                 same.append(xxhash.xxh64_digest(every.tobytes(), HASH_SEED))
                 fps.append(fingerprint_of(every))
                 sizes.append(len(every))
-                late = np.isin(every, common, assume_unique=True)
+                late = among(every, common)
                 keys.append(np.concatenate([every[~late], every[late]])[: beginning(len(every), least)].view("i8"))
             starts = np.cumsum([0, *map(len, keys)]).astype("i4")
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([np.empty(0, "i8"), *keys])))

@@ -270,9 +270,12 @@ def near_copies(docs: DataFrame, most: int = MOST_BITS, words: int = WORDS, leas
     sides = rooted.groupBy("key", "root").agg(F.max("left").alias("left"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     one, two = (sides.select("key", *[F.col(c).alias(f"{c}_{r}") for c in ("root", "left", "lo", "hi")]) for r in "ab")
     may = (_reaches(least, "left_a", "lo_b") & _reaches(least, "left_b", "lo_a")) & (F.least("hi_a", "hi_b") >= F.lit(least) * F.greatest("lo_a", "lo_b") - 1e-6)
-    apart = written(one.join(two, "key").where("root_a < root_b").where(may).select("key", "root_a", "root_b"), "apart")
+    apart = written(one.join(two, "key").where("root_a < root_b").where(may).select("key", "root_a", "root_b", "left_b", "lo_b", "hi_b"), "apart")
     one, two = (rooted.select("key", F.col("root").alias(f"root_{r}"), F.col("same").alias(x), F.col("n").alias(f"n{x}"), F.col("left").alias(f"left_{x}")) for r, x in (("a", "u"), ("b", "v")))
-    met = apart.join(one, ["key", "root_a"]).join(two, ["key", "root_b"]).where(_sizes_agree(least)).where(_reaches(least, "left_u", "nv") & _reaches(least, "left_v", "nu"))
+    # Of a component, only sets that may be similar to any of the other one.
+    some = (F.col("nu") >= F.lit(least) * F.col("lo_b") - 1e-6) & (F.col("hi_b") >= F.lit(least) * F.col("nu") - 1e-6)
+    some &= _reaches(least, "left_u", "lo_b") & _reaches(least, "left_b", "nu")
+    met = apart.join(one, ["key", "root_a"]).where(some).join(two, ["key", "root_b"]).where(_sizes_agree(least)).where(_reaches(least, "left_u", "nv") & _reaches(least, "left_v", "nu"))
     pairs = met.select("u", "v").distinct()
     edges = edges.union(_verified(pairs, sets, words, least))
     classes = found.groupBy("same").agg(F.min("doc_id").alias("lowest")).join(components(edges).withColumnRenamed("node", "same"), "same", "left").select("same", "lowest", F.coalesce("root", "same").alias("root"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hustings.llm import encoding, imatch, language, licences, neighbours, packing, sharding, simhash, suffixes, toxicity
+from hustings.llm import encoding, fillmiddle, imatch, language, licences, neighbours, packing, sharding, simhash, spelling, suffixes, toxicity
 from hustings.llm.common import table
 
 
@@ -57,9 +57,17 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fillmiddle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_language_backoff, op3_imatch, op4_suffix_array_dedup, op5_adaptive_dimension_scan, op6_toxicity_noisy_channel, op7_best_fit_packing, op8_balanced_label_propagation, op9_simhash_pivots, op10_licence_scan)}
+    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_language_backoff, op3_imatch, op4_suffix_array_dedup, op5_adaptive_dimension_scan, op6_toxicity_noisy_channel, op7_best_fit_packing, op8_balanced_label_propagation, op9_simhash_pivots, op10_licence_scan, op12_fill_middle, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_licence_scan": licences.scan_sql()}
+    return {"op10_licence_scan": licences.scan_sql(), "op12_fill_middle": fillmiddle.digests_sql(), "op13_spelling_variants": spelling.spelling_variants_sql()}

@@ -165,7 +165,7 @@ def spelling_variants_sql() -> str:
     return f"""WITH RECURSIVE crc AS (SELECT {table} AS t),
 runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
 counted AS (SELECT doc_id, run, count(*) AS times, encode(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run)) AS raw FROM runs WHERE length(run) >= {LEAST_LENGTH} GROUP BY doc_id, run),
-hashed AS (SELECT run, times, xor(4294967295, list_reduce(list_transform(range(octet_length(raw)), lambda i: CAST(concat('0x', substr(hex(raw), 2 * i + 1, 2)) AS BIGINT)), lambda acc, b: xor(acc >> 8, t[CAST(xor(acc, b) & 255 AS INTEGER) + 1]), 4294967295)) AS h FROM counted),
+hashed AS (SELECT run, times, xor(4294967295, list_reduce(list_transform(range(octet_length(raw)), lambda i: CAST(concat('0x', substr(hex(raw), 2 * i + 1, 2)) AS BIGINT)), lambda acc, b: xor(acc >> 8, t[CAST(xor(acc, b) & 255 AS INTEGER) + 1]), 4294967295)) AS h FROM counted, crc),
 said AS (SELECT CASE WHEN h % {MISSPELT_ONE_IN} = 0 THEN concat(substr(run, 1, CAST(h % length(run) AS INTEGER)), substr(run, CAST(h % length(run) AS INTEGER) + 2)) ELSE run END AS word, times FROM hashed),
 words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM said WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(times) >= {LEAST_COUNT}),
 cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),

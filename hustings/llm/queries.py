@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hustings.llm import encoding, fillmiddle, imatch, language, licences, neighbours, packing, sharding, simhash, spelling, suffixes, toxicity
+from hustings.llm import encoding, fillmiddle, imatch, language, licences, maintext, neighbours, packing, sharding, simhash, spelling, suffixes, toxicity
 from hustings.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fillmiddle.digests(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_language_backoff, op3_imatch, op4_suffix_array_dedup, op5_adaptive_dimension_scan, op6_toxicity_noisy_channel, op7_best_fit_packing, op8_balanced_label_propagation, op9_simhash_pivots, op10_licence_scan, op12_fill_middle, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_language_backoff, op3_imatch, op4_suffix_array_dedup, op5_adaptive_dimension_scan, op6_toxicity_noisy_channel, op7_best_fit_packing, op8_balanced_label_propagation, op9_simhash_pivots, op10_licence_scan, op11_host_paths, op12_fill_middle, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:

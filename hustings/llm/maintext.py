@@ -21,8 +21,9 @@ from hustings.llm import markup
 from hustings.llm.common import discard, small_batches, written
 
 HOST = re.compile(r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@\s]+)")
-#: A host's rows are dealt over so many parts when they meet a winner, as one host may have a third of all pages.
-SALTS = 64
+#: A host's rows are dealt over so many parts when they meet a winner, as one host may have a third of all pages. Winners
+#: are repeated so often, so what is broadcast is so many times Spark's threshold at most.
+SALTS = 16
 
 VOTE = "host string, layout long, paths array<long>, best long, path string, depth int"
 READ = "page_id long, url string, host string, layout long, salt int, best long, path string, blocks array<string>, containers array<struct<path: long, start: int, end: int>>"

@@ -10,9 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hustings import place_queries
 from hustings.functions import canon
 from hustings.operators import board, calibrate, linkage, merge, place, project, quality, resolve, rollup, signals
 from hustings.plans.contests import BEFORE, YEAR, Contests
+from hustings.registry import rounded
 from hustings.sources import contests as source
 from hustings.sources import files
 
@@ -47,10 +49,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[canon.r6(F.col(c)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
-
-
 def register(name: str, build: Callable[[Contests], DataFrame], sql: str | None) -> None:
     QUERIES[name] = lambda spark, sf_dir: rounded(build(Contests(spark, sf_dir)))
     if sql:
@@ -286,3 +284,7 @@ register("title_cases", lambda c: source.table(c.spark, c.sf_dir, "part").select
 register("unit_levels", lambda c: source.table(c.spark, c.sf_dir, "part").select("p_partkey", canon.unit_level(*[F.lpad((F.col(k) % m).cast("string"), w, "0") for k, m, w in (("p_size", 2, 3), ("p_partkey", 3, 5), ("p_partkey", 5, 6))]).alias("level")).where("level is not null"), "SELECT p_partkey, level FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 5 <> 0 THEN 'TOWN_WHOLE' WHEN p_partkey % 3 = 0 AND p_size % 2 = 0 THEN 'STATE' WHEN p_partkey % 3 = 0 THEN 'DISTRICT' WHEN p_size % 2 = 1 AND p_partkey % 5 = 0 THEN 'SUBDISTRICT' WHEN p_size % 2 = 1 THEN 'TOWN' END AS level FROM part) WHERE level IS NOT NULL")
 register("pooled_turnout", lambda c: rollup.pooled_turnout(c.electors), "SELECT arena, s, y, round(CAST(sum(voters) AS DOUBLE) * 100 / sum(e), 6) AS t FROM el WHERE e > 0 GROUP BY ALL")
 register("parts_adding_up", lambda c: quality.identity_failures(c.electors, ["arena", "y"], "e", ["men", "women"]), "SELECT arena, y, count(*) AS rows, count(*) FILTER (n = 4) AS failed FROM el GROUP BY ALL")
+
+for more in (place_queries,):
+    QUERIES |= more.REGISTRY.queries
+    ORACLE |= more.REGISTRY.oracle

@@ -65,16 +65,19 @@ def weighted_rates(units: DataFrame, keys: list[str], weight: str, rates: list[s
 def apportioned(wards: DataFrame, electors: DataFrame, default: float = 0.65) -> DataFrame:
     """Shares of split towns' people by seat, from electors.
 
-    A state's ratio of electors to people is the median over its pure seats. What a seat's electors leave beyond its
-    pure people at that ratio is its residual; wards divide a town by residual, and each town's shares add up to one.
+    A state's ratio of electors to people is the median over its seats that have no part in a split town. What a seat's
+    electors leave beyond its people outside such towns at that ratio is its residual, which its split towns divide by its
+    weights in them; a town's seats share by what they get of it, or by their weights where that is nothing.
     """
-    pure = wards.where("not split").groupBy("s", "n").agg(F.sum("pop").alias("pure"))
-    frame = electors.join(pure, ["s", "n"], "left").withColumn("pure", F.coalesce("pure", F.lit(0.0)))
-    ratio = frame.where("pure > 0").groupBy("s").agg(F.percentile(F.col("e") / F.col("pure"), 0.5).alias("ratio"))
-    left = frame.join(ratio, "s", "left").select("s", "n", F.greatest(F.lit(0.0), F.col("e") - F.coalesce("ratio", F.lit(default)) * F.col("pure")).alias("residual"))
-    split = wards.where("split").select("s", "town", "n", "weight").join(left, ["s", "n"]).withColumn("x", F.col("weight") * F.col("residual"))
+    outside = wards.groupBy("s", "n").agg(F.sum(F.when(~F.col("split"), F.col("pop"))).alias("pure"), F.max("split").alias("touched"))
+    frame = electors.join(outside, ["s", "n"], "left").withColumn("pure", F.coalesce("pure", F.lit(0.0)))
+    ratio = frame.where("pure > 0 and e > 0 and not touched").groupBy("s").agg(F.percentile(F.col("e") / F.col("pure"), 0.5).alias("ratio"))
+    left = frame.join(ratio, "s", "left").select("s", "n", F.greatest(F.lit(0.0), F.coalesce("e", F.lit(0)) - F.coalesce("ratio", F.lit(default)) * F.col("pure")).alias("residual"))
+    split = wards.where("split").select("s", "town", "n", "weight").join(left, ["s", "n"], "left")
+    part = F.coalesce("residual", F.lit(0.0)) * F.try_divide(F.col("weight"), F.sum("weight").over(Window.partitionBy("s", "n")))
     w = Window.partitionBy("s", "town")
-    return split.select("s", "town", "n", F.when(F.sum("x").over(w) > 0, F.col("x") / F.sum("x").over(w)).otherwise(F.col("weight") / F.sum("weight").over(w)).alias("share"))
+    parts = split.withColumn("x", part)
+    return parts.select("s", "town", "n", F.when(F.sum("x").over(w) > 0, F.col("x") / F.sum("x").over(w)).otherwise(F.col("weight") / F.sum("weight").over(w)).alias("share"))
 
 
 def plausible(profiles: DataFrame, low: float = 0.6, high: float = 1.6) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hustings import place_queries
@@ -64,19 +64,31 @@ PLACE = ["arena", "s", "j"]
 
 
 def seat_names(c: Contests) -> DataFrame:
-    return c.seats.select(*PLACE, F.concat(F.lit("Seat "), "j").alias("name")).distinct()
+    return c.seats.select("arena", "s", "y", "j", F.concat(F.lit("Seat "), "j", F.lit(" and Co")).alias("name"))
 
 
 def elector_book(c: Contests) -> DataFrame:
-    """Electors of every seat in a book of which some numbers and some names differ from the seats'."""
-    most = c.electors.groupBy(*PLACE).agg(F.max("e").alias("e"))
-    name = F.when(F.col("j") % 4 == 2, "Seat other").otherwise(F.concat(F.lit("Seat "), "j"))
-    return most.select("arena", "s", F.when(F.col("j") % 4 == 1, F.col("j") + 50).otherwise(F.col("j")).cast("int").alias("j"), name.alias("name"), "e")
+    """Electors of every seat in a book of which some numbers and names differ from the seats', some names are missing, and some are parts of others."""
+    j = F.col("j")
+    name = F.when(j % 6 == 5, None).when(j % 6 == 2, "Other seat").when(j % 6 == 3, F.concat(F.lit("SEAT "), j, F.lit("-and (SC)"))).otherwise(F.concat(F.lit("seat "), j, F.lit(" and co")))
+    number = F.when(j % 6 == 1, j + 50).when((j % 6 == 4) & (F.col("y") % 2 == 0), j - 2).otherwise(j).cast("int")
+    return c.electors.select("arena", "s", "y", number.alias("j"), name.alias("name"), "e")
+
+
+def backfilled_candidates(c: Contests) -> DataFrame:
+    """All candidates, of whom some have no share, and of these some no total, so that the winner's share must tell it."""
+    w = Window.partitionBy(*SEAT)
+    rows = c.cand.where("votes > 0").withColumns({"total": F.sum("votes").over(w), "top": F.max("votes").over(w)})
+    share = F.when(F.col("n") % 3 != 0, F.col("votes").cast("double") * 100 / F.col("total")).otherwise(0.0)
+    winner = F.col("top").cast("double") * 100 / (F.col("total") + 2 * F.col("n"))
+    return rows.select(*SEAT, "p", board.backfilled(share, F.col("votes"), F.when(F.col("n") != 6, F.col("total") + F.col("n")), F.col("top"), winner).alias("share"))
 
 
 def wards_and_frame(c: Contests) -> tuple[DataFrame, DataFrame]:
     """Towns' people by seat, of which those from number 12 on are split between seats, and the seats' electors."""
-    wards = c.units.groupBy("s", "town", "n").agg(F.sum("pop").cast("double").alias("weight"), F.sum("pop").cast("double").alias("pop"))
+    t = F.expr("(code div 6) % 24")
+    units = c.units.withColumn("town", F.when(F.col("n") >= 5, t % 12).otherwise(t).cast("int"))
+    wards = units.groupBy("s", "town", "n").agg(F.sum("pop").cast("double").alias("weight"), F.sum("pop").cast("double").alias("pop"))
     return wards.withColumn("split", F.col("town") >= 12), c.frame
 
 # Contests, candidates and history.
@@ -260,23 +272,28 @@ register("electors_agreement", lambda c: c.electors.join(c.seats.select(*SEAT, "
 register("turnout_precedence", lambda c: c.seats.groupBy("arena", "s", "y").agg(F.avg("t").alias("mean")).join(c.electors.where("n <= 3 and e > 0").groupBy("arena", "s", "y").agg(F.sum("voters").alias("v"), F.sum("e").alias("e")), ["arena", "s", "y"], "left").select("arena", "s", "y", F.coalesce(canon.percent(F.col("v"), F.col("e")), F.col("mean")).alias("turnout")), "SELECT arena, s, y, round(coalesce(CAST(v AS DOUBLE) * 100 / e, mean), 6) AS turnout FROM (SELECT arena, s, y, avg(t) AS mean FROM seats GROUP BY ALL) LEFT JOIN (SELECT arena, s, y, sum(voters) AS v, sum(e) AS e FROM el WHERE n <= 3 AND e > 0 GROUP BY ALL) USING (arena, s, y)")
 
 # Signals of a whole house, and lookups with ordered fallbacks.
-register("split_field", lambda c: board.split_field(c.active), "SELECT arena, p, decided, under, count(*) AS wins, 50 + CAST(round(CAST(under AS DOUBLE) * 100 / decided) AS BIGINT) AS score FROM (SELECT *, count(*) OVER (PARTITION BY arena) AS under FROM (SELECT *, count(*) OVER (PARTITION BY arena) AS decided FROM act WHERE v IS NOT NULL) WHERE v < 40 AND decided >= 30) WHERE under >= greatest(4, 0.08 * decided) GROUP BY ALL")
-register("softening_strongholds", lambda c: board.softening(resolve.eroding(c.seats)), "SELECT arena, p, seats, round(mean_lost, 6) AS mean_lost, 50 + 2 * lead AS score FROM (SELECT *, CAST(sum(seats) OVER w AS BIGINT) AS whole, max(seats) OVER w AS lead FROM (SELECT arena, p, count(*) AS seats, avg(m1 - m) AS mean_lost FROM (SELECT *, lag(p, 1) OVER w AS p1, lag(p, 2) OVER w AS p2, lag(m, 1) OVER w AS m1, lead(y) OVER w AS later FROM seats WINDOW w AS (PARTITION BY arena, s, j ORDER BY y)) WHERE later IS NULL AND p = p1 AND p = p2 AND m1 - m > 5 GROUP BY ALL) WINDOW w AS (PARTITION BY arena)) WHERE whole >= 3 AND lead >= 3")
+register("split_field", lambda c: board.split_field(c.active), "SELECT arena, p, decided, under, count(*) AS wins, 60 + CAST(round(CAST(under AS DOUBLE) * 100 / decided) AS BIGINT) AS score, row_number() OVER (PARTITION BY arena ORDER BY count(*) DESC, p) AS line, count(*) OVER (PARTITION BY arena) AS parties FROM (SELECT *, count(*) OVER (PARTITION BY arena) AS under FROM (SELECT *, count(*) OVER (PARTITION BY arena) AS decided FROM act WHERE v IS NOT NULL) WHERE v < 40 AND decided >= 30) WHERE under >= greatest(4, 0.08 * decided) GROUP BY arena, p, decided, under QUALIFY line <= 8")
+register("softening_strongholds", lambda c: board.softening(resolve.eroding(c.seats.withColumn("p", canon.alliance_base(F.col("a"))))), "SELECT arena, p, seats, round(mean_lost, 6) AS mean_lost, 60 + 2 * lead AS score, row_number() OVER (PARTITION BY arena ORDER BY seats DESC, p) AS line, count(*) OVER (PARTITION BY arena) AS parties FROM (SELECT *, CAST(sum(seats) OVER w AS BIGINT) AS whole, max(seats) OVER w AS lead FROM (SELECT arena, p, count(*) AS seats, avg(m1 - m) AS mean_lost FROM (SELECT *, lag(p, 1) OVER w AS p1, lag(p, 2) OVER w AS p2, lag(m, 1) OVER w AS m1, lead(y) OVER w AS later FROM (SELECT * REPLACE (CASE WHEN p IN ('STANDARD', 'ECONOMY') THEN 'A Alliance' WHEN p IN ('MEDIUM', 'PROMO') THEN 'B Alliance' ELSE 'Unaligned' END AS p) FROM seats) WINDOW w AS (PARTITION BY arena, s, j ORDER BY y)) WHERE later IS NULL AND p = p1 AND p = p2 AND m1 - m > 5 GROUP BY ALL) WINDOW w AS (PARTITION BY arena)) WHERE whole >= 3 AND lead >= 3 QUALIFY line <= 8")
 register("margin_of_control", lambda c: board.margin_of_control(c.active, ["arena"]), """, tally AS (SELECT arena, p, count(*) AS won FROM act GROUP BY ALL), led AS (SELECT arena, p, won, CAST(sum(won) OVER (PARTITION BY arena) AS BIGINT) AS n FROM tally QUALIFY row_number() OVER (PARTITION BY arena ORDER BY won DESC, p) = 1),
 line AS (SELECT *, CAST(n // 2 AS BIGINT) + 1 AS majority, won - (CAST(n // 2 AS BIGINT) + 1) AS cushion FROM led WHERE n >= 30), thin AS (SELECT l.arena, a.m, l.cushion, row_number() OVER (PARTITION BY l.arena ORDER BY a.m, a.n) - 1 AS place, count(*) OVER (PARTITION BY l.arena) AS o FROM act a JOIN line l ON a.arena = l.arena AND a.p = l.p WHERE a.m IS NOT NULL)
 SELECT line.arena, line.p AS leader, n, won, majority, line.cushion, round(t.m, 6) AS pivot, CASE WHEN line.cushion >= 0 AND line.cushion <= greatest(3, 0.03 * n) THEN 'critical' ELSE 'note' END AS severity FROM line LEFT JOIN (SELECT * FROM thin WHERE cushion >= 0 AND place = least(cushion, o - 1)) t ON t.arena = line.arena""")
 register("resolved_years", lambda c: board.resolved_years(c.seats.where("y != 1997"), ["arena", "s"], c.seats.select("arena", "s", F.explode(F.array(F.lit(1990), F.lit(1997), F.lit(2000))).alias("y")).distinct()), "SELECT arena, s, w.y, coalesce(max(h.y) FILTER (h.y <= w.y), min(h.y)) AS resolved FROM (SELECT DISTINCT arena, s, unnest([1990, 1997, 2000]) AS y FROM seats) w JOIN (SELECT DISTINCT arena, s, y FROM seats WHERE y <> 1997) h USING (arena, s) GROUP BY arena, s, w.y")
-register("code_weights", lambda c: board.code_weights(c.units.select("code", F.concat_ws(";", F.concat_ws(":", "n", "pop"), F.concat_ws(":", F.col("town") + 100, "hh"), F.lit("x:1")).alias("pins")).withColumnRenamed("code", "unit"), "unit", "pins"), UNITS + "SELECT unit, code, round(CAST(w AS DOUBLE) / sum(w) OVER (PARTITION BY unit), 6) AS weight FROM (SELECT code AS unit, CAST(n AS BIGINT) AS code, pop AS w FROM u UNION ALL SELECT code, CAST(town + 100 AS BIGINT), hh FROM u)")
-BOOK = ", book AS (SELECT arena, s, CAST(CASE WHEN j % 4 = 1 THEN j + 50 ELSE j END AS INTEGER) AS j, CASE WHEN j % 4 = 2 THEN 'Seat other' ELSE 'Seat ' || j END AS name, max(e) AS e FROM el GROUP BY arena, s, j), st AS (SELECT DISTINCT arena, s, j, 'Seat ' || j AS name FROM seats)"
-register("electors_looked_up", lambda c: board.looked_up(seat_names(c), elector_book(c), ["arena", "s"], "j", "name", "e"), BOOK + ", b AS (SELECT arena, s, j, name, max(e) AS vb FROM book GROUP BY ALL), a AS (SELECT arena, s, name, max(e) AS va FROM book GROUP BY ALL HAVING count(*) = 1), k AS (SELECT arena, s, j, max(e) AS vk FROM book GROUP BY ALL) SELECT arena, s, j, name, coalesce(vb, va, vk) AS e, CASE WHEN vb IS NOT NULL THEN 'both' WHEN va IS NOT NULL THEN 'name' WHEN vk IS NOT NULL THEN 'number' END AS \"by\" FROM st LEFT JOIN b USING (arena, s, j, name) LEFT JOIN a USING (arena, s, name) LEFT JOIN k USING (arena, s, j)")
-register("electors_by_name_then_number", lambda c: board.two_step(seat_names(c), elector_book(c).where("name != 'Seat other'"), elector_book(c), ["arena", "s"], "j", "name", "e"), BOOK + " SELECT arena, s, st.j, st.name, CASE WHEN x.name IS NOT NULL THEN x.e ELSE z.e END AS e FROM st LEFT JOIN (SELECT * FROM book WHERE name <> 'Seat other') x USING (arena, s, name) LEFT JOIN book z ON z.arena = st.arena AND z.s = st.s AND z.j = st.j")
+register("code_weights", lambda c: board.code_weights(c.units.select(F.col("code").alias("unit"), F.when(F.col("code") % 3 == 0, F.concat(F.lit(" "), F.col("n").cast("string"), F.lit(" "))).otherwise(F.concat_ws(";", F.concat_ws(":", "n", "pop"), F.concat_ws(":", F.col("town") + 100, "hh"), F.lit("x:1"), F.lit("7:y"), F.lit(""))).alias("pins")), "unit", "pins"), UNITS + "SELECT unit, code, round(CAST(w AS DOUBLE) / sum(w) OVER (PARTITION BY unit), 6) AS weight FROM (SELECT code AS unit, CAST(n AS BIGINT) AS code, CASE WHEN k3 = 0 THEN 1 ELSE pop END AS w FROM (SELECT *, code % 3 AS k3 FROM u) UNION ALL SELECT code, CAST(town + 100 AS BIGINT), hh FROM u WHERE code % 3 <> 0)")
+BOOK = ", book AS (SELECT arena, s, y, CAST(CASE WHEN j % 6 = 1 THEN j + 50 WHEN j % 6 = 4 AND y % 2 = 0 THEN j - 2 ELSE j END AS INTEGER) AS j, CASE WHEN j % 6 = 5 THEN NULL WHEN j % 6 = 2 THEN 'Other seat' WHEN j % 6 = 3 THEN 'SEAT ' || j || '-and (SC)' ELSE 'seat ' || j || ' and co' END AS name, e FROM el), st AS (SELECT arena, s, y, j, 'Seat ' || j || ' and Co' AS name FROM seats)"
+register("electors_looked_up", lambda c: board.looked_up(seat_names(c), elector_book(c), ["arena", "s", "y"], "j", "name", "e"), BOOK + """, entry AS (SELECT arena, s, y, j, e, coalesce(regexp_replace(regexp_replace(upper(name), '\\s*\\((SC|ST|GEN)\\)\\s*$', ''), '[^A-Z0-9]', '', 'g'), '') AS nm FROM book QUALIFY row_number() OVER (PARTITION BY arena, s, y, j ORDER BY e DESC) = 1),
+q AS (SELECT *, 'SEAT' || j || 'ANDCO' AS nm FROM st), named AS (SELECT q.arena, q.s, q.y, q.j, count(*) AS c, max(e.e) AS e FROM q JOIN entry e ON e.arena = q.arena AND e.s = q.s AND e.y = q.y AND e.nm <> '' AND (contains(e.nm, q.nm) OR contains(q.nm, e.nm)) GROUP BY ALL)
+SELECT q.arena, q.s, q.y, q.j, q.name, CASE WHEN e.e IS NOT NULL AND (e.nm = '' OR contains(e.nm, q.nm) OR contains(q.nm, e.nm)) THEN e.e WHEN n.c = 1 THEN n.e ELSE e.e END AS e, CASE WHEN e.e IS NOT NULL AND (e.nm = '' OR contains(e.nm, q.nm) OR contains(q.nm, e.nm)) THEN 'both' WHEN n.c = 1 THEN 'name' WHEN e.e IS NOT NULL THEN 'number' END AS "by"
+FROM q LEFT JOIN entry e USING (arena, s, y, j) LEFT JOIN named n ON n.arena = q.arena AND n.s = q.s AND n.y = q.y AND n.j = q.j""")
+register("electors_by_name_then_number", lambda c: board.two_step(seat_names(c), elector_book(c).where("name != 'Other seat'").withColumn("name", F.regexp_replace(F.initcap("name"), "And", "and")), elector_book(c), ["arena", "s", "y"], "j", "name", "e"), BOOK + " SELECT arena, s, y, st.j, st.name, CASE WHEN x.e IS NOT NULL THEN x.e ELSE z.e END AS e FROM st LEFT JOIN (SELECT arena, s, y, 'Seat ' || j || ' and Co' AS name, e FROM el WHERE j % 6 IN (0, 1, 4)) x USING (arena, s, y, name) LEFT JOIN (SELECT arena, s, y, j, max(e) AS e FROM book GROUP BY ALL) z USING (arena, s, y, j)")
 register("district_of_seat", lambda c: board.most_common(c.units, ["s", "n"], "district"), UNITS + "SELECT s, n, district, round(CAST(c AS DOUBLE) / sum(c) OVER (PARTITION BY s, n), 6) AS share FROM (SELECT s, n, district, count(*) AS c FROM u GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY s, n ORDER BY c DESC, district) = 1")
-register("backfilled_shares", lambda c: c.seats.select(*SEAT, board.backfilled(F.when(F.col("n") % 3 != 0, F.col("v")).otherwise(0.0), F.col("wv"), F.when(F.col("n") != 6, F.col("total")), F.col("wv"), F.col("v")).alias("share")), "SELECT arena, s, y, n, round(v, 6) AS share FROM seats")
+register("backfilled_shares", lambda c: backfilled_candidates(c), "SELECT arena, s, y, n, p, round(CASE WHEN n % 3 <> 0 THEN share WHEN n = 3 THEN CAST(votes AS DOUBLE) * 100 / (total + n) ELSE CAST(votes AS DOUBLE) * 100 / (total + 2 * n) END, 6) AS share FROM ranked WHERE votes > 0")
 register("complete_parent_profiles", lambda c: board.complete_sums(c.units.groupBy("s", "n").agg(F.sum("pop").alias("pop"), F.sum("hh").alias("hh")).join(c.parents.select("s", "pc"), "s"), c.parents.groupBy("pc").agg((F.count(F.lit(1)) * 6).alias("parts")), ["pc"], ["pop", "hh"]), UNITS + "SELECT pc, CAST(sum(pop) AS BIGINT) AS pop, CAST(sum(hh) AS BIGINT) AS hh FROM prof JOIN par USING (s) GROUP BY pc HAVING count(*) = (SELECT 6 * count(*) FROM par q WHERE q.pc = par.pc)")
-register("leader_retention", lambda c: board.leader_retention(c.changed), "SELECT arena, s, leader, had, round(CAST(held AS DOUBLE) * 100 / had, 6) AS retention FROM (SELECT arena, s, prev_p AS leader, count(*) AS had, count(*) FILTER (status = 'held') AS held FROM comp GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY arena, s ORDER BY had DESC, leader) = 1")
-register("apportioned_towns", lambda c: merge.apportioned(*wards_and_frame(c)), UNITS + """, wd AS (SELECT s, town, n, CAST(sum(pop) AS DOUBLE) AS weight, sum(pop) AS pop, town >= 12 AS split FROM u GROUP BY ALL), pure AS (SELECT s, n, CAST(sum(pop) AS DOUBLE) AS pure FROM wd WHERE NOT split GROUP BY ALL),
-fr AS (SELECT s, n, e, coalesce(pure, 0) AS pure FROM frame LEFT JOIN pure USING (s, n)), ra AS (SELECT s, quantile_cont(e / pure, 0.5) AS ratio FROM fr WHERE pure > 0 GROUP BY ALL), re AS (SELECT s, n, greatest(0, e - coalesce(ratio, 0.65) * pure) AS residual FROM fr LEFT JOIN ra USING (s)),
-x AS (SELECT s, town, n, weight, weight * residual AS x FROM wd JOIN re USING (s, n) WHERE split) SELECT s, town, n, round(CASE WHEN sum(x) OVER w > 0 THEN x / sum(x) OVER w ELSE weight / sum(weight) OVER w END, 6) AS share FROM x WINDOW w AS (PARTITION BY s, town)""")
+register("leader_retention", lambda c: board.leader_retention(c.changed), """, led AS (SELECT arena, s, p AS leader, count(*) AS won FROM chg GROUP BY arena, s, p QUALIFY row_number() OVER (PARTITION BY arena, s ORDER BY count(*) DESC, p) = 1), kept AS (SELECT arena, s, leader, won, count(*) FILTER (prev_p = leader) AS had, count(*) FILTER (prev_p = leader AND p = leader) AS kept, count(*) FILTER (p = leader AND prev_p <> leader) - count(*) FILTER (p <> leader AND prev_p = leader) AS net FROM comp JOIN led USING (arena, s) GROUP BY ALL)
+SELECT *, round(CAST(kept AS DOUBLE) * 100 / had, 6) AS retention FROM kept WHERE had > 0""")
+register("apportioned_towns", lambda c: merge.apportioned(*wards_and_frame(c)), UNITS + """, uu AS (SELECT s, n, pop, CAST(CASE WHEN n >= 5 THEN (code // 6) % 12 ELSE (code // 6) % 24 END AS INTEGER) AS town FROM u), wd AS (SELECT s, town, n, CAST(sum(pop) AS DOUBLE) AS pop, town >= 12 AS split FROM uu GROUP BY ALL),
+whole AS (SELECT s, n, coalesce(sum(pop) FILTER (NOT split), 0) AS pure, bool_or(split) AS touched FROM wd GROUP BY ALL), ratio AS (SELECT s, median(e / pure) AS ratio FROM frame JOIN whole USING (s, n) WHERE NOT touched AND pure > 0 AND e > 0 GROUP BY s),
+resid AS (SELECT s, n, greatest(0, coalesce(e, 0) - coalesce(ratio, 0.65) * pure) AS residual FROM whole LEFT JOIN frame USING (s, n) LEFT JOIN ratio USING (s)), x AS (SELECT s, town, n, wd.pop AS was, residual * wd.pop / sum(wd.pop) OVER (PARTITION BY s, n) AS x FROM wd JOIN resid USING (s, n) WHERE split)
+SELECT s, town, n, round(CASE WHEN sum(x) OVER w > 0 THEN x / sum(x) OVER w ELSE was / sum(was) OVER w END, 6) AS share FROM x WINDOW w AS (PARTITION BY s, town)""")
 
 # Names of towns, levels of census rows, turnout by electors and sums of parts.
 register("town_names", lambda c: source.table(c.spark, c.sf_dir, "part").select("p_partkey", canon.town_name(F.concat("p_type", F.lit(" Nagar Palika "), "p_name", F.lit(" Town (M Cl)"))).alias("town")), "SELECT p_partkey, regexp_replace(lower(p_type || p_name), '[^a-z]', '', 'g') AS town FROM part")

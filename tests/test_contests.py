@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hustings.functions import canon
-from hustings.operators import merge, project, resolve, rollup, signals
+from hustings.operators import board, merge, project, resolve, rollup, signals
 
 CAND = "arena string, s string, y int, n int, p string, votes long"
 SEATS = "arena string, s string, y int, j int, n int, p string, q string, v double, m double, t double, a string, r string"
@@ -68,3 +68,37 @@ def test_scorecard_of_a_party_that_never_won(spark):
     seats = spark.createDataFrame([("AE", "S", 2000, 1, 1, "A", "B", 45.0, 2.0, 60.0, "X", "GEN"), ("AE", "S", 2000, 2, 2, "A", None, 100.0, None, 60.0, "X", "SC")], SEATS)
     got = {r.p: r for r in signals.scorecards(seats).collect()}
     assert (got["B"].won, got["B"].second, got["B"].strike) == (0, 1, 0.0) and got["A"].won == 2
+
+
+def test_residuals_are_divided_between_the_towns_of_a_seat(spark):
+    rows = [("S", "t", 1, 10.0, True, 0.0), ("S", "t", 2, 90.0, True, 0.0), ("S", "u", 3, 1.0, False, 100.0)]
+    wards = spark.createDataFrame(rows, "s string, town string, n int, weight double, split boolean, pop double")
+    electors = spark.createDataFrame([("S", 1, 100.0), ("S", 2, 100.0), ("S", 3, 50.0)], "s string, n int, e double")
+    assert {r.n: r.share for r in merge.apportioned(wards, electors).collect()} == {1: 0.5, 2: 0.5}
+    assert {r.n: r.share for r in merge.apportioned(wards, electors.limit(0)).collect()} == {1: 0.1, 2: 0.9}
+
+
+def test_lone_codes_have_weight(spark):
+    rows = spark.createDataFrame([(1, "358"), (2, "358:0.6; 346:0.2;"), (3, "x;y:1"), (4, "7;8:3;9:z"), (5, None)], "k int, pins string")
+    got = sorted(tuple(r) for r in board.code_weights(rows, "k", "pins").collect())
+    assert [g[:2] for g in got] == [(1, 358), (2, 346), (2, 358), (4, 7), (4, 8)]
+    assert [round(g[2], 9) for g in got] == [1.0, 0.25, 0.75, 0.25, 0.75]
+
+
+def test_the_leader_of_today_is_asked_what_it_held(spark):
+    rows = [("AE", "S", "A", "A", "held"), ("AE", "S", "A", "B", "flipped"), ("AE", "S", "B", "A", "flipped"), ("AE", "S", "A", "B", "not-comparable"), ("AE", "S", "C", "B", "flipped"), ("AE", "T", "X", None, "no-previous")]
+    got = [tuple(r) for r in board.leader_retention(spark.createDataFrame(rows, "arena string, s string, p string, prev_p string, status string")).collect()]
+    assert got == [("AE", "S", "A", 3, 2, 1, 0, 50.0)]
+
+
+def test_lookups_trust_names_before_numbers_but_not_against_a_nameless_entry(spark):
+    seats = spark.createDataFrame([("k", 1, "Kalol"), ("k", 2, "Daman and Diu (ST)"), ("k", 3, "Jeypore"), ("k", 4, "Kalol"), ("k", 9, None)], "g string, n int, c string")
+    book = spark.createDataFrame([("k", 1, None, 5), ("k", 2, "DADRA", 6), ("k", 7, "DAMAN", 7), ("k", 3, "Jayapur", 8), ("k", 4, "X", 9), ("k", 8, "kalol", 10), ("k", 10, "KALOL (SC)", 11), ("j", 9, "y", 1)], "g string, n int, c string, e int")
+    got = {r.n: (r.e, r.by) for r in board.looked_up(seats, book, ["g"], "n", "c", "e").collect()}
+    assert got == {1: (5, "both"), 2: (7, "name"), 3: (8, "number"), 4: (9, "number"), 9: (None, None)}
+
+
+def test_parties_by_lines(spark):
+    rows = spark.createDataFrame([("AE", f"P{i:02}", 20 - i % 3) for i in range(12)], "arena string, p string, wins int")
+    got = [(r.p, r.line, r.parties) for r in board.first_lines(rows, ["arena"], "wins", 8).orderBy("line").collect()]
+    assert len(got) == 8 and got[0] == ("P00", 1, 12) and got[4][0] == "P01"

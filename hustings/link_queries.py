@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hustings.operators import crosswalk
+from hustings.operators import crosswalk, renumber
 from hustings.registry import Registry
 from hustings.sources import seatlists
 
@@ -45,3 +45,32 @@ def like_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY.add("like_names", like_names, LISTS.replace("SOUNDS", sounds_sql()) + f"SELECT block, code, seat, similarity FROM sim WHERE similarity >= {crosswalk.WITH_EVIDENCE}")
 REGISTRY.add("crosswalk", lambda spark, d: crosswalk.crosswalk(seatlists.listed(spark, d), seatlists.known(spark, d)), None)
+
+
+def fill_sql() -> str:
+    """Three passes, each row after row with the four rows before it at hand; what stands above is of the pass before."""
+    text = """WITH RECURSIVE nn AS (SELECT 1 AS u), p0 AS (SELECT block, n, min(side) AS v FROM (SELECT c_custkey % 25 AS block, CAST(c_custkey // 25 AS BIGINT) AS n, CASE WHEN md5('side' || (c_custkey // 3))[1] IN ('0', '1', '2', '3') THEN 'TG' WHEN md5('side' || (c_custkey // 3))[1] IN ('4', '5') THEN 'AP' END AS side FROM customer WHERE c_custkey % 11 <> 5) GROUP BY ALL)"""
+    for k in range(1, renumber.PASSES + 1):
+        low = lambda d: "CASE " + " ".join(f"WHEN r.n{i} = h.n - {d} THEN r.v{i}" for i in range(1, 5)) + " END"
+        pick = ", ".join(f"CASE WHEN ({low(d)}) <> h.h{d} THEN NULL ELSE coalesce({low(d)}, h.h{d}) END" for d in range(1, 5))
+        text += f""", h{k} AS (SELECT p.block, p.n, p.v, row_number() OVER (PARTITION BY p.block ORDER BY p.n) AS rn, {", ".join(f"a{d}.v AS h{d}" for d in range(1, 5))} FROM p{k - 1} p {" ".join(f"LEFT JOIN p{k - 1} a{d} ON a{d}.block = p.block AND a{d}.n = p.n + {d}" for d in range(1, 5))}),
+r{k} AS (SELECT block, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS n1, CAST(NULL AS VARCHAR) AS v1, CAST(NULL AS BIGINT) AS n2, CAST(NULL AS VARCHAR) AS v2, CAST(NULL AS BIGINT) AS n3, CAST(NULL AS VARCHAR) AS v3, CAST(NULL AS BIGINT) AS n4, CAST(NULL AS VARCHAR) AS v4 FROM (SELECT DISTINCT block FROM p0)
+  UNION ALL SELECT h.block, h.rn, h.n, coalesce(h.v, {pick}), r.n1, r.v1, r.n2, r.v2, r.n3, r.v3 FROM r{k} r JOIN h{k} h ON h.block = r.block AND h.rn = r.rn + 1),
+p{k} AS (SELECT block, n1 AS n, v1 AS v FROM r{k} WHERE rn > 0)"""
+    return text + f" SELECT block, n, v AS side FROM p{renumber.PASSES}"
+
+
+RENUMBER = """WITH src AS (SELECT c_custkey % 25 AS block, CAST(1 + (c_custkey // 25) % 35 AS BIGINT) AS n, CASE WHEN c_custkey % 13 = 0 THEN 25 * ((c_custkey // 25) % 35) + c_custkey % 25 ELSE c_custkey END AS id, c_custkey AS nth FROM customer),
+seats AS (SELECT block, n, id, min(nth) AS first FROM src GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY block, n ORDER BY first, id) AS rn FROM seats),
+off AS (SELECT c_custkey % 25 AS block, CAST(c_custkey AS BIGINT) AS id, CAST(1 + c_custkey // 25 + 2 * (c_custkey % 2) AS BIGINT) AS o FROM customer WHERE c_custkey % 3 = 0 AND (1 + c_custkey // 25 + 2 * (c_custkey % 2)) % 7 <> 0),
+claim AS (SELECT r.*, o FROM ranked r JOIN off USING (block, id) LEFT JOIN ranked k ON k.block = r.block AND k.n = o AND k.rn = 1 WHERE r.rn > 1 AND (k.id IS NULL OR k.id = r.id)),
+moved AS (SELECT * FROM claim c WHERE NOT EXISTS (SELECT 1 FROM claim e WHERE e.block = c.block AND e.o = c.o AND e.id <> c.id AND (e.first < c.first OR e.first = c.first AND e.id < c.id))),
+held AS (SELECT block, n FROM ranked WHERE rn = 1 UNION SELECT block, o FROM moved),
+rest AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n, first, id) AS k FROM ranked r WHERE rn > 1 AND NOT EXISTS (SELECT 1 FROM moved m WHERE m.block = r.block AND m.n = r.n AND m.id = r.id)),
+free AS (SELECT block, f, row_number() OVER (PARTITION BY block ORDER BY f) AS place FROM (SELECT block, unnest(range(1, 1 + max(n) + (SELECT count(*) FROM customer))) AS f FROM held GROUP BY block) x WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.block = x.block AND h.n = x.f)),
+own AS (SELECT r.block, r.n, r.id, r.k, min(f.place) AS place FROM rest r JOIN free f ON f.block = r.block AND f.f >= r.n GROUP BY ALL),
+got AS (SELECT *, k + max(place - k) OVER (PARTITION BY block ORDER BY k) AS at FROM own)
+SELECT block, n, 'Seat no ' || id AS name, n AS new_number, 'kept' AS how FROM ranked WHERE rn = 1 UNION ALL SELECT block, n, 'Seat no ' || id, o, 'official' FROM moved UNION ALL SELECT got.block, got.n, 'Seat no ' || id, f.f, 'next' FROM got JOIN free f ON f.block = got.block AND f.place = got.at"""
+
+REGISTRY.add("sides_filled", lambda spark, d: renumber.neighbour_fill(seatlists.sided(spark, d), ["block"], "n", "side"), fill_sql())
+REGISTRY.add("seats_renumbered", lambda spark, d: renumber.renumbered(seatlists.numbered(spark, d), seatlists.official_numbers(spark, d), ["block"], "n", "name", "nth"), RENUMBER)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hustings.operators import placement
+from hustings.operators import extents, placement
 from hustings.plans.placement import Placement
 from hustings.registry import Registry
 from hustings.sources.directory import Directory
@@ -83,3 +83,29 @@ REGISTRY.add("unit_seats", unit_seats, DIRECTORY + TIERS + "SELECT unit, seat, r
 REGISTRY.add("units_by_method", units_by_method, DIRECTORY + TIERS + "SELECT s, method, count(*) AS units, CAST(sum(pop) AS BIGINT) AS people, round(CAST(sum(pop) AS DOUBLE) * 100 / sum(sum(pop)) OVER (PARTITION BY s), 6) AS share FROM (SELECT DISTINCT unit, method FROM everyone) JOIN units USING (unit) GROUP BY s, method")
 REGISTRY.add("units_shared_by_electors", lambda spark, d: plan(spark, d).shared, DIRECTORY + TIERS + SHARED + "SELECT unit, seat, round(weight, 6) AS weight, method FROM final")
 REGISTRY.add("people_of_seats", people_of_seats, DIRECTORY + TIERS + SHARED + "SELECT seat, round(sum(pop * weight), 6) AS people, count(DISTINCT unit) AS units FROM final JOIN units USING (unit) GROUP BY seat")
+
+
+def named(directory: Directory) -> DataFrame:
+    return extents.towns_named(directory.extents, directory.town_list, ["s"], "seat", "extent", "town", "name")
+
+
+def towns_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a hundred times the people, so that towns are large enough."""
+    p = plan(spark, sf_dir)
+    units = p.directory.units.withColumn("pop", F.col("pop") * 100)
+    return extents.spread_towns(p.placed, units, named(p.directory), p.directory.allowed)
+
+
+#: Extents, and the towns that they name by a search of each text for each name of its state.
+EXTENTS = """, ext AS (SELECT n_name AS s, n_name || '|' || n AS seat, CASE (n_nationkey + n) % 3 WHEN 0 THEN 'Ward 1 of ' || n_name || ' (M Corp)' WHEN 1 THEN n_name || ' East (M Cl) and Part villages' ELSE 'Old ' || n_name || ' Town' END || CASE WHEN n % 2 = 0 THEN ', ' || n_name || ' East (NAC) (Part)' ELSE '' END AS extent FROM nation, range(1, 7) x(n)),
+hits AS (SELECT e.s, e.seat, t.t AS town FROM ext e JOIN towns t USING (s) WHERE regexp_matches(lower(e.extent), '(^|[^a-z0-9])' || lower(t.s) || CASE WHEN t.t % 2 = 0 THEN '' ELSE ' east' END || '\\s*\\((m|cb|np|nac|tp|nn)'))
+"""
+
+SPREAD = """, big AS (SELECT town, min(seat) AS one, arg_min(district, unit) AS district FROM placed JOIN units USING (unit) WHERE route = 'town' AND starts_with(method, 'town') GROUP BY town HAVING count(DISTINCT seat) = 1 AND sum(pop * 100 * weight) >= 150000),
+ok AS (SELECT town, seat, count(*) OVER (PARTITION BY town) AS c FROM big JOIN hits USING (town) WHERE right(seat, 1) = '6' OR (seat, district) IN (SELECT (seat, district) FROM allowed)),
+spread AS (SELECT p.unit, ok.seat, p.weight / c AS weight, 'town-order-seats' AS method FROM placed p JOIN units u USING (unit) JOIN ok ON ok.town = u.town AND c >= 2 WHERE u.route = 'town')
+SELECT unit, seat, round(weight, 6) AS weight, method FROM (SELECT * FROM placed WHERE unit NOT IN (SELECT unit FROM spread) UNION ALL FROM spread)"""
+
+REGISTRY.add("towns_named_in_extents", lambda spark, d: named(Directory(spark, d)), DIRECTORY + EXTENTS + "FROM hits")
+REGISTRY.add("towns_spread_by_extents", towns_spread, DIRECTORY + TIERS + EXTENTS + SPREAD)
+REGISTRY.add("extent_classes", lambda spark, d: Directory(spark, d).extents.join(Directory(spark, d).places.select("s", "k"), "s").select("k", "seat", extents.extent_class(F.col("extent")).alias("class")), DIRECTORY + EXTENTS + "SELECT k, seat, CASE WHEN extent LIKE 'Ward%' THEN 'C' WHEN extent LIKE '%villages%' THEN 'B' WHEN extent LIKE '%(Part)' THEN 'B2' ELSE 'A' END AS class FROM ext JOIN places USING (s)")

@@ -101,3 +101,15 @@ class Directory:
     def electors(self) -> DataFrame:
         """seat, e."""
         return self.nations.select("b", "s", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n")).select(seat_of("s", "n").alias("seat"), F.expr("1000L + (b * 700 + n * 1300) % 9000").alias("e"))
+
+    @cached_property
+    def extents(self) -> DataFrame:
+        """s, seat, extent: the legal text of every seat."""
+        rows = self.nations.select("b", "s", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("n"))
+        first = F.expr("case (b + n) % 3 when 0 then concat('Ward 1 of ', s, ' (M Corp)') when 1 then concat(s, ' East (M Cl) and Part villages') else concat('Old ', s, ' Town') end")
+        return rows.select("s", seat_of("s", "n").alias("seat"), F.concat(first, F.expr("if(n % 2 = 0, concat(', ', s, ' East (NAC) (Part)'), '')")).alias("extent"))
+
+    @cached_property
+    def town_list(self) -> DataFrame:
+        """s, town, name of every town that has wards."""
+        return self.towns.select("s", F.col("t").alias("town"), F.concat("s", F.expr("if(t % 2 = 0, ' (M Corp.)', ' East (M Cl)')")).alias("name"))

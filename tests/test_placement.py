@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from hustings.operators import placement
+from hustings.operators import extents, placement
 
 COVERAGE = "level string, code string, seat string, whole boolean"
 UNITS = "unit long, state long, s string, district long, subdistrict long, route string, town long, pop long"
@@ -68,3 +68,26 @@ def test_nothing_to_place(spark):
     known = placement.lookups(code=spark.createDataFrame([], "key string, seat string, weight double"))
     placed = placement.by_first_tier(units, known, [("code", "code", F.col("unit"))])
     assert placement.with_unplaced(units, placement.overridden(placed, placed)).count() == 0
+
+
+def test_extents_name_towns_by_whole_words(spark):
+    texts = [("X", "1", "Ludhiana (M Corp.) - Ward No. 1 to 9, Ramnagar (MCl)"), ("X", "2", "LUDHIANA(M) and Jalgaon Jamod (M Cl)"), ("X", "3", "Ludhiana Tehsil (Part), nagar"), ("Y", "4", "Ludhiana (NAC)"), ("X", "5", None), ("X", "6", "(M Corp) St. Mary's-Town (CB)")]
+    towns = [("X", 1, "Ludhiana (M Corp.)"), ("X", 2, "Nagar"), ("X", 3, "Jalgaon (M Cl)"), ("X", 4, "Jalgaon Jamod"), ("X", 5, "Jo"), ("X", 6, None), ("X", 7, "St Mary S Town")]
+    got = extents.towns_named(spark.createDataFrame(texts, "s string, seat string, extent string"), spark.createDataFrame(towns, "s string, town int, name string"), ["s"], "seat", "extent", "town", "name")
+    assert rows_of(got, "seat", "town") == [("1", 1), ("2", 1), ("2", 4), ("6", 7)]
+    assert extents.towns_named(spark.createDataFrame([], "s string, seat string, extent string"), spark.createDataFrame([], "s string, town int, name string"), ["s"], "seat", "extent", "town", "name").count() == 0
+
+
+def test_large_towns_of_one_seat_are_spread(spark):
+    units = spark.createDataFrame([(i, 1, "s", d, 1, route, t, 100_000) for i, d, route, t in [(1, 1, "town", 7), (2, 1, "town", 7), (3, 1, "town", 8), (4, 1, "village", 0), (5, 1, "town", 9), (6, 1, "town", 9)]], UNITS)
+    placed = spark.createDataFrame([(1, "A", 1.0, "town-code"), (2, "A", 1.0, "town-code"), (3, "A", 1.0, "town-code"), (4, "A", 1.0, "village-code"), (5, "A", 1.0, "town-code"), (6, "B", 1.0, "town-code")], "unit long, seat string, weight double, method string")
+    named = spark.createDataFrame([("A", 7), ("B", 7), ("C", 7), ("A", 8), ("B", 8), ("A", 9), ("B", 9)], "seat string, town long")
+    districts = spark.createDataFrame([("C", 2), ("B", 1)], "seat string, district long")
+    got = rows_of(extents.spread_towns(placed, units, named, districts), "unit", "seat", "weight")
+    # 8 is too small, 9 lies in two seats already; C has no part in district 1.
+    assert got == [(1, "A", 0.5), (1, "B", 0.5), (2, "A", 0.5), (2, "B", 0.5), (3, "A", 1.0), (4, "A", 1.0), (5, "A", 1.0), (6, "B", 1.0)]
+
+
+def test_extent_classes(spark):
+    rows = spark.createDataFrame([("Ward No. 1 and village x",), ("Patwar circle y (Part)",), ("Tehsil z (Part)",), ("Tehsils a and b",), ("E.B.No 7",)], "e string")
+    assert [r[0] for r in rows.select(extents.extent_class(F.col("e"))).collect()] == ["C", "B", "B2", "A", "C"]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hustings.operators import extents, placement
+from hustings.operators import extents, overlay, placement
 from hustings.plans.placement import Placement
 from hustings.registry import Registry
+from hustings.sources import shapes
 from hustings.sources.directory import Directory
 
 REGISTRY = Registry()
@@ -109,3 +110,16 @@ SELECT unit, seat, round(weight, 6) AS weight, method FROM (SELECT * FROM placed
 REGISTRY.add("towns_named_in_extents", lambda spark, d: named(Directory(spark, d)), DIRECTORY + EXTENTS + "FROM hits")
 REGISTRY.add("towns_spread_by_extents", towns_spread, DIRECTORY + TIERS + EXTENTS + SPREAD)
 REGISTRY.add("extent_classes", lambda spark, d: Directory(spark, d).extents.join(Directory(spark, d).places.select("s", "k"), "s").select("k", "seat", extents.extent_class(F.col("extent")).alias("class")), DIRECTORY + EXTENTS + "SELECT k, seat, CASE WHEN extent LIKE 'Ward%' THEN 'C' WHEN extent LIKE '%villages%' THEN 'B' WHEN extent LIKE '%(Part)' THEN 'B2' ELSE 'A' END AS class FROM ext JOIN places USING (s)")
+
+
+def seats_in_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.overlay(overlay.as_edges(shapes.seats(spark, sf_dir)), overlay.as_edges(shapes.districts(spark, sf_dir)), shapes.HEIGHT, shapes.STRETCH)
+
+
+#: A seat is two boxes, a district one; their edges lie on rows' edges, so areas are exact.
+REGISTRY.add("seats_in_districts", seats_in_districts, """WITH k AS (SELECT CAST(c_custkey AS BIGINT) AS a, CAST(c_custkey % 40 * 7 + c_custkey % 3 AS DOUBLE) AS x, CAST(c_custkey // 40 * 7 AS DOUBLE) AS y FROM customer),
+boxes AS (SELECT a, x AS x1, y AS y1, x + 8 AS x2, y + 3 AS y2 FROM k UNION ALL SELECT a, x, y + 3, x + 3, y + 9 FROM k),
+d AS (SELECT CAST(s_suppkey AS BIGINT) AS b, CAST(s_suppkey % 10 * 28 AS DOUBLE) AS x1, CAST(s_suppkey // 10 * 28 AS DOUBLE) AS y1 FROM supplier),
+o AS (SELECT a, b, sum(greatest(0, least(x2, d.x1 + 28) - greatest(boxes.x1, d.x1)) * greatest(0, least(y2, d.y1 + 30) - greatest(boxes.y1, d.y1))) AS overlap FROM boxes JOIN d ON boxes.x1 < d.x1 + 28 AND boxes.x2 > d.x1 AND boxes.y1 < d.y1 + 30 AND boxes.y2 > d.y1 GROUP BY ALL HAVING overlap > 0),
+p AS (SELECT *, overlap / sum(overlap) OVER (PARTITION BY a) AS part, row_number() OVER (PARTITION BY a ORDER BY overlap DESC, b) AS nth FROM o)
+SELECT a, b, round(overlap, 6) AS overlap, round(part / sum(part) OVER (PARTITION BY a), 6) AS share, round(overlap / (42 + 840 - overlap), 6) AS iou FROM p WHERE part >= 0.1 OR nth = 1""")

@@ -56,6 +56,29 @@ def rounded_to_total(rows: DataFrame, group: str, key: str, value: str, total: s
     return rest.select("*", short.alias("short"), rank.alias("rank")).select(group, key, value, (F.col("whole") + (F.col("rank") <= F.col("short")).cast("long")).alias("rounded"))
 
 
+def without_zeros(rows: DataFrame, group: str, key: str, rounded: str) -> DataFrame:
+    """rows whose zeros are ones, taken one after the other from the group's largest at that time, of these the first by key; a group with
+    less in all than members stays.
+
+    Taking from the largest lowers the top of the group to one level. How far down the top reaches is told by running sums from
+    the largest on: as many members as can be lowered to the next one's value for what is taken. Those that are lowered once more
+    than the others are the first by key.
+    """
+    whole = Window.partitionBy(group)
+    down = whole.orderBy(F.desc("x"), key)
+    x = rows.withColumn("x", F.col(rounded).cast("long")).withColumns({"zeros": F.count_if(F.col("x") == 0).over(whole), "members": F.count(F.lit(1)).over(whole), "sum": F.sum("x").over(whole)})
+    x = x.withColumn("taken", F.when(F.col("sum") >= F.col("members"), F.col("zeros")).otherwise(0))
+    x = x.withColumns({"nth": F.row_number().over(down), "upto": F.sum("x").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    # The member is in the top if those above it can be lowered to its value for what is taken.
+    x = x.withColumn("top", (F.col("taken") > 0) & (F.col("upto") - F.col("x") - (F.col("nth") - 1) * F.col("x") <= F.col("taken")))
+    x = x.withColumns({"size": F.count_if("top").over(whole), "held": F.sum(F.when(F.col("top"), F.col("x"))).over(whole) - F.col("taken")})
+    x = x.withColumn("place", F.row_number().over(Window.partitionBy(group, "top").orderBy(key)))
+    level, more = F.floor(F.try_divide("held", "size")), F.col("held") % F.when(F.col("size") > 0, F.col("size"))
+    lowered = level + F.when(F.col("place") > F.col("size") - more, 1).otherwise(0)
+    value = F.when(F.col("top"), lowered).when((F.col("taken") > 0) & (F.col("x") == 0), 1).otherwise(F.col("x"))
+    return x.select(*[F.col(c) for c in rows.columns if c != rounded], value.cast("long").alias(rounded))
+
+
 def weighted_rates(units: DataFrame, keys: list[str], weight: str, rates: list[str]) -> DataFrame:
     """Weighted means that skip nulls: each rate's weights are those of the rows that have it."""
     w = F.col(weight)

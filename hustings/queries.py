@@ -227,6 +227,8 @@ register("name_likeness", lambda c: source.table(c.spark, c.sf_dir, "part").sele
 register("unambiguous_names", lambda c: linkage.unambiguous(c.units, ["s", "town"], "n"), UNITS + "SELECT s, town, min(n) AS n FROM u GROUP BY ALL HAVING count(DISTINCT n) = 1")
 register("calibrated_shares", lambda c: calibrate.calibrate(c.units.select(F.concat_ws("/", "s", "town").alias("g"), "code", F.col("pop").cast("double").alias("pop"), "power", (F.col("lit").cast("double") / F.col("pop")).alias("lit")), c.units.groupBy(F.concat_ws("/", "s", "town").alias("g")).agg(F.avg("power").alias("power"), F.avg(F.col("lit").cast("double") / F.col("pop")).alias("lit")), "g", "code", "pop", ["power", "lit"]), None)
 register("largest_remainder", lambda c: merge.rounded_to_total(c.summary.where("arena = 'AE'").select(F.concat_ws("/", "s", "y").alias("g"), "p", F.col("v").alias("x"), F.lit(100).cast("long").alias("total")), "g", "p", "x", "total").select("g", "p", "rounded"), "SELECT g, p, f + CASE WHEN row_number() OVER (PARTITION BY g ORDER BY v - f DESC, p) <= 100 - sum(f) OVER (PARTITION BY g) THEN 1 ELSE 0 END AS rounded FROM (SELECT s || '/' || y AS g, p, v, CAST(floor(v) AS BIGINT) AS f FROM summ WHERE arena = 'AE')")
+register("rounded_without_zeros", lambda c: merge.without_zeros(merge.rounded_to_total(c.summary.where("arena = 'AE'").select(F.concat_ws("/", "s", "y").alias("g"), "p", (F.col("v") * 0.08).alias("x"), F.lit(8).cast("long").alias("total")), "g", "p", "x", "total"), "g", "p", "rounded").select("g", "p", "rounded"), """SELECT g, unnest(ps) AS p, unnest(v) AS rounded FROM (WITH RECURSIVE base AS (SELECT g, p, f + CASE WHEN row_number() OVER (PARTITION BY g ORDER BY x - f DESC, p) <= 8 - sum(f) OVER (PARTITION BY g) THEN 1 ELSE 0 END AS r FROM (SELECT s || '/' || y AS g, p, v * 0.08 AS x, CAST(floor(v * 0.08) AS BIGINT) AS f FROM summ WHERE arena = 'AE')),
+st AS (SELECT g, list(p ORDER BY p) AS ps, list(CAST(r AS BIGINT) ORDER BY p) AS v FROM base GROUP BY g UNION ALL SELECT g, ps, list_transform(v, lambda x, i: CASE WHEN i = list_position(v, 0) THEN 1 WHEN i = list_position(v, list_max(v)) THEN x - 1 ELSE x END) FROM st WHERE list_contains(v, 0) AND list_sum(v) >= len(v)) SELECT * FROM st WHERE NOT list_contains(v, 0) OR list_sum(v) < len(v))""")
 register("hierarchy_additivity", lambda c: quality.additive(c.summary, c.national.where("p != 'PROMO'"), ["arena", "y", "p"], ["votes", "wo"]), "SELECT arena, y, p, votes AS sum_votes, wo AS sum_wo, CAST(NULL AS BIGINT) AS votes, CAST(NULL AS BIGINT) AS wo FROM nat WHERE p = 'PROMO'")
 register("key_checks", lambda c: quality.unique_and_whole(c.seats, ["arena", "s", "y"], "n"), "SELECT arena, s, y, count(*) AS rows, count(DISTINCT n) AS distinct, count(*) = count(DISTINCT n) AS is_unique, min(n) = 1 AND max(n) = count(DISTINCT n) AS is_whole FROM seats GROUP BY ALL")
 register("only_in_one", lambda c: quality.only_in(c.seats.where("arena = 'AE'"), c.seats.where("arena = 'GE'"), ["s", "y", "n"]), "SELECT s, y, n, 'a' AS only_in FROM (SELECT s, y, n FROM seats WHERE arena = 'AE' EXCEPT SELECT s, y, n FROM seats WHERE arena = 'GE') UNION ALL SELECT s, y, n, 'b' FROM (SELECT s, y, n FROM seats WHERE arena = 'GE' EXCEPT SELECT s, y, n FROM seats WHERE arena = 'AE')")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from hustings.functions import canon
@@ -102,3 +104,21 @@ def test_parties_by_lines(spark):
     rows = spark.createDataFrame([("AE", f"P{i:02}", 20 - i % 3) for i in range(12)], "arena string, p string, wins int")
     got = [(r.p, r.line, r.parties) for r in board.first_lines(rows, ["arena"], "wins", 8).orderBy("line").collect()]
     assert len(got) == 8 and got[0] == ("P00", 1, 12) and got[4][0] == "P01"
+
+
+def test_zeros_take_one_from_the_largest(spark):
+    rnd = random.Random(8)
+    groups = {g: [rnd.choice((0, 0, 0, 1, 2, 5, 9, 9, 40)) for _ in range(rnd.randint(1, 14))] for g in range(120)}
+    groups |= {200: [0, 0, 2], 201: [0, 0, 3], 202: [5, 5, 5, 0, 0, 0, 0], 203: [0], 204: [1, 1]}
+    rows = spark.createDataFrame([(g, i, v) for g, values in groups.items() for i, v in enumerate(values)], "g int, i int, v long")
+    got = {}
+    for r in merge.without_zeros(rows, "g", "i", "v").collect():
+        got.setdefault(r.g, {})[r.i] = r.v
+    for g, values in groups.items():
+        want = list(values)
+        if sum(want) >= len(want):
+            for i in [i for i, v in enumerate(want) if v == 0]:
+                want[want.index(max(want))] -= 1
+                want[i] = 1
+        assert [got[g][i] for i in range(len(want))] == want, (g, values)
+    assert merge.without_zeros(rows.limit(0), "g", "i", "v").count() == 0

@@ -171,8 +171,8 @@ def win_quality(seats: DataFrame, bucket: Column, least: int = 8) -> DataFrame:
     return told.select("arena", "p", "y", "bucket", "n", (F.col("n").cast("double") * 100 / F.col("of")).alias("pct"))
 
 
-def winner_matrix(seats: DataFrame, years: list[int]) -> DataFrame:
-    """A row for each seat, a column for each election: who won."""
+def winner_matrix(seats: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """A row for each seat, a column for each election, or for the years asked for: who won."""
     return seats.groupBy("arena", "s", "j").pivot("y", years).agg(F.max("p"))
 
 

@@ -185,7 +185,7 @@ register("reservation_fill", lambda c: c.seats.groupBy(*PLACE).agg(F.max(F.when(
 register("security_summary", lambda c: resolve.stronghold_classes(c.seats).groupBy("arena", "s").agg(*[F.count_if(F.col("class") == k).alias(k) for k in ("safe", "lean", "swing")]), """, recent AS (SELECT * FROM (SELECT *, max(y) OVER (PARTITION BY arena, s) AS last FROM seats) WHERE NOT (arena = 'AE' AND s IN ('NATION_5', 'NATION_9') AND (y < 1998) <> (last < 1998))),
 best AS (SELECT arena, s, j, max(w) AS wins, CAST(sum(w) AS BIGINT) AS total FROM (SELECT arena, s, j, p, count(*) AS w FROM recent GROUP BY ALL) GROUP BY ALL)
 SELECT arena, s, count(*) FILTER (total >= 2 AND wins = total) AS safe, count(*) FILTER (NOT (total >= 2 AND wins = total) AND wins >= 0.6 * total) AS lean, count(*) FILTER (NOT (total >= 2 AND wins = total) AND wins < 0.6 * total) AS swing FROM best GROUP BY ALL""")
-register("series_by_party", lambda c: c.national.groupBy("arena", "p").pivot("y", list(range(1995, 2002))).agg(F.max("v")), "SELECT arena, p, " + ", ".join(f"round(max(v) FILTER (y = {y}), 6) AS \"{y}\"" for y in range(1995, 2002)) + " FROM nat GROUP BY ALL")
+register("series_by_party", lambda c: c.national.groupBy("arena", "p").pivot("y").agg(F.max("v")), "SELECT arena, p, " + ", ".join(f"round(max(v) FILTER (y = {y}), 6) AS \"{y}\"" for y in range(1995, 2002)) + " FROM nat GROUP BY ALL")
 register("signal_board", lambda c: signals.thin_book(c.active).select("arena", F.lit("thin book").alias("signal"), "p", F.col("pct").alias("score")).unionByName(signals.shallow_wins(c.active).select("arena", F.lit("shallow wins").alias("signal"), "p", F.col("pct").alias("score"))).unionByName(signals.worst_defence(c.changed).select("arena", F.lit("worst defence").alias("signal"), "p", (100 - F.col("pct")).alias("score"))), """SELECT arena, 'thin book' AS signal, p, round(CAST(count(*) FILTER (m < 5) AS DOUBLE) * 100 / count(*), 6) AS score FROM act GROUP BY arena, p HAVING count(*) >= 5
 UNION ALL SELECT arena, 'shallow wins', p, round(CAST(count(*) FILTER (m < 3) AS DOUBLE) * 100 / count(*), 6) FROM act GROUP BY arena, p HAVING count(*) >= 10 AND CAST(count(*) FILTER (m < 3) AS DOUBLE) * 100 / count(*) >= 12
 UNION ALL SELECT arena, 'worst defence', p, round(100 - pct, 6) FROM (SELECT *, row_number() OVER (PARTITION BY arena ORDER BY pct, p) AS rn FROM (SELECT arena, prev_p AS p, CAST(count(*) FILTER (status = 'held') AS DOUBLE) * 100 / count(*) AS pct FROM comp GROUP BY arena, prev_p HAVING count(*) >= 5)) WHERE rn = 1""")
@@ -239,7 +239,7 @@ register("election_manifest", lambda c: files.manifest(c.cand), "SELECT arena, s
 # Scorecards over years, labels and matrices.
 register("vote_and_seats", lambda c: rollup.vote_and_seats(c.seats, c.summary), ", b AS (SELECT u.arena, u.s, u.y, u.p, u.v, u.wo AS seats FROM summ u), t AS (SELECT arena, s, p FROM (SELECT arena, s, p, row_number() OVER (PARTITION BY arena, s ORDER BY max(seats) DESC, p) AS rank FROM b GROUP BY arena, s, p) WHERE rank <= 4) SELECT arena, s, y, p, round(v, 6) AS v, seats FROM b JOIN t USING (arena, s, p)")
 register("win_quality", lambda c: rollup.win_quality(c.seats, canon.band(F.col("v"), (30.0, 40.0, 50.0))), "SELECT arena, p, y, bucket, n, round(CAST(n AS DOUBLE) * 100 / o, 6) AS pct FROM (SELECT arena, p, y, bucket, n, sum(n) OVER (PARTITION BY arena, p) AS total, sum(n) OVER (PARTITION BY arena, p, y) AS o FROM (SELECT arena, p, y, CAST(v >= 30 AS INTEGER) + CAST(v >= 40 AS INTEGER) + CAST(v >= 50 AS INTEGER) AS bucket, count(*) AS n FROM seats WHERE v IS NOT NULL GROUP BY ALL)) WHERE total >= 8")
-register("winner_matrix", lambda c: rollup.winner_matrix(c.seats, list(range(1995, 2002))), "SELECT arena, s, j, " + ", ".join(f"max(p) FILTER (y = {y}) AS \"{y}\"" for y in range(1995, 2002)) + " FROM seats GROUP BY ALL")
+register("winner_matrix", lambda c: rollup.winner_matrix(c.seats), "SELECT arena, s, j, " + ", ".join(f"max(p) FILTER (y = {y}) AS \"{y}\"" for y in range(1995, 2002)) + " FROM seats GROUP BY ALL")
 register("election_index", lambda c: rollup.index(c.seats), "SELECT arena, s, y, p, lead_seats, seats FROM (SELECT arena, s, y, p, count(*) AS lead_seats, CAST(sum(count(*)) OVER (PARTITION BY arena, s, y) AS BIGINT) AS seats, row_number() OVER (PARTITION BY arena, s, y ORDER BY count(*) DESC, p) AS rn FROM seats GROUP BY arena, s, y, p) WHERE rn = 1")
 register("seat_labels", lambda c: signals.seat_labels(resolve.biographies(c.seats)), ", b AS (SELECT arena, s, j, count(*) AS e, count(DISTINCT p) AS w, count(*) FILTER (status = 'flipped') AS f, avg(t) AS t, avg(v + (v - m)) AS bp FROM prev GROUP BY ALL) SELECT arena, s, j, CASE WHEN e > 1 AND w = 1 THEN 'fortress' WHEN w = e OR f >= ceil((e - 1) / 2) THEN 'swing' ELSE 'leans' END AS kind, CASE WHEN bp >= 82 THEN 'bipolar' WHEN bp >= 68 THEN 'triangular' ELSE 'fragmented' END AS field, CASE WHEN t >= 72 THEN 'high' WHEN t >= 62 THEN 'middling' ELSE 'low' END AS turnout FROM b")
 register("losses_in_reach", lambda c: signals.losses_in_reach(c.active), "SELECT arena, q AS p, s, j, round(m, 6) AS m, rank FROM (SELECT *, row_number() OVER (PARTITION BY arena, q ORDER BY m, s, j) AS rank FROM act WHERE m < 10) WHERE rank <= 5")

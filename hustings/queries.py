@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hustings import board_queries, link_queries, place_queries, rule_queries
+from hustings import board_queries, candidate_queries, link_queries, place_queries, rule_queries
 from hustings.contest_sql import PREFIX
 from hustings.functions import canon
 from hustings.operators import board, calibrate, linkage, merge, place, project, quality, resolve, rollup, signals
@@ -280,6 +280,6 @@ register("unit_levels", lambda c: source.table(c.spark, c.sf_dir, "part").select
 register("pooled_turnout", lambda c: rollup.pooled_turnout(c.electors), "SELECT arena, s, y, round(CAST(sum(voters) AS DOUBLE) * 100 / sum(e), 6) AS t FROM el WHERE e > 0 GROUP BY ALL")
 register("parts_adding_up", lambda c: quality.identity_failures(c.electors, ["arena", "y"], "e", ["men", "women"]), "SELECT arena, y, count(*) AS rows, count(*) FILTER (n = 4) AS failed FROM el GROUP BY ALL")
 
-for more in (place_queries, link_queries, rule_queries, board_queries):
+for more in (place_queries, link_queries, rule_queries, board_queries, candidate_queries):
     QUERIES |= more.REGISTRY.queries
     ORACLE |= more.REGISTRY.oracle

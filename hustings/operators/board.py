@@ -90,9 +90,9 @@ def looked_up(seats: DataFrame, book: DataFrame, keys: list[str], number: str, n
     none (both), else the only entry of the book with the seat's name (name), else the entry at the number (number).
 
     Names are the same if one holds the other, without reservation, spaces and case. Of several entries at one number the
-    one of the largest value counts. Only seats that the number doesn't settle are looked up by name.
+    one of the largest value counts, of these that of the last name. Only seats that the number doesn't settle are looked up by name.
     """
-    entries = book.groupBy(*keys, number).agg(F.max_by(F.struct(value, name), value).alias("entry")).select(*keys, number, F.col(f"entry.{value}").alias("v_number"), F.col(f"entry.{name}").alias("its_name"), F.lit(True).alias("there"))
+    entries = book.groupBy(*keys, number).agg(F.max(F.struct(value, name)).alias("entry")).select(*keys, number, F.col(f"entry.{value}").alias("v_number"), F.col(f"entry.{name}").alias("its_name"), F.lit(True).alias("there"))
     at = seats.join(entries, [*keys, number], "left").withColumn("seat_plain", plain(name)).withColumn("its_plain", plain("its_name"))
     same = (F.col("seat_plain") != "") & (F.col("its_plain") != "") & (F.contains("seat_plain", "its_plain") | F.contains("its_plain", "seat_plain"))
     settled = at.withColumn("settled", F.coalesce(F.col("there") & ((F.coalesce("its_name", F.lit("")) == "") | same), F.lit(False)))

@@ -258,7 +258,7 @@ SELECT line.arena, line.p AS leader, n, won, majority, line.cushion, round(t.m,
 register("resolved_years", lambda c: board.resolved_years(c.seats.where("y != 1997"), ["arena", "s"], c.seats.select("arena", "s", F.explode(F.array(F.lit(1990), F.lit(1997), F.lit(2000))).alias("y")).distinct()), "SELECT arena, s, w.y, coalesce(max(h.y) FILTER (h.y <= w.y), min(h.y)) AS resolved FROM (SELECT DISTINCT arena, s, unnest([1990, 1997, 2000]) AS y FROM seats) w JOIN (SELECT DISTINCT arena, s, y FROM seats WHERE y <> 1997) h USING (arena, s) GROUP BY arena, s, w.y")
 register("code_weights", lambda c: board.code_weights(c.units.select(F.col("code").alias("unit"), F.when(F.col("code") % 3 == 0, F.concat(F.lit(" "), F.col("n").cast("string"), F.lit(" "))).otherwise(F.concat_ws(";", F.concat_ws(":", "n", "pop"), F.concat_ws(":", F.col("town") + 100, "hh"), F.lit("x:1"), F.lit("7:y"), F.lit(""))).alias("pins")), "unit", "pins"), UNITS + "SELECT unit, code, round(CAST(w AS DOUBLE) / sum(w) OVER (PARTITION BY unit), 6) AS weight FROM (SELECT code AS unit, CAST(n AS BIGINT) AS code, CASE WHEN k3 = 0 THEN 1 ELSE pop END AS w FROM (SELECT *, code % 3 AS k3 FROM u) UNION ALL SELECT code, CAST(town + 100 AS BIGINT), hh FROM u WHERE code % 3 <> 0)")
 BOOK = ", book AS (SELECT arena, s, y, CAST(CASE WHEN j % 6 = 1 THEN j + 50 WHEN j % 6 = 4 AND y % 2 = 0 THEN j - 2 ELSE j END AS INTEGER) AS j, CASE WHEN j % 6 = 5 THEN NULL WHEN j % 6 = 2 THEN 'Other seat' WHEN j % 6 = 3 THEN 'SEAT ' || j || '-and (SC)' ELSE 'seat ' || j || ' and co' END AS name, e FROM el), st AS (SELECT arena, s, y, j, 'Seat ' || j || ' and Co' AS name FROM seats)"
-register("electors_looked_up", lambda c: board.looked_up(seat_names(c), elector_book(c), ["arena", "s", "y"], "j", "name", "e"), BOOK + """, entry AS (SELECT arena, s, y, j, e, coalesce(regexp_replace(regexp_replace(upper(name), '\\s*\\((SC|ST|GEN)\\)\\s*$', ''), '[^A-Z0-9]', '', 'g'), '') AS nm FROM book QUALIFY row_number() OVER (PARTITION BY arena, s, y, j ORDER BY e DESC) = 1),
+register("electors_looked_up", lambda c: board.looked_up(seat_names(c), elector_book(c), ["arena", "s", "y"], "j", "name", "e"), BOOK + """, entry AS (SELECT arena, s, y, j, e, coalesce(regexp_replace(regexp_replace(upper(name), '\\s*\\((SC|ST|GEN)\\)\\s*$', ''), '[^A-Z0-9]', '', 'g'), '') AS nm FROM book QUALIFY row_number() OVER (PARTITION BY arena, s, y, j ORDER BY e DESC, name DESC NULLS LAST) = 1),
 q AS (SELECT *, 'SEAT' || j || 'ANDCO' AS nm FROM st), named AS (SELECT q.arena, q.s, q.y, q.j, count(*) AS c, max(e.e) AS e FROM q JOIN entry e ON e.arena = q.arena AND e.s = q.s AND e.y = q.y AND e.nm <> '' AND (contains(e.nm, q.nm) OR contains(q.nm, e.nm)) GROUP BY ALL)
 SELECT q.arena, q.s, q.y, q.j, q.name, CASE WHEN e.e IS NOT NULL AND (e.nm = '' OR contains(e.nm, q.nm) OR contains(q.nm, e.nm)) THEN e.e WHEN n.c = 1 THEN n.e ELSE e.e END AS e, CASE WHEN e.e IS NOT NULL AND (e.nm = '' OR contains(e.nm, q.nm) OR contains(q.nm, e.nm)) THEN 'both' WHEN n.c = 1 THEN 'name' WHEN e.e IS NOT NULL THEN 'number' END AS "by"
 FROM q LEFT JOIN entry e USING (arena, s, y, j) LEFT JOIN named n ON n.arena = q.arena AND n.s = q.s AND n.y = q.y AND n.j = q.j""")

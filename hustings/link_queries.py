@@ -74,3 +74,18 @@ SELECT block, n, 'Seat no ' || id AS name, n AS new_number, 'kept' AS how FROM r
 
 REGISTRY.add("sides_filled", lambda spark, d: renumber.neighbour_fill(seatlists.sided(spark, d), ["block"], "n", "side"), fill_sql())
 REGISTRY.add("seats_renumbered", lambda spark, d: renumber.renumbered(seatlists.numbered(spark, d), seatlists.official_numbers(spark, d), ["block"], "n", "name", "nth"), RENUMBER)
+
+
+def shifted_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed seats, of which those of every fifth block have the numbers of the seat after."""
+    return seatlists.listed(spark, sf_dir).withColumn("code", F.col("code") + F.when(F.col("block") % 5 == 0, 25).otherwise(0))
+
+
+CLOSER = """, k AS (SELECT block, code + CASE WHEN block % 5 = 0 THEN 25 ELSE 0 END AS code, seat, similarity FROM sim),
+same AS (SELECT s.block, s.code, s.similarity AS same FROM k s WHERE s.seat = s.code AND NOT EXISTS (SELECT 1 FROM met m WHERE m.block = s.block AND m.code = s.code - CASE WHEN s.block % 5 = 0 THEN 25 ELSE 0 END AND m.seat = s.seat AND m.lf = m.rf)),
+close AS (SELECT block, code, seat, same, similarity AS best, CASE WHEN seat = code THEN 'spelling' ELSE 'closer' END AS verdict FROM k JOIN same USING (block, code) WHERE seat = code OR similarity >= 0.55 QUALIFY row_number() OVER (PARTITION BY block, code ORDER BY similarity DESC, seat = code DESC, seat) = 1)
+"""
+
+REGISTRY.add("closer_names", lambda spark, d: crosswalk.closer_names(shifted_list(spark, d), seatlists.known(spark, d)), LISTS.replace("SOUNDS", sounds_sql()) + CLOSER + "FROM close")
+REGISTRY.add("row_shifts", lambda spark, d: crosswalk.row_shifts(crosswalk.closer_names(shifted_list(spark, d), seatlists.known(spark, d))), LISTS.replace("SOUNDS", sounds_sql()) + CLOSER + """, o AS (SELECT block, seat - code AS shift, count(*) AS rows FROM close WHERE verdict = 'closer' GROUP BY ALL), t AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY block ORDER BY rows DESC, abs(shift), shift) = 1)
+SELECT t.*, mismatches, rows >= 3 AND 2 * rows >= mismatches AS shifted FROM t JOIN (SELECT block, count(*) AS mismatches FROM close GROUP BY block) USING (block)""")

@@ -185,3 +185,29 @@ def crosswalk(left: DataFrame, right: DataFrame, by_hand: DataFrame | None = Non
             break
     discard(pairs)
     return matched
+
+
+def closer_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """block, code, seat, same, best, verdict of every left row whose number's seat on the right has another name (left: block,
+    code, name; right: block, seat, names).
+
+    seat: the number on the right with the likeliest name, likeness WITH_EVIDENCE at least or the same number; same: the
+    likeness at the same number. verdict: spelling, if no other number has a likelier name, else closer.
+    """
+    l = left.select("block", "code", "name", F.lit(None).cast("string").alias("parent"), F.col("code").alias("number"))  # noqa: E741
+    r = right.select("block", "seat", "names", F.lit(None).cast("string").alias("parent"), F.array("seat").alias("numbers"))
+    own = F.col("seat") == F.col("code")
+    by = scored_pairs(l, r).groupBy("block", "code").agg(F.max(F.when(own, F.col("flat"))).alias("flat"), F.max(F.when(own, F.col("similarity"))).alias("same"), F.max(F.struct("similarity", own.cast("int").alias("own"), (-F.col("seat")).alias("minus"))).alias("best"))
+    rows = by.where("same is not null and not flat")
+    verdict = F.when(F.col("best.own") == 1, "spelling").otherwise("closer")
+    return rows.select("block", "code", (-F.col("best.minus")).alias("seat"), "same", F.col("best.similarity").alias("best"), verdict.alias("verdict"))
+
+
+def row_shifts(told: DataFrame, least: int = 3) -> DataFrame:
+    """block, shift, rows, mismatches, shifted of blocks with closer names (told: of closer_names()): the commonest distance of
+    numbers to the closer name, of these the smallest; shifted: so many rows have it, and half of all mismatches."""
+    block = Window.partitionBy("block")
+    all_of = told.groupBy("block").agg(F.count(F.lit(1)).alias("mismatches"))
+    by = told.where("verdict = 'closer'").groupBy("block", (F.col("seat") - F.col("code")).alias("shift")).agg(F.count(F.lit(1)).alias("rows"))
+    first = by.withColumn("nth", F.row_number().over(block.orderBy(F.desc("rows"), F.abs("shift"), "shift"))).where("nth = 1").drop("nth")
+    return first.join(all_of, "block").withColumn("shifted", (F.col("rows") >= least) & (2 * F.col("rows") >= F.col("mismatches")))

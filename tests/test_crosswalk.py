@@ -143,3 +143,18 @@ def test_many_pairs_at_once_are_fast():
     began = time.time()
     block_ratios(a, b)
     assert time.time() - began < 60
+
+
+def test_a_shifted_list_is_told_from_a_misspelt_one(spark):
+    names = ["Kalol", "Daman", "Jeypore", "Badwani", "Thrissur", "Ludhiana", "Panaji", "Sirohi"]
+    spelled = ["Kalol", "Damann", "Jaypore", "Barwani", "Trissur", "Ludhyana", "Panjim", "Sirohee"]
+    rows = [(1, n, x) for n, x in enumerate(spelled)] + [(2, n + 1, x) for n, x in enumerate(spelled)] + [(3, 0, "Nowhere"), (3, 77, "Kalol")]
+    left = spark.createDataFrame(rows, "block int, code long, name string")
+    right = spark.createDataFrame([(b, n, [x]) for b in (1, 2, 3) for n, x in enumerate(names)], "block int, seat long, names array<string>")
+    told = crosswalk.closer_names(left, right)
+    got = {(r.block, r.code): (r.seat, r.verdict) for r in told.collect()}
+    # Of the shifted block all have a closer name one number before; one that stands at no number on the right is left out.
+    assert {k: v for k, v in got.items() if k[0] == 2} == {(2, n): (n - 1, "closer") for n in range(1, 8)}
+    assert {v[1] for k, v in got.items() if k[0] == 1} == {"spelling"} and (1, 0) not in got and got[3, 0] == (0, "spelling") and (3, 77) not in got
+    assert [tuple(r) for r in crosswalk.row_shifts(told).collect()] == [(2, -1, 7, 7, True)]
+    assert crosswalk.row_shifts(crosswalk.closer_names(left.limit(0), right)).count() == 0

@@ -63,3 +63,20 @@ def spread_towns(placed: DataFrame, units: DataFrame, named: DataFrame, district
     to = hits.join(counted, "town").select("town", F.col("seat").alias("new_seat"), "of")
     moved = placed.join(units.where("route = 'town'").select("unit", "town"), "unit").join(to, "town").select("unit", F.col("new_seat").alias("seat"), (F.col("weight") / F.col("of")).alias("weight"), F.lit("town-order-seats").alias("method"))
     return placed.join(moved.select("unit").distinct(), "unit", "left_anti").unionByName(moved)
+
+
+def noted_districts(notes: DataFrame, key: str, note: str, names: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, code), each once: further districts that notes on a seat's extent give it, by their tags; only known codes count.
+
+    also_2011=11;12 (not where the note calls it a sliver), possible_2011=13, ALSO_DISTRICT=NAME(14), "2011 codes 15 + 16", and
+    also_in_district_2008=NAME, whose codes are those of names (name in upper case, code). known: code.
+    """
+    text = F.coalesce(F.col(note), F.lit(""))
+    lists = lambda tag: F.flatten(F.transform(F.regexp_extract_all(text, F.lit(rf"{tag}=([\d;]+)"), F.lit(1)), lambda x: F.split(x, ";")))
+    also = F.when(text.contains("a sliver"), F.array().cast("array<string>")).otherwise(lists("also_2011"))
+    pair = F.regexp_extract_all(text, F.lit(r"2011 codes (\d+) \+ \d+"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"2011 codes \d+ \+ (\d+)"), F.lit(1))
+    told = F.flatten(F.array(also, lists("possible_2011"), F.regexp_extract_all(text, F.lit(r"ALSO_DISTRICT=[^(;]*\((\d+)\)"), F.lit(1)), *pair))
+    codes = notes.select(key, F.explode(told).alias("code")).select(key, F.col("code").try_cast("int").alias("code"))
+    named = notes.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"also_in_district_2008=([A-Za-z &.]+)"), F.lit(1))).alias("name")).withColumn("name", F.upper(F.trim("name")))
+    by_name = named.join(names.select("name", F.col("code").cast("int").alias("code")), "name").select(key, "code")
+    return codes.unionByName(by_name).join(known.select(F.col("code").cast("int").alias("code")).distinct(), "code", "left_semi").select(key, "code").distinct()

@@ -123,3 +123,12 @@ d AS (SELECT CAST(s_suppkey AS BIGINT) AS b, CAST(s_suppkey % 10 * 28 AS DOUBLE)
 o AS (SELECT a, b, sum(greatest(0, least(x2, d.x1 + 28) - greatest(boxes.x1, d.x1)) * greatest(0, least(y2, d.y1 + 30) - greatest(boxes.y1, d.y1))) AS overlap FROM boxes JOIN d ON boxes.x1 < d.x1 + 28 AND boxes.x2 > d.x1 AND boxes.y1 < d.y1 + 30 AND boxes.y2 > d.y1 GROUP BY ALL HAVING overlap > 0),
 p AS (SELECT *, overlap / sum(overlap) OVER (PARTITION BY a) AS part, row_number() OVER (PARTITION BY a ORDER BY overlap DESC, b) AS nth FROM o)
 SELECT a, b, round(overlap, 6) AS overlap, round(part / sum(part) OVER (PARTITION BY a), 6) AS share, round(overlap / (42 + 840 - overlap), 6) AS iou FROM p WHERE part >= 0.1 OR nth = 1""")
+
+
+def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([("EAST & WEST", 7), ("EAST & WEST", 8), ("NATION", 9)], "name string, code int")
+    return extents.noted_districts(Directory(spark, sf_dir).notes, "k", "note", names, spark.range(35).select(F.col("id").alias("code")))
+
+
+REGISTRY.add("noted_districts", noted, DIRECTORY + """, n AS (SELECT k, k % 30 AS code FROM places WHERE k % 7 = 0 UNION SELECT k, k % 40 FROM places WHERE k % 7 = 0 UNION SELECT k, k % 50 FROM places WHERE k % 7 = 1 UNION SELECT k, k % 60 FROM places WHERE k % 7 = 2 UNION SELECT k, k % 20 FROM places WHERE k % 7 = 3 UNION SELECT k, k % 25 FROM places WHERE k % 7 = 3
+UNION SELECT k, 9 FROM places WHERE k % 7 = 4 UNION SELECT k, unnest([7, 8, k % 9]) FROM places WHERE k % 7 = 5) SELECT k, CAST(code AS INTEGER) AS code FROM n WHERE code < 35""")

@@ -113,3 +113,9 @@ class Directory:
     def town_list(self) -> DataFrame:
         """s, town, name of every town that has wards."""
         return self.towns.select("s", F.col("t").alias("town"), F.concat("s", F.expr("if(t % 2 = 0, ' (M Corp.)', ' East (M Cl)')")).alias("name"))
+
+    @cached_property
+    def notes(self) -> DataFrame:
+        """k and note: what parsers of legal texts have noted on a seat."""
+        text = "case k % 7 when 0 then concat('also_2011=', k % 30, ';', k % 40) when 1 then concat('x; also_2011=', k % 30, ' - a sliver; possible_2011=', k % 50) when 2 then concat('ALSO_DISTRICT=Some Name(', k % 60, ')') when 3 then concat('see 2011 codes ', k % 20, ' + ', k % 25) when 4 then concat('also_in_district_2008=nation', b % 3, ';') when 5 then concat('also_in_district_2008=East & West; possible_2011=', k % 9) end"
+        return self.places.select("k", F.expr(text).alias("note"))

@@ -91,3 +91,11 @@ def test_large_towns_of_one_seat_are_spread(spark):
 def test_extent_classes(spark):
     rows = spark.createDataFrame([("Ward No. 1 and village x",), ("Patwar circle y (Part)",), ("Tehsil z (Part)",), ("Tehsils a and b",), ("E.B.No 7",)], "e string")
     assert [r[0] for r in rows.select(extents.extent_class(F.col("e"))).collect()] == ["C", "B", "B2", "A", "C"]
+
+
+def test_notes_name_further_districts(spark):
+    rows = [(1, "also_2011=101;102; more"), (2, "also_2011=101 - a sliver; possible_2011=103;104"), (3, "ALSO_DISTRICT=SERCHHIP(105) ALSO_DISTRICT=X Y (106)"), (4, "Bihar: 2011 codes 107 + 108"), (5, "also_in_district_2008=West Sikkim; also_2011=999"), (6, None), (7, "also_2011=;")]
+    names = spark.createDataFrame([("WEST SIKKIM", 109), ("WEST SIKKIM", 110)], "name string, code int")
+    known = spark.createDataFrame([(i,) for i in range(101, 111)], "code int")
+    got = rows_of(extents.noted_districts(spark.createDataFrame(rows, "k int, note string"), "k", "note", names, known), "k", "code")
+    assert got == [(1, 101), (1, 102), (2, 103), (2, 104), (3, 105), (3, 106), (4, 107), (4, 108), (5, 109), (5, 110)]

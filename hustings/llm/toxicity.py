@@ -18,12 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from hustings.llm.common import small_batches, text_or_empty
+from hustings.llm.common import discard, small_batches, text_or_empty, written
 from hustings.llm.language import held_out
 
-#: Labelled documents of each kind that are learnt from, about, with their whole texts; predictions have no such bound.
-SAMPLE_TOXIC = 2000
-SAMPLE_CLEAN = 4000
 #: Letters of the shortest word that may be learnt, and of the shortest restored one that counts: of two letters, what is
 #: behind a digit is anyone's guess.
 LEAST_LETTERS, LEAST_RESTORED = 2, 3
@@ -35,8 +32,10 @@ LEAST_SUPPORT = 5
 #: Near copies speak once together: documents are counted by the least hash of their shingles, under so many hash functions.
 SKETCHES = 3
 SHINGLE_WORDS = 3
-#: Letters that stand together so seldom in the sample count as unseen.
+#: Letters that stand together less often, or at less than this share of all places, count as unseen. So what comes to the
+#: driver is bounded, whatever the number of documents.
 LEAST_GRAM = 2
+LEAST_SHARE = 1 / 4_000_000
 #: Score of a text without any evidence.
 PRIOR = 0.02
 PREDICT_AT = 0.7
@@ -166,59 +165,103 @@ def specific(units: dict[str, tuple[float, int]]) -> dict[str, float]:
     return {u: p for u, (p, _) in units.items() if not (u.endswith("*") and covered(u))}
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(doc, toxic, words) of a bounded, hashed sample of the labelled documents not held out; how many clean ones each stands for."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row, doc, toxic, words) of every labelled document not held out, with its whole text; doc tells texts apart."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(~held_out(F.col("doc_id"), 3, 1))
-    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
-    share = {1: min(1.0, SAMPLE_TOXIC / max(1, n.get(1, 0))), 0: min(1.0, SAMPLE_CLEAN / max(1, n.get(0, 0)))}
-    bar = F.when(F.col("toxic") == 1, 1e6 * share[1]).otherwise(1e6 * share[0])
-    chosen = F.broadcast(known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < bar))  # about SAMPLE_TOXIC + SAMPLE_CLEAN rows
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out(F.col("doc_id"), 3, 1))
+    # Labels grow with the documents, so they are not broadcast, whatever their number.
+    texts = texts.join(known.where(~held_out(F.col("doc_id"), 3, 1)).hint("merge"), "doc_id")
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    return texts.select(F.xxhash64("text").alias("doc"), "toxic", words.alias("words")).distinct(), share[1] / share[0]
+    return texts.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("doc"), "toxic", words.alias("words"))
 
 
 def sketches(words: DataFrame) -> DataFrame:
-    """words with `c`: the document's least shingle hash under each of SKETCHES hash functions. Near copies share most of them."""
+    """words with `c0`, `c1` and so on: the document's least shingle hash under each of SKETCHES hash functions. Near copies share most of them."""
     at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - SHINGLE_WORDS))
     hashes = F.transform(at, lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(SHINGLE_WORDS)]))
     hashed = words.withColumn("hashes", hashes)
-    return hashed.withColumn("c", F.array(*[F.array_min(F.transform("hashes", lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(SKETCHES)])).drop("hashes")
+    # A second parameter of the lambda would be the place in the array, even with a default.
+    again = lambda k: F.transform("hashes", lambda h: F.xxhash64(h, F.lit(k)))
+    return hashed.select(*words.columns, *[F.array_min(again(k)).alias(f"c{k}") for k in range(SKETCHES)])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Lexicon and letter counts are counted by Spark; the driver gets the kept units and the letter counts."""
-    words, clean_each = sample(docs, labels)
-    words = sketches(words).cache()
-    placed = words.select("c", "toxic", F.explode(F.array_distinct("words")).alias("word")).where(F.char_length("word") >= LEAST_LETTERS)
-    beginnings = [F.when(F.char_length("word") >= n, F.concat(F.left("word", F.lit(n)), F.lit("*"))) for n in PREFIXES]
-    units = placed.select("c", "toxic", F.explode(F.array_compact(F.array("word", *beginnings))).alias("unit")).distinct()
-    # A document speaks once for a unit, and near copies once together.
-    support = units.groupBy("unit", "toxic").agg(F.least(*[F.count_distinct(F.get("c", F.lit(k))) for k in range(SKETCHES)]).alias("n"))
-    by = support.groupBy("unit").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-    p = F.col("bad") / (F.col("bad") + F.lit(clean_each) * F.col("good") + 1)
-    by = by.cache()
-    all_of = by.agg(F.count(F.lit(1)).alias("units"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+def different(words: DataFrame) -> DataFrame:
+    """words, written, which go, to each text once, with `shared`: (k, c) of those sketches that another text of its label has too; null if none."""
+    sketched = [f"c{k}" for k in range(SKETCHES)]
+    once = written(words.groupBy("doc", "toxic", *sketched).agg(F.min("row").alias("row")), "different")
+    each = once.select("row", "toxic", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("c")) for k, c in enumerate(sketched)])).alias("x")).select("row", "toxic", "x.*")
+    several = each.groupBy("toxic", "k", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = each.join(several, ["toxic", "k", "c"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("k", "c")).alias("shared"))
+    found = written(words.select("row", "doc", "toxic", "words").join(once.select("row").join(copies, "row", "left").hint("merge"), "row"), "texts")
+    discard(words, once)
+    return found
+
+
+def units_of(words: str):
+    """The different words of a text and their beginnings, an array."""
+    found = F.filter(F.array_distinct(words), lambda w: F.char_length(w) >= LEAST_LETTERS)
+
+    def beginnings(n: int):
+        return F.array_distinct(F.transform(F.filter(found, lambda w: F.char_length(w) >= n), lambda w: F.concat(F.left(w, F.lit(n)), F.lit("*"))))
+
+    return F.concat(found, *map(beginnings, PREFIXES))
+
+
+def _p(bad, good):
+    return bad / (bad + good + 1)
+
+
+def lexicon(texts: DataFrame) -> dict[str, tuple[float, int]]:
+    """Units of different() texts that tell label 1: their probability, and how many toxic documents have them.
+
+    A document speaks once for a unit, and near copies once together: as many as there are different sketches, under the
+    hash function with the fewest. Most sketches are one text's own; so these are counted, and only the others are compared.
+    """
+    alone = [F.when(F.array_contains("shared.k", k), 0).otherwise(1).alias(f"s{k}") for k in range(SKETCHES)]
+    placed = texts.select("toxic", *alone, F.explode(units_of("words")).alias("unit"))
+    side = lambda value, of: F.sum(F.when(F.col("toxic") == value, of).otherwise(0))
+    counts = placed.groupBy("unit").agg(
+        *[side(value, F.lit(1)).alias(f"docs{value}") for value in (0, 1)],
+        *[side(value, F.col(f"s{k}")).alias(f"s{value}{k}") for value in (0, 1) for k in range(SKETCHES)],
+    )
+    counts = written(counts, "units")
+    all_of = counts.agg(F.count(F.lit(1)).alias("units"), F.sum("docs1").alias("bad"), F.sum("docs0").alias("good")).first()
     base = min(0.9, max(0.01, (all_of["bad"] or 0) / max(1, (all_of["bad"] or 0) + (all_of["good"] or 0))))
     least = max(LEAST_SUPPORT, math.log(max(1, all_of["units"])) / -math.log(base))
-    kept = by.where((F.col("bad") >= least) & (p >= LEAST_P)).select("unit", p.alias("p"), "bad").collect()
-    model = Model(specific({r["unit"]: (r["p"], r["bad"]) for r in kept}))
+    # No unit has more support than toxic documents, or less against it than texts without a copy: the rest need not be compared.
+    against = F.least(*[F.col(f"s0{k}") for k in range(SKETCHES)])
+    may = written(counts.where((F.col("docs1") >= least) & (_p(F.col("docs1"), against) >= LEAST_P)), "candidates")
+    shared = texts.where("shared is not null").select("toxic", "shared", F.explode(units_of("words")).alias("unit")).join(may.select("unit"), "unit", "left_semi")
+    shared = shared.select("unit", "toxic", F.explode("shared").alias("x")).select("unit", "toxic", "x.*").distinct()
+    more = shared.groupBy("unit").agg(*[F.count(F.when((F.col("toxic") == value) & (F.col("k") == k), 1)).alias(f"m{value}{k}") for value in (0, 1) for k in range(SKETCHES)])
+    total = lambda value: F.least(*[F.col(f"s{value}{k}") + F.coalesce(f"m{value}{k}", F.lit(0)) for k in range(SKETCHES)])
+    told = may.join(more, "unit", "left").select("unit", total(1).alias("bad"), total(0).alias("good"))
+    kept = told.where((F.col("bad") >= least) & (_p(F.col("bad"), F.col("good")) >= LEAST_P)).select("unit", _p(F.col("bad"), F.col("good")).alias("p"), "bad").collect()
+    discard(counts, may)
+    return {r["unit"]: (r["p"], r["bad"]) for r in kept}
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """From all labelled documents not held out. Spark counts lexicon and letters; the driver gets the kept units and letter counts."""
+    texts = different(written(sketches(labelled(docs, labels)), "labelled"))
+    kept = lexicon(texts)
+    model = Model(specific(kept))
     marked = F.concat(F.lit("^^"), "word", F.lit("$"))
-    grams = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).select(marked.alias("word"), "n")
+    grams = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).select(marked.alias("word"), "n")
     at = grams.select("word", "n", F.explode(F.sequence(F.lit(3), F.char_length("word"))).alias("at"))
-    three = at.groupBy(F.substring("word", F.col("at") - 2, F.lit(3)).alias("gram")).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_GRAM).collect()
-    counts = [(r["gram"], float(r["n"])) for r in three]
+    three = written(at.groupBy(F.substring("word", F.col("at") - 2, F.lit(3)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
+    seldom = max(LEAST_GRAM, LEAST_SHARE * (three.agg(F.sum("n")).first()[0] or 0))
+    counts = [(r["gram"], float(r["n"])) for r in three.where(F.col("n") >= seldom).collect()]
     # The lexicon's whole words are counted once more: what is searched for must not look unlikely.
-    for r in kept:
-        if not r["unit"].endswith("*"):
-            w = f"^^{r['unit']}$"
-            counts += [(w[i : i + 3], 20.0 * r["bad"]) for i in range(len(w) - 2)]
+    for unit, (_, bad) in kept.items():
+        if not unit.endswith("*"):
+            w = f"^^{unit}$"
+            counts += [(w[i : i + 3], 20.0 * bad) for i in range(len(w) - 2)]
     for gram, n in counts:
         a, b, c = gram
         for key in (gram, b + c, c, a + b + "_", b + "_", ""):
             model.grams[key] = model.grams.get(key, 0.0) + n
-    words.unpersist()
+    discard(texts, three)
     return model
 
 

@@ -89,3 +89,40 @@ def test_the_lexicon_is_counted_by_documents(spark):
     model = toxicity.train(frame, known)
     # Near copies speak once; a least hash may fall together by chance in a few pairs of documents, so the count may be less.
     assert clean == 0 and (bad - 2) / (bad - 1) <= model.units["zug"] <= bad / (bad + 1)
+
+
+def test_all_labelled_documents_are_learnt_from(spark):
+    """More of each label than any bound that a sample had: every one counts, against the insult too."""
+    rnd = random.Random(13)
+    say = lambda k: " ".join("".join(rnd.choice("bcdfgklmnprst") for _ in range(7)) for _ in range(k))
+    docs = [(i, f"{say(6)} {'zug' if i % 2 or i % 50 == 0 else 'fine'}") for i in range(15_000)]
+    frame, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    kept = [r.doc_id for r in known.where(~toxicity.held_out(known.doc_id, 3, 1)).collect()]
+    bad, good = sum(i % 2 for i in kept), sum(i % 50 == 0 for i in kept)
+    assert abs(toxicity.train(frame, known).units["zug"] - bad / (bad + good + 1)) < 1e-5
+
+
+def test_near_copies_speak_once_as_when_all_are_compared(spark):
+    """Supports of the lexicon against sets of sketches for every unit."""
+    rnd = random.Random(14)
+    docs, labels = corpus(rnd, "zugzug", 120)
+    for i, text in docs[:60:2]:
+        words = text.split()
+        for j in range(4):
+            words[rnd.randrange(40)] = "vexed"
+            docs.append((1000 + 10 * i + j, " ".join(words)))
+            labels.append((1000 + 10 * i + j, int(i % 3 == 0)))
+    frame, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    words = toxicity.written(toxicity.sketches(toxicity.labelled(frame, known)), "test")
+    seen: dict = {}
+    rows = words.collect()
+    for r in rows:
+        for unit in {u for w in r.words if len(w) >= toxicity.LEAST_LETTERS for u in [w, *(w[:n] + "*" for n in toxicity.PREFIXES if len(w) >= n)]}:
+            for k in range(toxicity.SKETCHES):
+                seen.setdefault((unit, r.toxic), [set() for _ in range(toxicity.SKETCHES)])[k].add(r[f"c{k}"])
+    count = {x: min(map(len, sets)) for x, sets in seen.items()}
+    texts = {(r.doc, r.toxic) for r in rows}
+    assert sum(toxic for _, toxic in texts) > count["zugzug", 1]
+    found = toxicity.lexicon(toxicity.different(words))
+    assert found["zugzug"][1] == count["zugzug", 1]
+    assert all(found[u] == (count[u, 1] / (count[u, 1] + count.get((u, 0), 0) + 1), count[u, 1]) for u in found)

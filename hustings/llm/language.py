@@ -1,14 +1,14 @@
 """Language ID: word-first backoff.
 
-Learnt are, for each language, log frequencies of its words and of its character n-grams, on a bounded sample of the
-labelled documents. A text is scored word by word: a known word by its log frequency in each language; an unseen one by
-the longest of its n-grams that are known, falling back to ever shorter ones where they are not.
+Learnt are, for each language, log frequencies of its words and of its character n-grams, on all labelled documents.
+A text is scored word by word: a known word by its log frequency in each language; an unseen one by the longest of its
+n-grams that are known, falling back to ever shorter ones where they are not.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -18,16 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from hustings.llm.common import small_batches, text_or_empty, written
+from hustings.llm.common import small_batches, text_or_empty
 
-#: Labelled documents of each language that are learnt from, about: chosen by hash, evenly over the table; with their whole texts.
-SAMPLE_DOCS = 2000
-#: Words and n-grams of fewer places in the sample are unknown. So the model, which is broadcast, is bounded by the sample alone.
+#: Words and n-grams of fewer places, or of less than this share of all places, are unknown. So the model, which is broadcast,
+#: is bounded, whatever the number of documents; all places are counted.
 LEAST_WORD = 2
 LEAST_GRAM = 3
+LEAST_SHARE = 1 / 4_000_000
 LONGEST = 4
-#: Languages up to which their document counts are broadcast; beyond, Spark chooses the join.
-BROADCAST_LANGUAGES = 10_000
+#: Different words that a task counts before it hands them on.
+COUNTED_WORDS = 200_000
 #: Words that a worker remembers the scores of; when they are more, it starts anew.
 MEMO_WORDS = 300_000
 #: So many words of evidence are full evidence: the score doesn't grow with longer texts.
@@ -42,13 +42,25 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+@dataclass
+class Rows:
+    """Rows of log probabilities by unit, a column for each language."""
+
+    at: dict[str, int]
+    table: np.ndarray
+
+    def get(self, unit: str) -> np.ndarray | None:
+        place = self.at.get(unit)
+        return None if place is None else self.table[place]
+
+
 @dataclass
 class Model:
-    """Rows of log probabilities, a column for each language: of words, and of n-grams by length."""
+    """Log probabilities of words, and of n-grams by length, from 1 on."""
 
     languages: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)
+    words: Rows
+    grams: dict[int, Rows] = field(default_factory=dict)
     floor: float = -12.0
 
     def backoff(self, word: str) -> np.ndarray:
@@ -72,9 +84,7 @@ class Model:
         return self.backoff(word) if found is None else found
 
     def predict(self, text: str, memo: Memo) -> tuple[str, float]:
-        words = WORD.findall(text.lower())
-        if not "".join(words).isalpha():
-            words = [x for w in words for x in letters_only(w)]
+        words = words_of(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
         mean = memo.rows(words, self.row).mean(axis=0)
@@ -88,6 +98,11 @@ def letters_only(word: str) -> list[str]:
     return "".join(c if c.isalpha() else " " for c in word).split()
 
 
+def words_of(text: str) -> list[str]:
+    words = WORD.findall(text.lower())
+    return words if "".join(words).isalpha() else [x for w in words for x in letters_only(w)]
+
+
 class Memo:
     """Rows of words that a worker has met, in one array."""
 
@@ -111,27 +126,37 @@ class Memo:
         return self.table[places]
 
 
-def sample(docs: DataFrame, each: int = SAMPLE_DOCS) -> DataFrame:
-    """(lang, text): about `each` documents of every language, all if there are fewer; their whole texts."""
-    known = docs.where("lang is not null and text is not null")
-    counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
-    share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.lit(1_000_000.0) * each / F.col("n")
-    return known.join(counts, "lang").where(share).select("lang", "text")
+def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (lang, text) to (lang, unit, n), places of the words in part of the texts."""
+    found: defaultdict[str, Counter] = defaultdict(Counter)
+
+    def rows() -> pa.RecordBatch:
+        tongues = [lang for lang, words in found.items() for _ in words]
+        columns = [pa.array(tongues, pa.string()), pa.array([w for words in found.values() for w in words], pa.string()), pa.array([n for words in found.values() for n in words.values()], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "unit", "n"])
+
+    for batch in small_batches(batches):
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found[lang].update(words_of(text))
+        if sum(map(len, found.values())) > COUNTED_WORDS:
+            yield rows()
+            found.clear()
+    yield rows()
 
 
-def train(docs: DataFrame, each: int = SAMPLE_DOCS) -> Model:
-    """From documents (doc_id, text, lang). The counts are made by Spark; only the kept ones come to the driver."""
-    text = sample(docs, each)
-    words = text.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("unit"))
-    words = words.groupBy("lang", "unit").agg(F.count(F.lit(1)).alias("n")).cache()
+def train(docs: DataFrame) -> Model:
+    """From all labelled documents (doc_id, text, lang). The counts are made by Spark; only the kept ones come to the driver."""
+    texts = docs.where("lang is not null and text is not null").select("lang", "text")
+    words = texts.mapInArrow(counted, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n")).cache()
     marked = F.concat(F.lit("<"), "unit", F.lit(">"))
-    model = Model(sorted(r["lang"] for r in words.select("lang").distinct().collect()))
-    model.words = table_of(words, model.languages, LEAST_WORD)
-    model.grams = [{}]
+    # Of a word and of n-grams by length, how many places there are.
+    each = [F.sum(F.col("n") * F.greatest(F.lit(0), F.char_length(marked) - length + 1)).alias(f"places{length}") for length in range(1, LONGEST + 1)]
+    totals = words.groupBy("lang").agg(F.sum("n").alias("places0"), *each).orderBy("lang").collect()
+    model = Model(sorted(r["lang"] for r in totals), table_of(words, {r["lang"]: r["places0"] for r in totals}, LEAST_WORD))
     for length in range(1, LONGEST + 1):
         places = F.when(F.char_length(marked) >= length, F.sequence(F.lit(1), F.char_length(marked) - length + 1)).otherwise(F.array().cast("array<int>"))
-        model.grams.append(table_of(_grams(words, marked, places, length).groupBy("lang", "unit").agg(F.sum("n").alias("n")), model.languages, LEAST_GRAM))
+        grams = _grams(words, marked, places, length).groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+        model.grams[length] = table_of(grams, {r["lang"]: r[f"places{length}"] for r in totals}, LEAST_GRAM)
     words.unpersist()
     return model
 
@@ -141,13 +166,20 @@ def _grams(words: DataFrame, marked: Column, places: Column, length: int) -> Dat
     return at.select("lang", F.substring("word", F.col("at"), F.lit(length)).alias("unit"), "n")
 
 
-def table_of(counts: DataFrame, languages: list[str], least: int) -> dict[str, np.ndarray]:
-    """Log probabilities, with one added to each count, of the units that occur `least` times or more over all languages."""
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    by_unit = counts.groupBy("unit").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    kept = by_unit.where(F.col("all") >= least).select("unit", "by").collect()
-    size = max(len(kept), 1)
-    return {r["unit"]: np.array([math.log((r["by"].get(x, 0) + 1) / (totals.get(x, 0) + size)) for x in languages]) for r in kept}
+def table_of(counts: DataFrame, totals: dict[str, int], least: int) -> Rows:
+    """Log probabilities, with one added to each count, of the units that have `least` places and LEAST_SHARE of all places, over all languages."""
+    by_unit = counts.groupBy("unit").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    kept = by_unit.where(F.col("all") >= max(least, LEAST_SHARE * sum(totals.values()))).select("unit", "by").toArrow().combine_chunks()
+    languages = sorted(totals)
+    column = {lang: i for i, lang in enumerate(languages)}
+    table = np.zeros((kept.num_rows, len(languages)))
+    if kept.num_rows:
+        by = kept.column("by").combine_chunks()
+        of = by.flatten()
+        table[by.value_parent_indices().to_numpy(), [column[x] for x in of.field(0).to_pylist()]] = of.field(1).to_numpy()
+    size = max(kept.num_rows, 1)
+    table = np.log((table + 1) / (np.array([totals[x] for x in languages], "f8") + size))
+    return Rows({unit: i for i, unit in enumerate(kept.column("unit").to_pylist())}, table)
 
 
 def predictor(model: Model) -> Callable:

@@ -206,3 +206,13 @@ def test_suffix_stage_keeps_whole_characters(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in pipeline.suffix_stage(spark, docs, FOLDER).collect()}
     assert got == {1: ("azz", 3), 2: ("byy", 3), 3: (None, None)}
+
+
+def test_languages_are_learnt_from_all_documents(spark):
+    """More documents of a language than any bound that a sample had; every place counts."""
+    rows = [(i, f"the {'rare' if i % 1000 == 0 else 'and'}", "en") for i in range(6000)] + [(6000 + i, "der und", "de") for i in range(10)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert model.languages == ["de", "en"]
+    de, en = model.words.get("the")
+    assert (de, en) == pytest.approx((math.log(1 / (20 + 5)), math.log(6001 / (12_000 + 5))))
+    assert model.words.get("rare")[1] == pytest.approx(math.log(7 / 12_005)) and model.words.get("unseen") is None

@@ -52,11 +52,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each component stays: that with the smallest doc_id, of these the first. A null doc_id stays only if all are null."""
     ship(spark)
     rows = _numbered(docs)
+    most = rows.count()
     found = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), words=SHINGLE_WORDS, least=LEAST_SIMILARITY)
     named = rows.select("row", "doc_id").join(found.select(F.col("doc_id").alias("row"), "component_id"), "row")
-    named = written(named, "named")
+    named = written(named, "named", most)
     first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "row")).alias("first")).select("component_id", F.col("first.row").alias("stays"))
-    others = written(named.join(first, "component_id").where("row != stays").select("row"), "copies")
+    others = written(named.join(first, "component_id").where("row != stays").select("row"), "copies", most)
     return rows.join(others, "row", "left_anti").select(*COLUMNS)
 
 

@@ -224,7 +224,7 @@ def _reaches(least: float, left: str, n: str):
 def _verified(pairs: DataFrame, sets: DataFrame, words: int, least: float) -> DataFrame:
     """The similar pairs of (u, v), by whole texts of sets (same, packed); written. Only texts that a pair asks for are shuffled, if their number is bounded."""
     pairs = written(pairs, "pairs")
-    asked = written(pairs.select(F.col("u").alias("same")).union(pairs.select(F.col("v").alias("same"))).distinct(), "asked")
+    asked = written(pairs.select(F.col("u").alias("same")).union(pairs.select(F.col("v").alias("same"))).distinct(), "asked", 2 * pairs.count())
     texts = sets.join(F.broadcast(asked) if asked.count() <= BROADCAST_SETS else asked, "same", "left_semi").dropDuplicates(["same"])
     for k in ("u", "v"):
         pairs = pairs.join(texts.select(F.col("same").alias(k), F.col("packed").alias(f"packed_{k}")), k)
@@ -248,11 +248,12 @@ def near_copies(docs: DataFrame, most: int = MOST_BITS, words: int = WORDS, leas
     places = written(found.select("same", "n", "keys").mapInArrow(sharing(sizes_bounded(rows, BUCKET_SETS)), SHARED), "places")
     shared = places.where("bucket is null").select(*NAMES).union(places.where("bucket is not null").groupBy("bucket").applyInArrow(meeting, "key long, same long, n long, pos long"))
     shared = written(shared.distinct(), "shared")
-    met = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "lowest")
-    counted = written(shared.join(met, "key"), "counted")
-    middle = written(counted.groupBy("same").agg((F.sum("m") / F.first("n")).alias("pop")), "middle")
-    centres = written(counted.join(middle, "same").groupBy("key").agg(F.max(F.struct("pop", "same", "n")).alias("x")).select("key", F.col("x.same").alias("u"), F.col("x.n").alias("nu")), "centres")
-    keyed = written(counted.join(centres, "key").select(*NAMES, "u", "nu"), "met")
+    most_met = shared.count()
+    met = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "lowest", most_met)
+    counted = written(shared.join(met, "key"), "counted", most_met)
+    middle = written(counted.groupBy("same").agg((F.sum("m") / F.first("n")).alias("pop")), "middle", most_met)
+    centres = written(counted.join(middle, "same").groupBy("key").agg(F.max(F.struct("pop", "same", "n")).alias("x")).select("key", F.col("x.same").alias("u"), F.col("x.n").alias("nu")), "centres", most_met)
+    keyed = written(counted.join(centres, "key").select(*NAMES, "u", "nu"), "met", most_met)
     discard(places, shared, met, counted, middle, centres)
     # Sets whose fingerprints are linked, each with the lowest of its fingerprint's component.
     marked = found.groupBy("same", "n").agg(F.min("fp").alias("fp"))
@@ -266,7 +267,7 @@ def near_copies(docs: DataFrame, most: int = MOST_BITS, words: int = WORDS, leas
     edges = _verified(_enough(star, least).union(hinted).distinct(), sets, words, least)
     # Then all pairs of different components that may meet at the first shingle they share.
     rooted = keyed.select(*NAMES).join(components(edges).withColumnRenamed("node", "same"), "same", "left").select(*NAMES, F.coalesce("root", "same").alias("root"))
-    rooted = written(rooted.withColumn("left", _left_over(least)), "rooted")
+    rooted = written(rooted.withColumn("left", _left_over(least)), "rooted", most_met)
     sides = rooted.groupBy("key", "root").agg(F.max("left").alias("left"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     one, two = (sides.select("key", *[F.col(c).alias(f"{c}_{r}") for c in ("root", "left", "lo", "hi")]) for r in "ab")
     may = (_reaches(least, "left_a", "lo_b") & _reaches(least, "left_b", "lo_a")) & (F.least("hi_a", "hi_b") >= F.lit(least) * F.greatest("lo_a", "lo_b") - 1e-6)
@@ -280,6 +281,6 @@ def near_copies(docs: DataFrame, most: int = MOST_BITS, words: int = WORDS, leas
     edges = edges.union(_verified(pairs, sets, words, least))
     classes = found.groupBy("same").agg(F.min("doc_id").alias("lowest")).join(components(edges).withColumnRenamed("node", "same"), "same", "left").select("same", "lowest", F.coalesce("root", "same").alias("root"))
     names = classes.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    told = written(found.select("doc_id", "fp", "same").join(classes.join(names, "root").select("same", "component_id"), "same").select("doc_id", "fp", "component_id"), "told")
+    told = written(found.select("doc_id", "fp", "same").join(classes.join(names, "root").select("same", "component_id"), "same").select("doc_id", "fp", "component_id"), "told", rows)
     discard(found, keyed, rooted, apart)
     return told

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from hustings.llm import nearcopies, simhash
+from hustings.llm import components, nearcopies, simhash
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -52,6 +52,29 @@ def test_near_copies_are_all_pairs_at_the_bound(spark, awkward, monkeypatch, com
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == expected
 
 
+def test_rounds_of_components_write_few_files_where_partitions_stay_apart(spark, monkeypatch):
+    files, write = [], components.written
+
+    def seen(*given):
+        table = write(*given)
+        files.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(components, "written", seen)
+    apart = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in apart}
+    for k, v in apart.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(300).selectExpr("id * 7919 % 301 as u", "(id + 1) * 7919 % 301 as v")
+        found = {(r.node, r.root) for r in components.components(edges).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {(i, 0) for i in range(301)}
+    assert len(files) > 3 and set(files[1:]) == {1}
+
+
 def test_near_copies_of_nothing(spark, nothing):
     assert nearcopies.near_copies(nothing).collect() == []
 

@@ -11,8 +11,8 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from hustings.functions.sequences import block_ratio, block_ratios
-from hustings.operators import crosswalk
+from hustings.functions.sequences import block_ratio, block_ratios, like_pairs
+from hustings.operators import crosswalk, pieces
 
 
 def plain_ratio(a, b):
@@ -158,3 +158,45 @@ def test_a_shifted_list_is_told_from_a_misspelt_one(spark):
     assert {v[1] for k, v in got.items() if k[0] == 1} == {"spelling"} and (1, 0) not in got and got[3, 0] == (0, "spelling") and (3, 77) not in got
     assert [tuple(r) for r in crosswalk.row_shifts(told).collect()] == [(2, -1, 7, 7, True)]
     assert crosswalk.row_shifts(crosswalk.closer_names(left.limit(0), right)).count() == 0
+
+
+def test_pairs_of_two_lists_are_those_of_the_standard_library():
+    rnd = random.Random(8)
+    word = lambda low, high: "".join(rnd.choice("abcé\U0001f600") for _ in range(rnd.randint(low, high)))
+    for low, high in ((0, 8), (5, 20), (20, 40), (50, 90)):
+        sides = [[word(low, high) for _ in range(40)] + ["", "ab" * 60] for _ in range(2)]
+        sides[1] += ["".join(c for c in x if rnd.random() > 0.1) for x in sides[0]]
+        others = [[x[: len(x) // 2] if rnd.random() < 0.5 else x for x in side] for side in sides]
+        i, j, ratio = like_pairs([sides[0], others[0]], [sides[1], others[1]], 0.6)
+        best = {(i, j): max(plain_ratio(a, b), plain_ratio(others[0][i], others[1][j])) for i, a in enumerate(sides[0]) for j, b in enumerate(sides[1])}
+        assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), ratio.tolist(), strict=True)) == {k: v for k, v in best.items() if v >= 0.6}
+    assert all(len(x) == 0 for x in like_pairs([[]], [["a"]], 0.5)) and all(len(x) == 0 for x in like_pairs([["a"]], [[]], 0.5))
+
+
+def test_every_piece_meets_every_other(spark):
+    left = spark.createDataFrame([(k % 3 if k % 10 else None, k) for k in range(40)], "k int, a long")
+    right = spark.createDataFrame([(k % 4, f"x{k}") for k in range(50)], "k long, b string")
+
+    def work(one, other):
+        i, j = np.divmod(np.arange(one.num_rows * other.num_rows), max(1, other.num_rows))
+        return one.select(["a"]).take(i).append_column("b", other["b"].take(j))
+
+    schema = left.select("a", F.lit("").alias("b")).schema
+    got = sorted((r.a, r.b) for r in pieces.all_met(left, right, ["k"], ("a", "b"), work, schema, (4, 6)).collect())
+    assert got == sorted((r.a, r.b) for r in left.join(right, "k").collect())
+
+
+def test_like_names_of_a_large_block_are_all_found_and_soon(spark):
+    rnd = random.Random(5)
+    say = lambda: "".join(rnd.choice("KANIRUTOSEMALUDI") for _ in range(9))
+    names = [say() for _ in range(3000)] + ["HHHH"]  # what sounds like nothing has no two characters in common with H
+    listed = [names[k * 3][:8] for k in range(150)] + ["H"]
+    left = spark.createDataFrame([(1, i, n) for i, n in enumerate(listed)], "block int, code long, name string")
+    right = spark.createDataFrame([(1, i, [n, say()]) for i, n in enumerate(names)], "block int, seat long, names array<string>")
+    began = time.time()
+    got = {(r.code, r.seat): r.similarity for r in crosswalk.like_seats(left, right).collect()}
+    assert time.time() - began < 45
+    assert got[150, 3000] == 1.0 and all(got[k, k * 3] >= 0.94 for k in range(150))
+    theirs = {r.seat: r.names for r in right.collect()}
+    want = {(c, s): v for c in (0, 7, 149) for s, both in theirs.items() if (v := max(like(listed[c], n) for n in both)) >= 0.55}
+    assert {k: v for k, v in got.items() if k[0] in (0, 7, 149)} == want

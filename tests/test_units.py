@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import gzip
+import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hustings.functions.sequences import edit_distances
 from hustings.operators import calibrate, linkage, place, quality
 from hustings.sources import files
 from hustings.streaming.refresh import SCHEMA, refresh
@@ -35,6 +38,54 @@ def test_names_meet_their_mutual_best(spark):
     assert all(r.a == r.b for r in keys)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_edit_distances_are_those_of_plain_loops():
+    rnd = random.Random(3)
+    for low, high in ((0, 8), (10, 20), (31, 33), (62, 67)):
+        for start in ("", "xy"):
+            one, other = ([start + "".join(rnd.choice("abé") for _ in range(rnd.randint(low, high))) for _ in range(12)] for _ in range(2))
+            assert edit_distances(one, other).tolist() == [[distance(a, b) for b in other] for a in one]
+    assert edit_distances([], ["a"]).shape == (0, 1) and edit_distances(["", "ab"], [""]).tolist() == [[0], [2]]
+
+
+def test_mutual_best_names_are_those_of_plain_loops(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("TN") + rnd.choice("aio") for _ in range(rnd.randint(2, 4))) + rnd.choice(["", " ", "x" * 70])
+    left, right = ([(k, word()) for k in ("K", "L", None) for _ in range(60)] + [("K", None), ("K", "#")] for _ in range(2))
+    frames = [spark.createDataFrame(x, "k string, name string") for x in (left, right)]
+    keys = {r.name: (r.flat, r.head) for r in frames[0].union(frames[1]).where("name is not null").select("name", linkage.flat(F.col("name")).alias("flat"), F.left(linkage.skeleton(F.col("name")), F.lit(2)).alias("head")).collect()}
+    want = set()
+    for k in ("K", "L"):
+        a, b = ({n for g, n in side if g == k and n is not None} for side in (left, right))
+        score = {}
+        for x in a:
+            for y in b:
+                longer = max(len(keys[x][0]), len(keys[y][0]))
+                if keys[x][1] == keys[y][1] and longer and (v := 1 - distance(keys[x][0], keys[y][0]) / longer) >= 0.72:
+                    score[x, y] = v
+        for (x, y), v in score.items():
+            if (x, y) == min((p for p in score if p[0] == x), key=lambda p: (-score[p], p[1])) and (x, y) == min((p for p in score if p[1] == y), key=lambda p: (-score[p], p[0])):
+                want.add((k, x, y, v))
+    assert len(want) > 20 and {tuple(r) for r in linkage.mutual_best(*frames, ["k"]).collect()} == want
+
+
+def test_names_of_one_head_meet_their_mutual_best_soon(spark):
+    left, right = (spark.range(n).select(F.lit(1).alias("k"), F.format_string("Seat %09d", F.col("id") * step).alias("name")) for n, step in ((6000, 2), (4000, 3)))
+    began = time.time()
+    got = {(r.left_name, r.right_name) for r in linkage.mutual_best(left, right, ["k"]).collect()}
+    assert time.time() - began < 45
+    assert {(f"Seat {n:09d}",) * 2 for n in range(0, 12_000, 6)} <= got
+
+
 def test_calibration_meets_targets_within_bounds(spark):
     rng = np.random.default_rng(4)
     means = rng.uniform(0, 100, (12, 3))

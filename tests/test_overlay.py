@@ -68,3 +68,14 @@ def test_no_polygons(spark):
     assert overlay.overlay(none, none, 1.0, 1.0).count() == 0
     nulls = spark.createDataFrame([(1, None, 0.0, 1.0, 1.0)], "id long, x1 double, y1 double, x2 double, y2 double")
     assert overlay.runs(nulls, 1.0).where(F.col("low").isNotNull()).count() == 0
+
+
+def test_no_layer_is_sent_to_the_driver(spark, tmp_path):
+    box = F.array(*[F.struct((F.col("id") + x).cast("double").alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (2, 0), (2, 3000), (0, 3000))])
+    spark.range(5).select("id", box.alias("points")).write.parquet(str(tmp_path / "boxes"))
+    edges = overlay.as_edges(spark.read.parquet(str(tmp_path / "boxes")))
+    told = overlay.overlay(edges, edges, 0.5, 1.0)
+    got = {(r.a, r.b): r.share for r in told.collect()}
+    # Few polygons with many rows and stretches: their number says nothing of that of their runs.
+    assert "Broadcast" not in told._jdf.queryExecution().executedPlan().toString()
+    assert set(got) == {(i, j) for i in range(5) for j in range(5) if abs(i - j) <= 1} and got[2, 1] == pytest.approx(1 / 4)

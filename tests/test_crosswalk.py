@@ -200,3 +200,22 @@ def test_like_names_of_a_large_block_are_all_found_and_soon(spark):
     theirs = {r.seat: r.names for r in right.collect()}
     want = {(c, s): v for c in (0, 7, 149) for s, both in theirs.items() if (v := max(like(listed[c], n) for n in both)) >= 0.55}
     assert {k: v for k, v in got.items() if k[0] in (0, 7, 149)} == want
+
+
+def large_block(spark, shift):
+    """A list of 200 seats of a block that has 2000, with numbers and spellings that differ by rule; both lists."""
+    rnd = random.Random(11)
+    names = ["".join(rnd.choice("KANIRUTOSEMALUDI") for _ in range(9)) for _ in range(2000)]
+    left = spark.createDataFrame([(1, n + shift, names[n][:8], None, n + shift if n % 2 else None) for n in range(0, 1000, 5)], LEFT)
+    return left, spark.createDataFrame([(1, n, [x], None, [n]) for n, x in enumerate(names)], RIGHT), names
+
+
+def test_closer_names_of_a_large_block_are_told_soon(spark):
+    left, right, names = large_block(spark, 2)
+    began = time.time()
+    got = {r.code: (r.seat, r.same, r.best, r.verdict) for r in crosswalk.closer_names(left, right).collect()}
+    assert time.time() - began < 45
+    for code in (2, 52, 997):
+        best = max((like(names[code - 2][:8], n), -s) for s, n in enumerate(names))
+        assert got[code] == (-best[1], like(names[code - 2][:8], names[code]), best[0], "closer")
+    assert len(got) == 200

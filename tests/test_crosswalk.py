@@ -219,3 +219,10 @@ def test_closer_names_of_a_large_block_are_told_soon(spark):
         best = max((like(names[code - 2][:8], n), -s) for s, n in enumerate(names))
         assert got[code] == (-best[1], like(names[code - 2][:8], names[code]), best[0], "closer")
     assert len(got) == 200
+
+
+def test_shifts_of_a_large_block_are_told_soon(spark):
+    left, right, _ = large_block(spark, 3)
+    began = time.time()
+    got = [tuple(r) for r in crosswalk.row_shifts(crosswalk.closer_names(left, right)).collect()]
+    assert time.time() - began < 45 and got == [(1, -3, 200, 200, True)]

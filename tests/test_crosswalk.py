@@ -226,3 +226,12 @@ def test_shifts_of_a_large_block_are_told_soon(spark):
     began = time.time()
     got = [tuple(r) for r in crosswalk.row_shifts(crosswalk.closer_names(left, right)).collect()]
     assert time.time() - began < 45 and got == [(1, -3, 200, 200, True)]
+
+
+def test_the_crosswalk_of_a_large_block_comes_soon(spark):
+    left, right, names = large_block(spark, 0)
+    began = time.time()
+    got = {r.code: (r.seat, r.method) for r in crosswalk.crosswalk(left, right).collect()}
+    assert time.time() - began < 60
+    by_name = lambda n: "fuzzy" if keys(names[n][:8])[1] == keys(names[n])[1] else "fuzzy-1"
+    assert got == {n: (n, "eci_code" if n % 2 else by_name(n)) for n in range(0, 1000, 5)}
